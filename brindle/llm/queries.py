@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, packing, quality, records, secrets, sharding
+from brindle.llm import bpe, jaccard, packing, quality, records, secrets, sharding
 from brindle.llm.common import table
 
 #: Shards of op5, tokens of a window of op7.
@@ -21,6 +21,10 @@ def op1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.scan(spark, path, digest=True)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -56,6 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": op1_records,
+    "op3_jaccard": op3_jaccard,
     "op5_shard": op5_shard,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
