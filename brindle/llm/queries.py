@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, jaccard, packing, quality, records, secrets, sharding, substrings
+from brindle.llm import bpe, curves, jaccard, packing, quality, records, secrets, sharding, substrings
 from brindle.llm.common import table
 
 #: Shards of op5, tokens of a window of op7.
@@ -29,6 +29,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return curves.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": op1_records,
     "op2_substrings": op2_substrings,
     "op3_jaccard": op3_jaccard,
+    "op4_curves": op4_curves,
     "op5_shard": op5_shard,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
