@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, curves, jaccard, packing, quality, records, secrets, sharding, substrings
+from brindle.llm import bpe, curves, jaccard, packing, quality, records, secrets, sharding, substrings, templates
 from brindle.llm.common import table
 
 #: Shards of op5, tokens of a window of op7.
@@ -56,6 +56,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs, model=model)
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.articles(table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
+    "op9_templates": op9_templates,
     "op10_secrets": op10_secrets,
 }
 
