@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows are handed to Python in Arrow batches of about this many bytes.
 ARROW_BYTES = 8 << 20
@@ -52,23 +54,15 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def map_rows(
-    df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterator[dict]]
-) -> DataFrame:
-    """mapInArrow for functions from an iterator of column lists to one of column lists."""
+def map_rows(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """mapInArrow for functions from an iterator of column dicts to one of column dicts."""
     arrow_limits(df.sparkSession)
-    out = pa.schema([])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in work(dict(zip(b.schema.names, b.columns, strict=True)) for b in batches):
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((cols[f.name] for f in out), out, strict=True)],
-                schema=out,
-            )
+            every = [c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in out]
+            yield pa.RecordBatch.from_arrays(every, schema=out)
 
     return df.mapInArrow(run, schema)
 

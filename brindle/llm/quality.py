@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,3 +209,19 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     got = sorted((r for r in got if not base_failed(r["n_words"], r["n_repeat_words"])), key=lambda r: (r[0], r[1], r["stats"]))
     x = np.array([r["stats"] for r in got], float).reshape(len(got), len(STATS))
     return fit(x, np.array([1 - r[1] for r in got], float), list(STATS.values()))
+
+
+def keep(docs: DataFrame, model: Trees, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that pass the base rules and the model."""
+
+    def run(batches):
+        for b in batches:
+            texts, stay = texts_of(b[text_col]), []
+            for lo, hi in chunks([len(t) for t in texts]):
+                got = [statistics(t) for t in texts[lo:hi]]
+                score = model.score(np.array([g[1] for g in got], float))
+                stay += [not base_failed(g[0][0], g[0][4]) and x < REJECT for g, x in zip(got, score.tolist(), strict=True)]
+            take = pa.array(stay, pa.bool_())
+            yield {k: v.filter(take) for k, v in b.items()}
+
+    return map_rows(docs, docs.schema, run)

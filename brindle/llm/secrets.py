@@ -152,3 +152,13 @@ def redact(text: str, spans: list[Span], mark: str = "[secret]") -> str:
         at = max(at, b)
         stop = at
     return "".join([*out, text[at:]])
+
+
+def clean(docs: DataFrame, scanner: Scanner, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, secrets in the text replaced; null texts stay null."""
+
+    def run(batches):
+        for b in batches:
+            yield b | {text_col: [None if t is None else redact(t, scanner.spans(t)) for t in b[text_col].to_pylist()]}
+
+    return map_rows(docs, docs.schema, run)

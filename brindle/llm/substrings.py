@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from brindle.llm.common import chunks, map_rows, pick, release, spill, texts_of
+from brindle.llm.common import chunks, map_rows, release, spill, texts_of
 from brindle.llm.words import OTHER_BASE, Words, run_hash, runs, signed
 
 WIDTH, PREFIX = 35, 8
@@ -72,9 +73,9 @@ class Blocks:
         self.number = np.arange(len(i)) - np.searchsorted(self.owner, self.owner)
 
 
-def _texts(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(text.alias("text"), F.xxhash64(text).alias("tid"), *more)
+    return docs.select(text.alias("text"), F.xxhash64(text).alias("tid"))
 
 
 def _blocks(texts: DataFrame, width: int, prefix: int) -> DataFrame:
@@ -229,40 +230,72 @@ def _kept(words: Words, i: int, s: Blocks | None, mark: dict | None, width: int)
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, prefix: int = PREFIX, digest: bool = False) -> DataFrame:
     """id, n_words, n_removed and the kept words joined by spaces (``kept``, or its SHA-256)."""
-    marks = repeats(docs, text_col=text_col, width=width, prefix=prefix)
-    bits = _bits(marks)
-    rows = _texts(docs, text_col, F.col(f"`{id_col}`"))
-    kind = rows.schema[id_col].dataType.simpleString()
     last = "kept_sha256" if digest else "kept"
     finish = (lambda x: hashlib.sha256(x).hexdigest()) if digest else (lambda x: x.decode("utf-8", "surrogatepass"))
 
-    def untouched(batches):
+    def rest(w: Words, i: int, stay: np.ndarray) -> tuple:
+        a = w.ranges[i][0]
+        return len(stay), int(len(stay) - stay.sum()), finish(b" ".join([w.text(a + j) for j in np.flatnonzero(stay).tolist()]))
+
+    return _apply(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col, width, prefix, rest, f"n_words bigint, n_removed bigint, {last} string").drop(text_col)
+
+
+def cut(docs: DataFrame, *, text_col: str = "text", width: int = WIDTH, prefix: int = PREFIX) -> DataFrame:
+    """All columns of ``docs``, repeats cut out of the text; white space between kept words stays.
+
+    Rows that had words and lose all of them go.
+    """
+
+    def rest(w: Words, i: int, stay: np.ndarray) -> tuple:
+        a, b = w.ranges[i]
+        if stay.all():
+            return (None, True)
+        out, at = [], np.flatnonzero(np.diff(stay.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        for x, y in at.reshape(-1, 2).tolist():
+            out.append(w.data[w.start[a + x] : w.start[a + y] if a + y < b else w.stop[b - 1]])
+        return b"".join(out).decode("utf-8", "surrogatepass"), bool(stay.any())
+
+    out = _apply(docs, text_col, width, prefix, rest, "_rest string, _any boolean")
+    out = out.where("_any").withColumn(text_col, F.coalesce("_rest", F.col(f"`{text_col}`")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _apply(docs: DataFrame, text_col: str, width: int, prefix: int, rest, schema: str) -> DataFrame:
+    """The rows with the columns of ``schema``, which ``rest(words, i, stay)`` gives for each text."""
+    marks = repeats(docs, text_col=text_col, width=width, prefix=prefix)
+    bits = _bits(marks)
+    rows = docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    given = docs.schema
+    out = StructType([*given.fields, *_parse_datatype_string(schema).fields])
+    names = _parse_datatype_string(schema).names
+
+    def plain(batches):
         for b in batches:
-            take = pa.array(~_in(bits, b["tid"].to_numpy(zero_copy_only=False)))
-            words = [t.encode("utf-8", "surrogatepass").split() for t in texts_of(b["text"].filter(take))]
-            yield {id_col: b[id_col].filter(take), "n_words": [len(x) for x in words], "n_removed": [0] * len(words), last: [finish(b" ".join(x)) for x in words]}
+            take = pa.array(~_in(bits, b["_tid"].to_numpy(zero_copy_only=False)))
+            own = {n: b[n].filter(take) for n in given.names}
+            every = texts_of(own[text_col])
+            got = []
+            for lo, hi in chunks([len(t) for t in every]):
+                w = Words(every[lo:hi])
+                got += [rest(w, i, np.ones(y - x, bool)) for i, (x, y) in enumerate(w.ranges)]
+            yield own | {n: [g[k] for g in got] for k, n in enumerate(names)}
 
     def passing(batches):
         for b in batches:
-            take = pa.array(_in(bits, b["tid"].to_numpy(zero_copy_only=False)))
+            take = pa.array(_in(bits, b["_tid"].to_numpy(zero_copy_only=False)))
             yield {k: v.filter(take) for k, v in b.items()}
 
     def marked(batches):
         for b in batches:
-            ids, every = b[id_col], texts_of(b["text"])
-            mark = [None if c is None else {"copied": c, "blocks": k, "starts": s} for c, k, s in zip(b["copied"].to_pylist(), b["blocks"].to_pylist(), b["starts"].to_pylist(), strict=True)]
+            every = texts_of(b[text_col])
+            mark = [None if c is None else {"copied": c, "blocks": k, "starts": s} for c, k, s in zip(b["_copied"].to_pylist(), b["_blocks"].to_pylist(), b["_starts"].to_pylist(), strict=True)]
+            got = []
             for lo, hi in chunks([len(t) for t in every]):
                 w = Words(every[lo:hi])
                 s = Blocks(w, width, prefix)
-                n, gone, kept = [], [], []
-                for i in range(hi - lo):
-                    stay = _kept(w, i, s, mark[lo + i], width)
-                    a = w.ranges[i][0]
-                    n.append(len(stay))
-                    gone.append(int(len(stay) - stay.sum()))
-                    kept.append(finish(b" ".join([w.text(a + j) for j in np.flatnonzero(stay).tolist()])))
-                yield {id_col: ids[lo:hi], "n_words": n, "n_removed": gone, last: kept}
-
-    schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, {last} string"
-    hard = map_rows(rows, f"text string, tid bigint, `{id_col}` {kind}", passing).join(marks, "tid", "left")
-    return map_rows(rows, schema, untouched).unionByName(map_rows(hard, schema, marked))
+                got += [rest(w, i, _kept(w, i, s, mark[lo + i], width)) for i in range(hi - lo)]
+            yield {n: b[n] for n in given.names} | {n: [g[k] for g in got] for k, n in enumerate(names)}
+
+    found = marks.select(F.col("tid").alias("_tid"), F.col("copied").alias("_copied"), F.col("blocks").alias("_blocks"), F.col("starts").alias("_starts"))
+    hard = map_rows(rows, rows.schema, passing).join(found, "_tid", "left")
+    return map_rows(rows, out, plain).unionByName(map_rows(hard, out, marked))
