@@ -159,5 +159,5 @@ def duration_seconds(ttl: Column) -> Column:
 def cut_lines(text: Column, most: int = 3000, keep: int = 2970) -> Column:
     """Texts over ``most`` characters end at the last line feed within ``keep``."""
     head = F.substring(text, 1, keep)
-    at_line = F.regexp_replace(head, r"\n[^\n]*$", "")
+    at_line = F.regexp_replace(head, r"\n[^\n]*\z", "")
     return F.when(F.length(text) <= most, text).otherwise(at_line)

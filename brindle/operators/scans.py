@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from brindle.functions import constants as C
 from brindle.functions import text as X
@@ -75,7 +76,7 @@ def stack_lookup(stack: DataFrame, table: DataFrame, core: list[str]) -> DataFra
     return found.unionByName(always).distinct()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def snippet(texts: pd.Series) -> pd.Series:
     """Imports, type definitions and the first two functions (to their closing brace), 2000 characters."""
     import re

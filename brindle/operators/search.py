@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from brindle.functions import constants as C
 from brindle.functions import scoring as S
@@ -44,7 +45,7 @@ def learned_boost(tools: DataFrame, weights: DataFrame, query: list[str]) -> Dat
     return tools.join(hits, "tool", "left").select("tool", F.round(F.coalesce("w", F.lit(0.0)) / max(len(query), 1), 6).alias("boost"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which edit distances don't give."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

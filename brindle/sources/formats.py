@@ -27,7 +27,7 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select("path", F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), text.alias("t"))
     head = F.regexp_extract("t", r"(?s)^---\n(.*?)\n---\n?", 1)
     body = F.regexp_replace("t", r"(?s)^---\n.*?\n---\n?", "")
-    return rows.select("path", "mtime", frontmatter(head).alias("fields"), frontmatter_lists(head).alias("lists"), F.trim(body).alias("body"))
+    return rows.select("path", "mtime", frontmatter(head).alias("fields"), frontmatter_lists(head).alias("lists"), F.btrim(body, F.lit(" \n\t\r")).alias("body"))
 
 
 def frontmatter(head: Column) -> Column:
