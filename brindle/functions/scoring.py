@@ -43,11 +43,13 @@ def age_days(since: Column, as_of: Column) -> Column:
 
 
 def recency(since: Column, as_of: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - whole_days(since, as_of) / C.RECENCY_DAYS), F.lit(0.0))
+    days = whole_days(since, as_of)
+    return F.when(days.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - days / C.RECENCY_DAYS))
 
 
 def decay(since: Column, as_of: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(C.DECAY_LEAST), 1 - whole_days(since, as_of) / C.DECAY_DAYS), F.lit(1.0))
+    days = whole_days(since, as_of)
+    return F.when(days.isNull(), 1.0).otherwise(F.greatest(F.lit(C.DECAY_LEAST), 1 - days / C.DECAY_DAYS))
 
 
 def path_match(target: Column, pattern: Column) -> Column:

@@ -127,6 +127,8 @@ def parse_graph(text: str) -> dict:
                     item, i = scalar(rest), i + 1
                 out.append(item)
                 continue
+            if isinstance(out, list):  # the list has ended; its parent goes on at this depth
+                break
             out = {} if out is None else out
             key, _, rest = line.partition(":")
             rest = rest.strip()
