@@ -6,9 +6,10 @@ start. Steps, each over all data:
 
 1. Every set gets a content key. Tasks count frequent shingles, as hints for an order.
 2. Two sets can link only if the first ``n - ceil(t n) + 1`` shingles of each, in one common
-   order with frequent shingles last, share a shingle. For each such shingle its sets are
-   sorted by size and neighbours whose sizes allow a link are chained, so a shingle of k
-   sets gives less than k edges. Components of this graph are blocks: no link leaves one.
+   order with frequent shingles last, share a shingle; how many they must share follows from
+   the sizes. Sets with a rare shingle are paired, and pairs that share too few are dropped;
+   sets with a common one are sorted by size and neighbours chained, so k sets give less than
+   k edges. Components of this graph are blocks: no link leaves one.
 3. In a block, sets are the leaves of a signature tree: a node holds the OR of its sets'
    token bitmaps and its range of sizes. A dual traversal of the tree with itself prunes
    node pairs whose largest possible overlap is too small or whose sets are linked already,
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, map_rows, pick, spill, texts_of
+from brindle.llm.common import chunks, map_rows, pick, release, spill, texts_of
 from brindle.llm.components import Union, components
 from brindle.llm.words import OTHER_BASE, Words, mix, runs, signed
 
 WIDTH, THRESHOLD = 5, 0.75
 #: Frequent shingles that are put last in the order: at most so many (an order, not a filter).
-FREQUENT, LEAST = 200_000, 8
+FREQUENT, LEAST = 200_000, 16
+#: Sets that have a shingle, up to which they are paired; more common shingles chain their sets.
+RARE = 128
 #: Sets of a block that one traversal takes, and sets of a group of small blocks, on average.
 BLOCK, GROUP = 4000, 500
 #: Bits of a signature; children of a node.
@@ -151,7 +154,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def frequent(held: list[np.ndarray]):
         u, n = np.unique(np.concatenate(held), return_counts=True)
-        few = n >= LEAST // 2
+        few = n >= 2
         u, n = u[few], n[few]
         return {"kind": np.ones(len(u), np.int32), "a": signed(u), "n": n.astype(np.int64), "key": np.zeros(len(u), np.int64)}
 
@@ -168,7 +171,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         seen.add(k)
                         held.append(s)
                         total += len(s)
-                if total > 3_000_000:
+                if total > 6_000_000:
                     yield frequent(held)
                     held, total = [], 0
         if held:
@@ -207,6 +210,88 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text_col
     return map_rows(docs.select(F.col(f"`{text_col}`")), "token bigint, n bigint, key bigint", run)
 
 
+def _shared(prefixes: DataFrame, t: float) -> DataFrame:
+    """What sets share in their prefixes.
+
+    kind 0: a pair of sets of compatible sizes that share a shingle which at most ``RARE``
+    sets have. kind 1: a set (u) with a more common shingle (v). A task reads its shingles in
+    order and holds one shingle's sets, until it knows that they are more than ``RARE``.
+    """
+
+    def out(kind: int, u, v, nu, nv) -> dict:
+        return {"kind": np.full(len(u), kind, np.int32), "u": u, "v": v, "nu": nu, "nv": nv}
+
+    def run(batches):
+        held = (np.empty(0, np.int64),) * 3
+        common, last = None, None  # the common shingle being read, and its last set
+        for tok, n, key in ((b["token"].to_numpy(), b["n"].to_numpy(), b["key"].to_numpy()) for b in batches):
+            if common is not None:
+                here = tok == common
+                k, size = key[here], n[here]
+                if len(k):
+                    new = np.ones(len(k), bool)
+                    new[1:] = k[1:] != k[:-1]
+                    new[0] = k[0] != last
+                    last = k[-1]
+                    yield out(1, k[new], np.full(int(new.sum()), common), size[new], np.zeros(int(new.sum()), np.int64))
+                tok, n, key = tok[~here], n[~here], key[~here]
+                if not len(tok):
+                    continue
+                common = None
+            tok, n, key = (np.concatenate(x) for x in zip(held, (tok, n, key), strict=True))
+            new = np.ones(len(tok), bool)
+            new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
+            tok, n, key = tok[new], n[new], key[new]
+            stop = int(np.searchsorted(tok, tok[-1])) if len(tok) else 0
+            if len(tok) - stop > RARE:
+                common, last, stop = tok[-1], key[-1], len(tok)
+            held = (tok[stop:], n[stop:], key[stop:])
+            yield from compare(tok[:stop], n[:stop], key[:stop])
+        yield from compare(*held)
+
+    def compare(tok, n, key):
+        if not len(tok):
+            return
+        first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+        many = np.diff(np.append(first, len(tok)))
+        left = np.repeat(many, many) - (np.arange(len(tok)) - np.repeat(first, many)) - 1  # sets of the shingle still to come
+        rare = np.repeat(many <= RARE, many)
+        if not rare.all():
+            k = ~rare
+            yield out(1, key[k], tok[k], n[k], np.zeros(int(k.sum()), np.int64))
+        at = np.flatnonzero(rare & (left > 0))
+        step = 1
+        while len(at):
+            i, j = at, at + step
+            fits = n[i] >= t * n[j] - 1e-9
+            yield out(0, key[i[fits]], key[j[fits]], n[i[fits]], n[j[fits]])
+            step += 1
+            at = at[fits & (left[at] >= step)]  # sizes ascend: once too large, always too large
+
+    rows = prefixes.repartition("token").sortWithinPartitions("token", "n", "key")
+    return map_rows(rows, "kind int, u bigint, v bigint, nu bigint, nv bigint", run)
+
+
+def _edges(shared: DataFrame, t: float) -> DataFrame:
+    """(u, v, nu, nv): edges whose components hold every link.
+
+    If two sets link, the set whose prefix ends first in the order has at most
+    ``ceil(t n) - 1`` shingles behind its prefix, so they share at least
+    ``need - (ceil(t n) - 1)`` prefix shingles. Sets with a common shingle are chained by
+    size, which connects every linking pair of them; a pair without one shares rare shingles
+    only, so its count is complete and is held against the bound.
+    """
+    rare = shared.where("kind = 0")
+    common = shared.where("kind = 1")
+    behind = lambda n: F.ceil(F.lit(t) * F.col(n) - 1e-9) - 1
+    least = F.ceil(F.lit(t) * (F.col("nu") + F.col("nv")) / (1 + t) - 1e-9) - F.greatest(behind("nu"), behind("nv"))
+    pairs = rare.where(F.col("count") >= least)
+    w = W.partitionBy("v").orderBy("nu", "u")
+    chain = common.select(F.lag("u").over(w).alias("u"), F.col("u").alias("v"), F.lag("nu").over(w).alias("nu"), F.col("nu").alias("nv"))
+    chain = chain.where((F.col("u") != F.col("v")) & (F.col("nu") >= F.lit(t) * F.col("nv") - 1e-9)).distinct()
+    return pairs.select("u", "v", "nu", "nv").unionByName(chain)
+
+
 def _payload(docs: DataFrame, sieve: np.ndarray, text_col: str) -> DataFrame:
     """(key, n, tokens) of sets that may be in a block; a task gives equal sets once."""
 
@@ -268,10 +353,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     level = np.array([min(255, r["n"].bit_length()) for r in top], np.uint8)
     by = np.argsort(heavy)
     pre = _prefixes(docs, (heavy[by], level[by]), text_col, threshold)
-    w = W.partitionBy("token").orderBy("n", "key")
-    chain = pre.withColumns({"key0": F.lag("key").over(w), "n0": F.lag("n").over(w)})
-    edges = chain.where((F.col("key0") != F.col("key")) & (F.col("n0") >= F.lit(threshold) * F.col("n") - 1e-9)).select(F.col("key0").alias("u"), F.col("key").alias("v"), "n0", "n")
-    edges = spill(edges.groupBy("u", "v").agg(F.first("n0").alias("nu"), F.first("n").alias("nv")), "jaccard-edges")
+    shared = spill(_shared(pre, threshold).groupBy("kind", "u", "v", "nu", "nv").count(), "jaccard-shared")
+    release(docs.sparkSession)
+    edges = spill(_edges(shared, threshold), "jaccard-edges")
     roots = components(edges)
     size_of = edges.select(F.col("u").alias("node"), F.col("nu").alias("n")).unionByName(edges.select(F.col("v").alias("node"), F.col("nv").alias("n"))).groupBy("node").agg(F.max("n").alias("n"))
     nodes = spill(roots.join(size_of, "node").select(F.col("node").alias("key"), "root", "n"), "jaccard-blocks")
@@ -295,9 +379,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = spill(given.groupBy("unit").applyInArrow(link, "u bigint, v bigint"), "jaccard-links")
     if cut:
         found = components(found).select(F.col("node").alias("u"), F.col("root").alias("v"))
-    label = found.where("u <> v").select(F.col("u").alias("key"), F.col("v").alias("_root")).distinct()
+    # Both sides of these joins are shuffled for the join alone, so a hot set or class can be split.
+    label = spill(found.where("u <> v").select(F.col("u").alias("key"), F.col("v").alias("_root")).distinct(), "jaccard-labels")
     named = rows.join(label, "key", "left").withColumn("_root", F.coalesce("_root", "key"))
-    least = named.where("n_shingles > 0").groupBy("_root").agg(F.min(id_col).alias("component_id"))
+    least = spill(named.where("n_shingles > 0").groupBy("_root").agg(F.min(id_col).alias("component_id")), "jaccard-least")
     out = named.join(least, "_root", "left")
     return out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 
