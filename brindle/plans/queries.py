@@ -14,6 +14,7 @@ from brindle.operators import memory as M
 from brindle.operators import merge as MG
 from brindle.operators import scans as SC
 from brindle.operators import search as SE
+from brindle.operators import selection as SL
 from brindle.operators import trends as TR
 from brindle.plans import entities as Q
 from brindle.plans.registry import query
@@ -521,3 +522,87 @@ def session_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sessions(T.edits(spark, sf_dir), "key", 7200)
 
 
+
+
+# ---------------------------------------------------------------- smaller selections
+
+
+@query("SELECT doc_id, hits FROM (SELECT doc_id, (contains(lower(coalesce(text, '')), 'the ')::INT + contains(lower(coalesce(text, '')), 'license')::INT + contains(lower(coalesce(text, '')), 'token')::INT) AS hits FROM documents) WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 10")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SL.keyword_search(T.load(spark, sf_dir, "documents"), "text", "doc_id", ["the ", "License", "token"])
+
+
+
+
+
+@query(f"""WITH {Q.NOTES}, u AS (SELECT id, w, min(i) AS i FROM (SELECT id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM notes) GROUP BY id, w),
+five AS (SELECT id, list(w) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM u) WHERE r <= 5 GROUP BY id),
+b AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(left(coalesce(body, ''), 800)), '[a-záéíóúñü_][a-záéíóúñü0-9_]*')), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS bw FROM notes),
+s AS (SELECT id, type, age_s, round(len(list_intersect(coalesce(tags, []), ['erth', 'the', 'enthat', 'ededre'])) / (len(coalesce(tags, [])) + 1) * 1.5 + len(list_intersect(bw, ['erth', 'the', 'enthat', 'ededre'])) / (len(bw) + 1) * 0.4, 6) AS overlap FROM notes LEFT JOIN five USING (id) JOIN b USING (id))
+SELECT id, overlap, round(overlap + CASE type WHEN 't0' THEN 0.15 WHEN 't1' THEN 0.10 WHEN 't2' THEN 0.05 ELSE 0 END + 0.05 / (1 + age_s / 86400.0), 6) AS rank FROM s WHERE overlap >= 0.08 ORDER BY rank DESC, id LIMIT 20""")
+def prompt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SL.prompt_rank(T.memory_nodes(spark, sf_dir), ["erth", "the", "enthat", "ededre"], S.age_days(F.col("mtime"), T.as_of()))
+
+
+@query(rf"""WITH {Q.PATHS}, f AS (SELECT DISTINCT path AS file FROM paths), t AS (SELECT unnest(['src/services/authService.ts', 'lib/utils/router.js', 'src/api/handlers/theme.go']) AS target),
+p AS (SELECT target, file, lower(regexp_replace(regexp_extract(target, '[^/]*$'), '(.)\.[^.]+$', '\1')) AS ts, lower(regexp_replace(regexp_extract(file, '[^/]*$'), '(.)\.[^.]+$', '\1')) AS fs, lower(regexp_replace(target, '/[^/]*$', '')) AS tu, lower(regexp_replace(file, '/[^/]*$', '')) AS fu FROM t, f),
+s AS (SELECT target, file, CASE WHEN ts = fs THEN 3.0 WHEN contains(ts, fs) OR contains(fs, ts) THEN 1.5 ELSE 0.0 END + 0.5 * n + CASE WHEN tu = fu THEN 1.0 ELSE 0.0 END AS score FROM (
+SELECT *, len(list_intersect(list_distinct(string_split(tu, '/') || [ts]), list_distinct(string_split(fu, '/') || [fs]))) AS n FROM p) WHERE n > 0)
+SELECT target, file, score::DOUBLE AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, file) AS place FROM s WHERE score >= 1.0) WHERE place <= 2""")
+def similar_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = spark.sql("select explode(array('src/services/authService.ts', 'lib/utils/router.js', 'src/api/handlers/theme.go')) as path")
+    return SL.similar_paths(T.paths(spark, sf_dir).select("path").distinct(), targets)
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES (0, ['*']), (1, ['click', 'view']), (2, ['error'])) v(node, tools))
+SELECT node, tool, n, (coalesce(list_contains(tools, '*') OR list_contains(tools, tool), false) AND tool NOT IN ('signup')) AS blocked FROM (SELECT user_id % 4 AS node, event_type AS tool, count(*) AS n FROM events GROUP BY ALL) LEFT JOIN r USING (node)""")
+def blocked_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = T.load(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("node"), F.col("event_type").alias("tool")).agg(F.count("*").alias("n"))
+    rules = spark.sql("select * from values (0L, array('*')), (1L, array('click', 'view')), (2L, array('error')) as v(node, tools)")
+    return SL.blocked(calls, rules, ["signup"])
+
+
+@query("SELECT needs, count(*) AS n FROM (SELECT string_split(trim(lower(left(text, 40))), ' ')[1] NOT IN ('the', 'of', 'de', 'la') AS needs FROM documents WHERE text IS NOT NULL) GROUP BY needs")
+def snapshot_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.load(spark, sf_dir, "documents").where("text is not null")
+    first = F.split(F.trim(F.lower(F.substring("text", 1, 40))), " ")[0]
+    return rows.groupBy(SL.needs_snapshot(F.concat(first, F.lit(" x")), ["the", "of", "de", "la"]).alias("needs")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {Q.FINDINGS}, r AS (SELECT *, greatest(count(*) OVER (PARTITION BY file) - 5, 0) AS more, row_number() OVER (PARTITION BY file ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, l_orderkey, l_linenumber) AS place FROM findings WHERE current)
+SELECT file, place, severity, more, l_orderkey, l_linenumber FROM r WHERE place <= 5""")
+def severity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SL.capped(T.findings(spark, sf_dir).where("current"), "file", ["l_orderkey", "l_linenumber"]).select("file", "place", "severity", "more", "l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {Q.PATHS}, f AS (SELECT DISTINCT path FROM paths) SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*) AS files FROM f GROUP BY 1")
+def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SL.fan_out(T.paths(spark, sf_dir))
+
+
+@query(f"WITH {Q.PATHS} SELECT DISTINCT string_split(path, '/')[2] AS name FROM paths WHERE starts_with(path, 'internal/') ORDER BY name")
+def bounded_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SL.contexts(T.paths(spark, sf_dir), ["contexts", "internal", "src"])
+
+
+@query("WITH w AS (SELECT unnest(['click', 'view', 'refund', 'error']) AS event_type) SELECT event_type, event_type IN (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error') AS present FROM w")
+def language_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.sql("select explode(array('click', 'view', 'refund', 'error')) as event_type")
+    return SL.presence(wanted, T.load(spark, sf_dir, "events").where("event_type <> 'error'"), "event_type")
+
+
+@query(f"WITH {Q.CATALOG} SELECT seq, sha1(tool_name || ': ' || coalesce(description, '') || chr(10) || 'Params: ' || CASE WHEN seq % 3 = 0 THEN '(no params)' WHEN seq % 3 = 1 THEN 'a: int' ELSE 'a: int, b: str' END) AS h FROM catalog")
+def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = F.slice(F.expr("array(named_struct('name', 'a', 'type', 'int'), named_struct('name', 'b', 'type', 'str'))"), F.lit(1), (F.col("seq") % 3).cast("int"))
+    return T.catalog(spark, sf_dir).select("seq", F.sha1(SL.embedding_text(F.col("tool_name"), F.col("description"), params)).alias("h"))
+
+
+@query("SELECT l_shipmode, passed, total, round(passed / total, 6) AS score FROM (SELECT l_suppkey % 5 AS l_shipmode, count(*) FILTER (l_discount <= 0.05) AS passed, count(*) AS total FROM lineitem GROUP BY 1)")
+def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("l_shipmode"), (F.col("l_discount") <= 0.05).alias("ok"))
+    return SL.health(rows, "l_shipmode")
+
+
+@query("SELECT user_id, event_type, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors FROM events GROUP BY ALL HAVING count(*) >= 3")
+def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n")).where("n >= 3").drop("n")
