@@ -38,7 +38,7 @@ def triggered(edges: DataFrame, tool: str | None = None, phrase: str | None = No
     else:
         hit = F.col("kind") == "default"
     rows = edges.where(hit | always) if tool is None and phrase is None else edges.where(hit)
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("src").orderBy("priority", "seq")))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("src").orderBy("priority", "seq")).cast("bigint"))
 
 
 def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:

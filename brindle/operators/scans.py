@@ -17,7 +17,8 @@ def rule_scan(rows: DataFrame, key: str, text: str, rules: dict[str, str]) -> Da
     each = [F.struct(F.lit(name).alias("rule"), F.regexp_count(text, F.lit(rule)).alias("n"), F.regexp_instr(text, F.lit(rule)).alias("at")) for name, rule in rules.items()]
     hits = rows.select(key, F.col(text), F.explode(F.array(*each)).alias("x")).where("x.n > 0")
     head = F.expr(f"substring({text}, 1, x.at - 1)")
-    return hits.select(key, "x.rule", "x.n", (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).alias("line"))
+    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+    return hits.select(key, "x.rule", F.col("x.n").cast("bigint").alias("n"), line.cast("bigint").alias("line"))
 
 
 def checklist(entries: DataFrame, task: str, least: int) -> DataFrame:
@@ -36,7 +37,7 @@ def notes(entries: DataFrame, by: str, least: float = 0.65, most: int = 5) -> Da
     said = F.substring(F.substring_index("description", ".", 1), 1, 120)
     rows = entries.where(F.col("confidence") >= least).select(by, said.alias("note"), "confidence").groupBy(by, "note").agg(F.max("confidence").alias("confidence"))
     w = W.partitionBy(by).orderBy(F.desc("confidence"), "note")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= most)
 
 
 def transcript_tail(turns: DataFrame, n: int = 30) -> DataFrame:

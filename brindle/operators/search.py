@@ -24,7 +24,7 @@ def vector_topk(rows: DataFrame, query: DataFrame, k: int = 10, *, key: str = "s
 def vector_topk_by_group(rows: DataFrame, query: DataFrame, k: int, group: str, *, key: str = "seq", vec: str = "embedding") -> DataFrame:
     scored = rows.join(F.broadcast(query)).select(F.col(group), F.col(key), F.round(S.cosine(F.col(vec), F.col("q")), 6).alias("score"))
     best = W.partitionBy(group).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 
 
 def keyword_fallback(rows: DataFrame, query: str, k: int) -> DataFrame:

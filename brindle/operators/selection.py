@@ -44,7 +44,7 @@ def similar_paths(files: DataFrame, targets: DataFrame, least: float = 1.0, k: i
     stem = F.when(F.col("target_stem") == F.col("file_stem"), 3.0).when(F.col("target_stem").contains(F.col("file_stem")) | F.col("file_stem").contains(F.col("target_stem")), 1.5).otherwise(0.0)
     rows = shared.select("target", "file", (stem + 0.5 * F.col("n") + F.when(F.col("target_up") == F.col("file_up"), 1.0).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
     w = W.partitionBy("target").orderBy(F.desc("score"), "file")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
 
 
 def blocked(calls: DataFrame, rules: DataFrame, allowed: list[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def needs_snapshot(command: Column, reading: list[str]) -> Column:
 def capped(rows: DataFrame, by: str, order: list, k: int = 5) -> DataFrame:
     """The first k of each group, worst severity first, and how many more there are."""
     w = W.partitionBy(by)
-    ranked = rows.withColumn("more", F.greatest(F.count("*").over(w) - k, F.lit(0))).withColumn("place", F.row_number().over(w.orderBy(F.desc(S.rank_of(F.col("severity"), C.SEVERITY, 0)), *order)))
+    ranked = rows.withColumn("more", F.greatest(F.count("*").over(w) - k, F.lit(0))).withColumn("place", F.row_number().over(w.orderBy(F.desc(S.rank_of(F.col("severity"), C.SEVERITY, 0)), *order)).cast("bigint"))
     return ranked.where(F.col("place") <= k)
 
 
