@@ -42,6 +42,8 @@ FREQUENT, LEAST = 200_000, 16
 RARE = 128
 #: Sets of a block that one traversal takes, and sets of a group of small blocks, on average.
 BLOCK, GROUP = 4000, 500
+#: Sets in blocks up to which their table (some 40 bytes a row) is broadcast.
+BROADCAST = 500_000
 #: Bits of a signature; children of a node.
 BITS, FANOUT = 4096, 8
 #: Words of the bitmap with which scans leave out sets that are in no block (512 KB at any size).
@@ -325,14 +327,15 @@ def _sieve(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _units(nodes: DataFrame, t: float) -> tuple[DataFrame, bool]:
-    """(key, unit, root): which traversals take a set. Whether some block had to be cut."""
+def _units(nodes: DataFrame, t: float) -> tuple[DataFrame, bool, int]:
+    """(key, unit, root): which traversals take a set; whether a block had to be cut; the number of sets."""
+    n = nodes.count()
     sizes = nodes.groupBy("root").agg(F.count("*").alias("members"))
     large = sizes.where(F.col("members") > BLOCK)
-    groups = max(1, math.ceil(nodes.count() / GROUP))
+    groups = max(1, math.ceil(n / GROUP))
     unit = F.concat(F.lit("g"), F.pmod(F.xxhash64("root"), F.lit(groups)).cast("string"))
     if large.isEmpty():
-        return nodes.select("key", unit.alias("unit"), "root"), False
+        return nodes.select("key", unit.alias("unit"), "root"), False, n
     small = nodes.join(large, "root", "left_anti").select("key", unit.alias("unit"), "root")
     at = (F.row_number().over(W.partitionBy("root").orderBy("n", "key")) - 1) / (BLOCK // 2)
     parts = nodes.join(large, "root", "left_semi").withColumn("part", F.floor(at))
@@ -341,7 +344,7 @@ def _units(nodes: DataFrame, t: float) -> tuple[DataFrame, bool]:
     pairs = span.join(other, "root").where((F.col("part") <= F.col("part2")) & (F.col("hi") >= F.lit(t) * F.col("lo2") - 1e-9))
     name = F.concat_ws("-", F.lit("b"), "root", "part", "part2")
     ends = pairs.select("root", name.alias("unit"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
-    return small.unionByName(parts.join(ends, ["root", "part"]).select("key", "unit", "root")), True
+    return small.unionByName(parts.join(ends, ["root", "part"]).select("key", "unit", "root")), True, n
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -359,7 +362,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     roots = components(edges)
     size_of = edges.select(F.col("u").alias("node"), F.col("nu").alias("n")).unionByName(edges.select(F.col("v").alias("node"), F.col("nv").alias("n"))).groupBy("node").agg(F.max("n").alias("n"))
     nodes = spill(roots.join(size_of, "node").select(F.col("node").alias("key"), "root", "n"), "jaccard-blocks")
-    units, cut = _units(nodes, threshold)
+    units, cut, n = _units(nodes, threshold)
+    # Up to a checked size the table of blocks goes to the sets; beyond it both are shuffled.
+    units = F.broadcast(units) if n <= BROADCAST and not cut else units
     given = _payload(docs, _sieve(nodes), text_col).join(units, "key")
 
     def link(block: pa.Table) -> pa.Table:
