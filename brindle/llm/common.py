@@ -22,16 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which every executor can reach.
 
     Only where the session has no such setting (tests on one machine) is a folder of
     the session's warehouse used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
-    return f"{base.rstrip('/')}/brindle-{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/") if base else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder."""
+    return f"{shared_base(spark)}/brindle-{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that finished queries left in the shared folder; returns how many.
+
+    Results that are still to be computed read such tables: write those first.
+    """
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_base(spark)}/brindle-*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    return sum(fs.delete(x.getPath(), True) for x in found)
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:

@@ -253,3 +253,10 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_sweep_deletes_what_queries_left(spark):
+    from brindle.llm.common import spill, sweep
+
+    spill(spark.range(3), "test")
+    assert sweep(spark) >= 1 and sweep(spark) == 0
