@@ -191,12 +191,13 @@ def repeats(docs: DataFrame, *, text_col: str = "text", width: int = WIDTH, pref
     texts = _texts(docs, text_col)
     every = _blocks(texts, width, prefix)
     blocks = every.where("kind = 1").withColumn("oid", F.xxhash64("tid", "number"))
-    again = _twice(blocks, "key").where("_one <> _other").select("key")
+    # Written first, so that the join shuffles both sides for itself and a hot prefix can be split.
+    again = spill(_twice(blocks, "key").where("_one <> _other").select("key"), "substring-prefixes")
     kept = spill(blocks.join(again, "key", "left_semi").select("key", "content", "tid", "number", "oid"), "substring-blocks")
     release(spark)
     nodes = spill(_twice(kept, "key", "content").withColumn("single", F.col("_one") == F.col("_other")), "substring-contents")
     full = kept.join(nodes.where("not single").select("key", "content"), ["key", "content"], "left_semi").select("tid", "number").distinct()
-    mixed = nodes.join(nodes.where("single").select("key").distinct(), "key", "left_semi")
+    mixed = nodes.join(spill(nodes.where("single").select("key").distinct(), "substring-singles"), "key", "left_semi")
     wanted = kept.join(mixed.select("key", "content", F.col("_one").alias("oid"), "single"), ["key", "content", "oid"]).select("tid", "number", "single").distinct()
     starts = _deep_nodes(texts, spill(wanted, "substring-wanted"), width, prefix)
     none = F.lit(None).cast("bigint")
