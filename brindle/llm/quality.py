@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, map_rows, pick, texts_of
+from brindle.llm.common import chunks, map_rows, pick, texts_of, thin
 
 #: Labelled documents that the training sees at most, least hash of the id first.
 SAMPLE = 8000
@@ -202,7 +202,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled documents (label 1: good, 0: bad)."""
     few = labels.select(id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-    few = few.orderBy(F.xxhash64(id_col), id_col, label_col).limit(sample)
+    few = thin(few, sample, id_col).orderBy(F.xxhash64(id_col), id_col, label_col).limit(sample)
     rows = pick(docs, id_col, text_col).join(F.broadcast(few), id_col)  # at most ``sample`` labels
     one = measure(rows.select(id_col, text_col), id_col=id_col, text_col=text_col)
     got = one.join(F.broadcast(few), id_col).select(id_col, label_col, "n_words", "n_repeat_words", "stats").collect()

@@ -19,11 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_rows, pick, texts_of
+from brindle.llm.common import map_rows, pick, texts_of, thin
 
 KINDS = ("assign", "access", "hex", "markov")
-#: Documents from which ordinary words are taken at most (by hash of the id), words at most.
-SAMPLE_DOCS, SAMPLE_WORDS = 500, 50_000
+#: Documents from which ordinary words are taken at most (by hash of the id), of each its first
+#: characters, and words in all. This bounds the training sample only; scans read whole texts.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 500, 4000, 50_000
 #: Mean log-likelihood ratio of a character from which a candidate counts as random.
 THRESHOLD = 0.6
 
@@ -117,8 +118,8 @@ def identifiers(words: list[str], n: int = 8000, seed: int = 11) -> list[str]:
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Scanner:
     """Fit both models; ordinary words come from at most ``sample_docs`` texts, least hashes first."""
-    rows = pick(docs, id_col, text_col).where(F.col(text_col).isNotNull())
-    rows = rows.select(F.substring(text_col, 1, 4000).alias("t"), F.xxhash64(id_col, F.length(text_col)).alias("h")).orderBy("h", "t").limit(sample_docs)
+    rows = thin(pick(docs, id_col, text_col).where(F.col(text_col).isNotNull()), sample_docs, id_col)
+    rows = rows.select(F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(id_col, F.length(text_col)).alias("h")).orderBy("h", "t").limit(sample_docs)
     words: list[str] = []
     for (t,) in rows.select("t").collect():
         spans = base_spans(t)
