@@ -20,12 +20,12 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import chunks, map_rows, pick, texts_of
+from brindle.llm.common import chunks, held, map_rows, pick, texts_of
 
 #: Entries of a worker's cache of slices; a full cache starts anew (results don't change).
 CACHE_ENTRIES = 700_000
@@ -276,9 +276,8 @@ class Codec:
         return np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
 
 
-@lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", work: Callable | None = None, schema: str = "ids binary, offsets binary") -> DataFrame:
@@ -300,7 +299,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 got = [work(own, t, e) for t, e in zip(part, own.encode(part), strict=True)]
                 yield {id_col: ids[lo:hi]} | {n: [g[k] for g in got] for k, n in enumerate(names)}
 
-    return map_rows(rows, f"`{id_col}` {kind}, {schema}", run)
+    return map_rows(rows, f"`{id_col}` {kind}, {schema}", run, holds=True)
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -313,7 +312,7 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
         for b in batches:
             yield {id_col: b[id_col], "text": [own.decode(x or b"").decode("utf-8", "replace") for x in b[ids_col].to_pylist()]}
 
-    return map_rows(rows, f"`{id_col}` {kind}, text string", run)
+    return map_rows(rows, f"`{id_col}` {kind}, text string", run, holds=True)
 
 
 __all__ = ["Codec", "SliceCache", "boundaries", "codec", "decode", "encode", "merge", "slices"]

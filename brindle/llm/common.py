@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,12 +82,38 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def map_rows(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
-    """mapInArrow for functions from an iterator of column dicts to one of column dicts."""
+#: What a Python worker holds from task to task (one vocabulary with its cache), by name.
+HELD: dict = {}
+
+
+def held(name: tuple, make: Callable):
+    """An object that the worker's next tasks find again, until another one is asked for."""
+    if name not in HELD:
+        let_go()
+        HELD[name] = make()
+    return HELD[name]
+
+
+def let_go() -> None:
+    """Drop what is held and give the memory back, for the stage that now runs in this worker."""
+    if HELD:
+        HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[dict]], Iterator[dict]], holds: bool = False) -> DataFrame:
+    """mapInArrow for functions from an iterator of column dicts to one of column dicts.
+
+    ``holds``: the work uses ``held``; other work first drops what earlier stages held.
+    """
     arrow_limits(df.sparkSession)
     out = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
         for cols in work(dict(zip(b.schema.names, b.columns, strict=True)) for b in batches):
             every = [c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in out]
             yield pa.RecordBatch.from_arrays(every, schema=out)

@@ -173,7 +173,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         seen.add(k)
                         held.append(s)
                         total += len(s)
-                if total > 6_000_000:
+                if total > 2_000_000:
                     yield frequent(held)
                     held, total = [], 0
         if held:

@@ -139,4 +139,4 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "spaces",
             yield {n: [r[i] for r in got] for i, n in enumerate(names)}
 
     schema = f"`{id_col}` {kind_of_id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids
-    return map_rows(rows, schema, run)
+    return map_rows(rows, schema, run, holds=True)

@@ -79,7 +79,7 @@ def write(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "words",
                 got = enc.encode(texts[lo:hi])
                 yield {"frame": [frame(i, np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)), width) for i, x in zip(ids[lo:hi], got, strict=True)]}
 
-    out = map_rows(rows, "frame binary", run).select(F.col("frame").cast("string").alias("value"))
+    out = map_rows(rows, "frame binary", run, holds=True).select(F.col("frame").cast("string").alias("value"))
     out.write.option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/data")
 
     def index(batches):

@@ -13,12 +13,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import regex
 from tokenizers import Tokenizer
 
 from brindle.llm import bpe
+from brindle.llm.common import held
 
 #: Entries of a worker's cache.
 ENTRIES = 800_000
@@ -112,6 +112,5 @@ class TextEncoder:
         return out
 
 
-@lru_cache(2)
 def encoder(path: str, kind: str) -> TextEncoder:
-    return TextEncoder(path, kind)
+    return held(("encoder", path, kind), lambda: TextEncoder(path, kind))

@@ -28,7 +28,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(16, int(n).bit_length())
     return _powers(base, size)[:n]
 
 
