@@ -96,11 +96,10 @@ def held(name: tuple, make: Callable):
 
 def let_go() -> None:
     """Drop what is held and give the memory back, for the stage that now runs in this worker."""
-    if HELD:
-        HELD.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    HELD.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_rows(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[dict]], Iterator[dict]], holds: bool = False) -> DataFrame:

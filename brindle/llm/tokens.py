@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 from brindle.llm import bpe
 from brindle.llm.common import held
 
-#: Entries of a worker's cache.
-ENTRIES = 800_000
+#: Entries of a worker's cache, by kind.
+ENTRIES = {"words": 800_000, "spaces": 300_000}
 
 # The splitting rule of the word vocabulary, on lower-cased text.
 WORD_RULE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -51,7 +51,7 @@ class TextEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.pieces: dict = {}
-        self.slow = bpe.SliceCache(lambda new: (self._model(x) for x in new), ENTRIES // 4)
+        self.slow = bpe.SliceCache(lambda new: (self._model(x) for x in new), ENTRIES[kind] // 4)
 
     def _model(self, part: str) -> bytes:
         plain = part.encode().decode("latin-1").translate(self.letters)
@@ -67,7 +67,7 @@ class TextEncoder:
         return b"".join(map(self._model, WORD_RULE.findall(text.lower())))
 
     def _learn(self, new: set) -> None:
-        if len(self.pieces) + len(new) > ENTRIES:
+        if len(self.pieces) + len(new) > ENTRIES[self.kind]:
             self.pieces.clear()
         held = self.pieces
         if self.kind == "words":
@@ -92,7 +92,7 @@ class TextEncoder:
             cut = [SPACE_TAIL.sub("\0\\1", t).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t and t else [""] for t in texts]
         need = set().union(*cut)
         new = need.difference(self.pieces)
-        if len(self.pieces) + len(new) > ENTRIES:
+        if len(self.pieces) + len(new) > ENTRIES[self.kind]:
             new = need
         self._learn(new)
         get = self.pieces.__getitem__
