@@ -1,17 +1,20 @@
 """HTML extraction by deduction of templates from equivalence classes of tokens.
 
 Pages of one host are taken in groups. A page is a sequence of tokens: tags, told apart by
-their enclosing element and their class and id, and text. Tag tokens whose numbers of
-occurrences agree on every page of a group form an equivalence class. A class is valid if
-its tokens come in one order on all pages; classes whose spans lie between two neighbouring
-tokens of another nest there. The valid class of tokens found once a page is the template;
-the gaps between its tokens are slots. A slot whose text is the same on all pages of a
-group is the template's own; the other slots hold data. The article is what lies in the
-slots below the template's main element (article, main or role=main); without one, in
-the slots outside navigation, page headers, footers, sidebars and the like that hold
-prose, with little of it in links.
-
-Groups are cut to ``PAGES`` pages; hosts with more pages, and more than 1/1024 of all, are
+their enclosing element and their class and id (an end tag by its start tag), and text. Tokens
+of block elements whose numbers of occurrences agree on every page of a group form an equivalence class. A
+class is valid if its tokens come in one order, over and over, on all pages; of one that isn't,
+the start and end tags of each element are tried as classes of their own. Valid classes nest:
+of two whose spans cross, the one on fewer pages is split so too, or goes. The class of tokens found once a page is
+the template, the others lie in its gaps or in each other's; a gap between neighbouring tokens
+of a class is a slot, of all its occurrences. An element of a class whose text is the same
+wherever it occurs, on half of the group's pages and on ``PROOF`` (three without a main element) that
+differ in their own text, is the template's own; the rest is data. The article is the data inside the main element (article,
+main or role=main) that isn't in navigation, page headers, footers, sidebars and the like. Text
+that stands bare beside varying text there stays. Without a main element, the article is the data
+outside those, where slots that don't vary go too, and gaps of the template mostly in links.
+
+Groups are cut to ``PAGES`` pages, the last two of a host evenly; hosts with more pages, and more than 1/1024 of all, are
 dealt over several tasks (at most 1024 such hosts exist, so their list has a fixed bound). A lone page
 is its own group. White space inside a block becomes one space, blocks are joined by one
 space, character references are decoded. Null or empty pages give the empty text, and so do
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from brindle.llm.common import map_rows, texts_of
 
 #: Pages of a group; hosts beyond 1 / HEAVY of all pages are dealt out.
 PAGES, HEAVY = 64, 1024
+#: Pages, different in their own text, that must agree on an element below main for it to be the template's.
+PROOF = 8
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(/?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -55,7 +60,7 @@ class Tag:
 def tokens(page: str) -> list:
     """Tags, and texts as (is_text, decoded) pairs, in page order; raw elements hold no text."""
     out: list = []
-    at, stack = 0, []
+    at, stack, own = 0, [], []
     size = len(page)
 
     def text(part: str) -> None:
@@ -80,40 +85,29 @@ def tokens(page: str) -> list:
         role = attrs.get("role", "").lower()
         parent = stack[-1] if stack else ""
         if closing:
-            out.append(Tag(len(out), name, False, f"</{name}>", False, False))
+            token = f"</{name}>"
             if name in stack:
                 while stack.pop() != name:
-                    pass
+                    own.pop()
+                token = "/" + own.pop()
+            out.append(Tag(len(out), name, False, token, False, False))
             continue
         side = name in SIDE or role in SIDE_ROLES or bool(label and name not in ("html", "body") and name not in MAIN and SIDE_NAMES.search(label))
         side = side or "hidden" in re.split(r"[\s=]+", m[3].lower())
-        out.append(Tag(len(out), name, True, f"<{name} {label} {role}> in {parent}", side, name in MAIN or role == "main"))
+        token = f"<{name} {label} {role}> in {parent}"
+        out.append(Tag(len(out), name, True, token, side, name in MAIN or role == "main"))
         if name in RAW and not m[4]:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-            out.append(Tag(len(out), name, False, f"</{name}>", False, False))
+            out.append(Tag(len(out), name, False, "/" + token, False, False))
         elif name not in VOID and not m[4]:
             stack.append(name)
+            own.append(token)
     return out
 
 
-def deduce(pages: list[list]) -> list[str]:
-    """The template: tokens of the valid class of those found once on every page, in order.
-
-    Tokens that break the order which most pages agree on are left out of the class.
-    """
-    counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(pages))
-    for i, page in enumerate(pages):
-        for x in page:
-            if isinstance(x, Tag):
-                counts[x.token][i] += 1
-    classes: dict[tuple, set[str]] = defaultdict(set)
-    for token, n in counts.items():
-        classes[tuple(n)].add(token)
-    once = set(classes.get((1,) * len(pages), ()))
-    if not once:
-        return []
-    order = [[x.token for x in page if isinstance(x, Tag) and x.token in once] for page in pages]
+def in_order(order: list[list[str]]) -> list[str]:
+    """Tokens found once a page, without those that break the order of the first page."""
     first = order[0]
     for other in order[1:]:
         if other != first:
@@ -122,11 +116,7 @@ def deduce(pages: list[list]) -> list[str]:
             best: list[tuple[int, str, int]] = []
             for t in first:
                 r = rank[t]
-                length, back = 1, -1
-                for j, (x, _, n) in enumerate(best):
-                    if x < r and n + 1 > length:
-                        length, back = n + 1, j
-                best.append((r, t, length))
+                best.append((r, t, 1 + max((n for x, _, n in best if x < r), default=0)))
             keep, want, limit = [], max((n for _, _, n in best), default=0), len(other)
             for r, t, n in reversed(best):
                 if n == want and r < limit:
@@ -136,15 +126,100 @@ def deduce(pages: list[list]) -> list[str]:
     return first
 
 
-def slots(page: list, template: list[str]) -> list[tuple[int, int]]:
-    """Token ranges between the template's tokens (before the first, ..., after the last)."""
-    at, ranges, k = 0, [], 0
-    for i, x in enumerate(page):
-        if k < len(template) and isinstance(x, Tag) and x.token == template[k]:
-            ranges.append((at, i))
-            at, k = i + 1, k + 1
-    ranges.append((at, len(page)))
-    return ranges
+def deduce(pages: list[list]) -> list[list[str]]:
+    """The valid classes, each its tokens in order, that nest; the template (which may be empty) first."""
+    names = [[x.token for x in page if isinstance(x, Tag) and x.name in BLOCK and x.name not in VOID] for page in pages]
+    counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(pages))
+    for i, page in enumerate(names):
+        for t in page:
+            counts[t][i] += 1
+    classes: dict[tuple, list[str]] = defaultdict(list)
+    for token, n in counts.items():
+        classes[tuple(n)].append(token)
+    one = (1,) * len(pages)
+    root = in_order([[t for t in page if counts[t] == list(one)] for page in names]) if one in classes else []
+    left = set(classes.pop(one, ())) - set(root)
+
+    places: dict[str, list[list[int]]] = {t: [[] for _ in pages] for t in counts}
+    for i, page in enumerate(names):
+        for j, t in enumerate(page):
+            places[t][i].append(j)
+
+    def valid(order: list[str]) -> bool:
+        for i in range(len(pages)):
+            turns = list(zip(*(places[t][i] for t in order), strict=True))
+            flat = [j for turn in turns for j in turn]
+            if any(a > b for a, b in zip(flat, flat[1:])):
+                return False
+        return True
+
+    def pairs(some) -> list[list[str]]:
+        every = set(some)
+        return [x for t in some if "/" + t in every and valid(x := [t, "/" + t])]
+
+    found = pairs(sorted(left))
+    for vector, some in classes.items():
+        at = next(i for i, n in enumerate(vector) if n)
+        order = sorted(some, key=lambda t: places[t][at][0])
+        found += ([order] if len(order) > 1 else []) if valid(order) else pairs(order)
+    while True:
+        # On most pages first, then in most places.
+        found.sort(key=lambda c: (-sum(n > 0 for n in counts[c[0]]), -sum(counts[c[0]]), c))
+        where = {t: (c, k) for c, order in enumerate([root, *found]) for k, t in enumerate(order)}
+        crossed: set[int] = set()
+        for page in names:
+            stack: list[int] = []
+            for t in page:
+                c, k = where.get(t, (0, 0))
+                if not c:
+                    # Tokens of the template end what is open: such spans cross one of its gaps.
+                    if t in where and stack:
+                        crossed.update(stack)
+                        stack = []
+                    continue
+                if k == 0:
+                    stack.append(c)
+                    continue
+                while stack and stack[-1] != c and c in stack:
+                    crossed.add(max(c, stack.pop()))
+                if stack and stack[-1] == c and k == len(found[c - 1]) - 1:
+                    stack.pop()
+        if not crossed:
+            return [root, *found]
+        # What crosses others may nest by single elements.
+        parts = [x for c in crossed if len(found[c - 1]) > 2 for x in pairs(found[c - 1])]
+        found = [x for c, x in enumerate(found, 1) if c not in crossed] + [x for x in parts if x not in found]
+
+
+def slots(page: list, classes: list[list[str]]) -> tuple[list[int], list[tuple], list[tuple]]:
+    """Per token the template's gap that holds it; its slot: the innermost class around it, the gap there, the
+    occurrence; and the elements around it, of which a class has the start and the end tag, with their occurrences."""
+    where = {t: (c, k) for c, order in enumerate(classes) for k, t in enumerate(order)}
+    ends = {"/" + t: t for t in where if where.get("/" + t, (-1,))[0] == where[t][0]}
+    starts = set(ends.values())
+    turns: Counter = Counter()
+    gap, stack, around = 0, [], ()
+    gaps, own, paths = [], [], []
+    for x in page:
+        if isinstance(x, Tag) and x.token in where:
+            c, k = where[x.token]
+            if c == 0:
+                gap = k + 1
+            else:
+                turns[c] += k == 0
+                if k:
+                    stack.pop()
+                if k < len(classes[c]) - 1:
+                    stack.append((c, k, turns[c]))
+            if x.token in starts:
+                turns[x.token] += 1
+                around += ((x.token, turns[x.token]),)
+            elif x.token in ends:
+                around = tuple(e for e in around if e[0] != ends[x.token])
+        gaps.append(gap)
+        own.append(stack[-1] if stack else (0, gap, 0))
+        paths.append(around)
+    return gaps, own, paths
 
 
 def _walk(page: list) -> tuple[list[bool], list[bool], list[bool]]:
@@ -194,29 +269,44 @@ def blocks(page: list, chosen: list[bool]) -> str:
 def extract(group: list[str]) -> list[str]:
     """Main texts of the pages of one group of one host."""
     pages = [tokens(p) for p in group]
-    template = deduce([p for p in pages if p])
-    walks = [_walk(p) for p in pages]
-    ranges = [slots(p, template) if p else [] for p in pages]
-    said = [[" ".join("".join(x for x in p[a:b] if not isinstance(x, Tag)).split()) for a, b in r] for p, r in zip(pages, ranges, strict=True)]
-    full = [s for s in said if s]
-    varied = [len({s[k] for s in full}) > 1 for k in range(len(template) + 1)] if full else []
-    # Texts that never vary are the template's, if something else does vary.
-    fixed = [len(full) > 2 and any(varied) and not v for v in varied]
-    out = []
-    for p, r, (side, main, link) in zip(pages, ranges, walks, strict=True):
+    full = [p for p in pages if p]
+    classes = deduce(full) if full else [[]]
+    taken, places, least = [], [], []
+    for p in pages:
+        side, main, link = _walk(p)
         has_main = any(isinstance(x, Tag) and x.main and not s for x, s in zip(p, side, strict=True))
-        chosen = [False] * len(p)
-        for k, (a, b) in enumerate(r):
-            inside = [i for i in range(a, b) if not isinstance(p[i], Tag) and not side[i]]
-            if has_main:
-                inside = [i for i in inside if main[i]]
-            else:
-                size = sum(len(p[i].split()) for i in inside)
-                linked = sum(len(p[i].split()) for i in inside if link[i])
-                if fixed[k] or 2 * linked > size:
-                    inside = []
+        gaps, own, paths = slots(p, classes)
+        inside = [i for i, x in enumerate(p) if not isinstance(x, Tag) and not side[i] and (main[i] or not has_main)]
+        if not has_main:
+            size: dict[int, int] = defaultdict(int)
             for i in inside:
-                chosen[i] = True
+                n = len(p[i].split())
+                size[gaps[i]] += 2 * n * link[i] - n
+            inside = [i for i in inside if size[gaps[i]] <= 0]
+        taken.append(inside)
+        places.append(paths if has_main else [(*path, (o[:2], o[2])) for o, path in zip(own, paths, strict=True)])
+        least.append(PROOF if has_main else 3)
+    # What a page says itself: its longest text that at most half of the pages have. Copies count once.
+    said = [{" ".join(p[i].split()) for i in inside} for p, inside in zip(pages, taken, strict=True)]
+    known = Counter(t for x in said for t in x)
+    self = [max((t for t in x if 2 * known[t] <= len(full)), key=lambda t: (len(t), t), default="") for x in said]
+    held: dict[object, set[str]] = defaultdict(set)
+    on: dict[object, list[int]] = defaultdict(list)
+    for j, (p, inside, around) in enumerate(zip(pages, taken, places, strict=True)):
+        texts: dict[tuple, list[str]] = defaultdict(list)
+        for i in inside:
+            for place in around[i]:
+                texts[place].append(p[i])
+        for (name, _), parts in texts.items():
+            if t := " ".join("".join(parts).split()):
+                held[name].add(t)
+                on[name].append(j)
+    proof = {k: len({self[j] for j in on[k]}) for k, v in held.items() if len(v) == 1 and 2 * len(set(on[k])) >= len(full)}
+    out = []
+    for p, inside, around, need in zip(pages, taken, places, least, strict=True):
+        chosen = [False] * len(p)
+        for i in inside:
+            chosen[i] = not any(proof.get(name, 0) >= need for name, _ in around[i])
         out.append(blocks(p, chosen))
     return out
 
@@ -243,18 +333,28 @@ def articles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     def run(batches):
         held, own = [], None
 
-        def done():
-            texts = extract([h for _, _, h in held])
-            return {id_col: [x for x, _, _ in held], url_col: [u for _, u, _ in held], "text": texts, "n_chars": [len(t) for t in texts]}
+        def done(part):
+            texts = extract([h for _, _, h in part])
+            return {id_col: [x for x, _, _ in part], url_col: [u for _, u, _ in part], "text": texts, "n_chars": [len(t) for t in texts]}
+
+        def rest():
+            # Two even groups rather than a full one and a page or two.
+            cut = len(held) if len(held) <= PAGES else -(-len(held) // 2)
+            yield done(held[:cut])
+            if held[cut:]:
+                yield done(held[cut:])
 
         for b in batches:
             for i, u, h, where in zip(b[id_col].to_pylist(), b[url_col].to_pylist(), texts_of(b["html"]), zip(b["_host"].to_pylist(), b["_salt"].to_pylist(), strict=True), strict=True):
-                if held and (where != own or len(held) == PAGES):
-                    yield done()
+                if held and where != own:
+                    yield from rest()
                     held = []
+                elif len(held) == 2 * PAGES:
+                    yield done(held[:PAGES])
+                    held = held[PAGES:]
                 own = where
                 held.append((i, u, h))
         if held:
-            yield done()
+            yield from rest()
 
     return map_rows(rows, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint", run)

@@ -199,6 +199,21 @@ def test_extraction(spark):
     assert templates.articles(d.limit(0)).count() == 0
 
 
+def test_templates_hold_below_main_and_nest(spark):
+    part = "<li class='zq{k}'><h3>Mark</h3><b>Item {n} {k}</b></li>"
+    page = "<html><body><main><h1>Title {n}</h1><div class='zq'>Buy now</div><p>Prose of number {n}.</p>{some}<ul>{parts}</ul><div class='zz'>{n} said</div></main></body></html>"
+    make = lambda n: page.format(n=n, some="<section class='qq'>Half of us</section>" if n % 4 else "", parts="".join(part.format(n=n, k=k) for k in range(n % 3 + 1)))
+    group = [make(n) for n in range(10)]
+    assert templates.extract(group)[4] == "Title 4 Prose of number 4. Item 4 0 Item 4 1 4 said"
+    classes = templates.deduce([templates.tokens(p) for p in group])
+    assert [t for t in classes[0] if t.startswith("<div")] and any(len(c) == 2 and c[0].startswith("<section") for c in classes[1:])
+    # Copies of one page show no template, nor do few pages.
+    assert templates.extract([make(4)] * 10) == templates.extract([make(4)]) * 10 and "Buy now" in templates.extract(group[:2])[0]
+    # The rest of a host is a group of its own only with half a group's pages.
+    d = spark.createDataFrame([(i, "http://one.org/", make(i)) for i in range(templates.PAGES + 1)], "page_id bigint, url string, html string").coalesce(1)
+    assert not [r for r in templates.articles(d).collect() if "Buy now" in r["text"]]
+
+
 def test_shards(spark, tmp_path):
     texts = [None, "", "é" * 50, *[f"text {i % 50} " * (i % 40 + 1) for i in range(600)], *["hot copy of a text"] * 300]
     d = docs_of(spark, texts)
