@@ -1,6 +1,8 @@
 """Secret scans: base patterns and a likelihood-ratio test of two character Markov models.
 
-One model is trained on random strings, one on ordinary identifiers (labelled samples).
+One model is trained on random strings (generated), one on ordinary names: all transitions within
+the words of all texts, outside base spans, and between words joined to names. The counts are
+scaled to one weight, so that more text makes the model exact and not its rare transitions rarer.
 A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that no base span
 touches; the logarithm of its likelihood ratio under the two models, per character, must
 reach ``THRESHOLD`` and it needs a digit and a letter. Base spans always stay.
@@ -19,12 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_rows, pick, texts_of, thin
+from brindle.llm.common import chunks, map_rows, pick, texts_of
 
 KINDS = ("assign", "access", "hex", "markov")
-#: Documents from which ordinary words are taken at most (by hash of the id), of each its first
-#: characters, and words in all. This bounds the training sample only; scans read whole texts.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 500, 4000, 50_000
+#: Words, and names made of words, that the ordinary model's counts are scaled to.
+WEIGHT = 8000
 #: Mean log-likelihood ratio of a character from which a candidate counts as random.
 THRESHOLD = 0.6
 
@@ -55,6 +56,8 @@ def sort(spans: list[Span]) -> list[Span]:
 
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
+#: Characters of the alphabet, and one place for all others.
+SIZE = len(ALPHABET) + 1
 PLACE = np.full(128, len(ALPHABET), np.int64)
 PLACE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
@@ -62,9 +65,12 @@ PLACE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 class Markov:
     """Transition log-probabilities of order 1 over the candidates' alphabet, smoothed."""
 
-    def __init__(self, strings: list[str], smooth: float = 0.5) -> None:
-        n = len(ALPHABET) + 1
-        counts = np.full((n, n), smooth)
+    def __init__(self, strings: list[str] | np.ndarray, smooth: float = 0.5) -> None:
+        """From strings, or from the counts of their transitions."""
+        counts = np.full((SIZE, SIZE), smooth)
+        if isinstance(strings, np.ndarray):
+            counts += strings
+            strings = []
         for s in strings:
             at = self.places(s)
             np.add.at(counts, (at[:-1], at[1:]), 1.0)
@@ -76,7 +82,7 @@ class Markov:
 
 
 class Scanner:
-    def __init__(self, ordinary: list[str], randoms: list[str], threshold: float = THRESHOLD) -> None:
+    def __init__(self, ordinary: list[str] | np.ndarray, randoms: list[str], threshold: float = THRESHOLD) -> None:
         self.ratio = Markov(randoms).logp - Markov(ordinary).logp
         self.threshold = threshold
 
@@ -116,15 +122,80 @@ def identifiers(words: list[str], n: int = 8000, seed: int = 11) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Scanner:
-    """Fit both models; ordinary words come from at most ``sample_docs`` texts, least hashes first."""
-    rows = thin(pick(docs, id_col, text_col).where(F.col(text_col).isNotNull()), sample_docs, id_col)
-    rows = rows.select(F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(id_col, F.length(text_col)).alias("h")).orderBy("h", "t").limit(sample_docs)
-    words: list[str] = []
-    for (t,) in rows.select("t").collect():
-        spans = base_spans(t)
-        words += [m[0] for m in re.finditer(r"[A-Za-z]{2,}", t) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
-    return Scanner(identifiers(words[:SAMPLE_WORDS]), random_strings())
+#: Parts of a word count: its first transition, its later ones, its last letter (as a transition to itself).
+FIRST, LATER, LAST = range(3)
+
+
+def word_counts(text: str) -> np.ndarray:
+    """Counts by part, letter and next letter of words of two or more ASCII letters that no base span touches."""
+    at = Markov.places(text)
+    letter = np.zeros(len(at) + 2, bool)
+    letter[1:-1] = at < 52
+    blank = []
+    for a, b, _ in base_spans(text):
+        while a and letter[a]:
+            a -= 1
+        while b < len(at) and letter[b + 1]:
+            b += 1
+        blank.append((a, b))
+    for a, b in blank:
+        letter[a + 1 : b + 1] = False
+    before, here, after = letter[:-2], letter[1:-1], letter[2:]
+    out = np.zeros((3, SIZE * SIZE), np.int64)
+    for part, i in ((FIRST, np.flatnonzero(~before & here & after)), (LATER, np.flatnonzero(before & here & after))):
+        out[part] = np.bincount(at[i] * SIZE + at[i + 1], minlength=SIZE * SIZE)
+    i = np.flatnonzero(before & here & ~after)
+    out[LAST] = np.bincount(at[i] * (SIZE + 1), minlength=SIZE * SIZE)
+    return out.reshape(3, SIZE, SIZE)
+
+
+def ordinary(counts: np.ndarray) -> np.ndarray:
+    """Expected transitions of ``WEIGHT`` words and of as many names as ``identifiers`` makes of words."""
+    first, later, last = counts / counts[FIRST].sum()
+    start, end, words = first.sum(1), last.diagonal(), first + later
+    code = Markov.places
+    lower, upper = np.eye(SIZE), np.eye(SIZE)
+    small, large = code(string.ascii_lowercase), code(string.ascii_uppercase)
+    lower[large, large] = upper[small, small] = 0
+    lower[large, small] = upper[small, large] = 1
+
+    def joint(c: str, case: np.ndarray | None = None) -> np.ndarray:
+        own = np.eye(SIZE) if case is None else case
+        out = np.zeros((SIZE, SIZE))
+        out[:, code(c)[0]] += end @ own
+        out[code(c)[0]] += start @ own
+        return out
+
+    n = 3.5  # words of a name on average
+    names = sum(n * words + (n - 1) * joint(c) for c in "_-/")
+    names = names + words + (n - 1) * (upper.T @ first @ lower + lower.T @ later @ lower + np.outer(end, start @ upper))
+    names = names + n * upper.T @ words @ upper + (n - 1) * joint("_", upper)
+    numbers = np.zeros((SIZE, SIZE))
+    for i in range(2031):
+        at = code(f"_{i}")
+        np.add.at(numbers, (at[:-1], at[1:]), 1 / 2031)
+    numbers[:, code("_")[0]] += 0.8 * end + 0.2 * (end @ upper)
+    return WEIGHT * (words + names / 5 + numbers / 3)
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+    """Fit both models; the driver gets the counts of pairs of letters, summed over all whole texts."""
+
+    def run(batches):
+        total = np.zeros((3, SIZE, SIZE), np.int64)
+        for b in batches:
+            texts = texts_of(b[text_col])
+            for i, j in chunks([len(t) for t in texts]):
+                # No word and no base span goes beyond a line.
+                total += word_counts("\n".join(texts[i:j]))
+        cell = np.flatnonzero(total)
+        yield {"cell": cell, "n": total.ravel()[cell]}
+
+    cells = map_rows(pick(docs, text_col), "cell bigint, n bigint", run).groupBy("cell").agg(F.sum("n")).collect()
+    counts = np.zeros(3 * SIZE * SIZE)
+    for cell, n in cells:
+        counts[cell] = n
+    return Scanner(ordinary(counts.reshape(3, SIZE, SIZE)) if cells else identifiers([]), random_strings())
 
 
 def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col: str = "text", work=None, schema: str = "spans array<struct<start:bigint,stop:bigint,kind:string>>") -> DataFrame:

@@ -200,6 +200,31 @@ def test_secrets_find_base_and_random_strings(spark):
     assert secrets.clean(docs_of(spark, ODD), scanner).columns == docs_of(spark, ODD).columns
 
 
+def test_ordinary_counts_take_all_of_all_texts(spark):
+    texts = [t or "" for t in ODD] + SECRETS + ["a token: abcdefghijkl0zq tail", "Zx" + "deadbeefdeadbeef" + "Qq vw"]
+    for t in texts:
+        words = [m[0] for m in re.finditer(r"[A-Za-z]{2,}", t) if not any(a < m.end() and m.start() < b for a, b, _ in secrets.base_spans(t))]
+        own = secrets.word_counts(t)
+        pairs = np.zeros((secrets.SIZE, secrets.SIZE))
+        for w in words:
+            at = secrets.Markov.places(w)
+            np.add.at(pairs, (at[:-1], at[1:]), 1)
+        assert (own[0] + own[1] == pairs).all() and own[0].sum() == own[2].sum() == len(words)
+    assert (secrets.word_counts("\n".join(texts)) == sum(map(secrets.word_counts, texts))).all()
+    # Rare words behind a long head, and in the last of many texts, count.
+    plain = docs_of(spark, ["the cat sat on the mat " * 300] * 700)
+    rare = docs_of(spark, ["the cat sat on the mat " * 300 + "zqxj wvkq " * 300] * 700)
+    name = "wvkq_zqxj_wvkq_zqxj_wvkq_2"
+    assert secrets.train(rare).score(name) < secrets.train(plain).score(name) - 1
+    assert secrets.train(docs_of(spark, [])).score(name) > 0
+    # Expected transitions agree with those of generated names.
+    words = "house river table green session request value".split()
+    made = secrets.Scanner(secrets.ordinary(secrets.word_counts(" ".join(words)).astype(float)), secrets.random_strings())
+    drawn = secrets.Scanner(words * 1143 + secrets.identifiers(words), secrets.random_strings())
+    for s in [*secrets.identifiers(words, 200, seed=3)[7:], *secrets.random_strings(50, seed=3)]:
+        assert abs(made.score(s) - drawn.score(s)) < 0.25, s
+
+
 def test_digests_of_the_query(spark):
     got = queries.op10_secrets(spark, "/root/testdata/sf0.001").collect()
     texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
