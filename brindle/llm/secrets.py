@@ -3,9 +3,12 @@
 One model is trained on random strings (generated), one on ordinary names: all transitions within
 the words of all texts, outside base spans, and between words joined to names. The counts are
 scaled to one weight, so that more text makes the model exact and not its rare transitions rarer.
-A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that no base span
-touches; the logarithm of its likelihood ratio under the two models, per character, must
-reach ``THRESHOLD`` and it needs a digit and a letter. Base spans always stay.
+A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]``, or what base spans leave
+of one; the logarithm of its likelihood ratio under the two models, per character, must
+reach ``THRESHOLD`` and it needs a digit and a letter. Of a run that doesn't reach it, stretches
+of 20 or more characters count that do and that exceed it by ``EXCESS`` in all: a key among the
+words of a path is found at any length of the path. Such a stretch is taken from joint to joint
+(``/_=-``). Base spans always stay.
 
 Positions are code points, ends exclusive. Null texts count as empty: no spans. Texts are
 scanned whole; repeated rows are scanned each; an empty table gives no rows.
@@ -13,6 +16,8 @@ scanned whole; repeated rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
 import string
@@ -28,6 +33,10 @@ KINDS = ("assign", "access", "hex", "markov")
 WEIGHT = 8000
 #: Mean log-likelihood ratio of a character from which a candidate counts as random.
 THRESHOLD = 0.6
+#: Log-likelihood ratio above THRESHOLD, summed over a stretch, by which part of a run counts as random.
+EXCESS = 4.0
+#: Characters of a candidate at least; joints of names.
+LEAST, JOINTS = 20, "/_=-"
 
 # The base rules and the lengths that their values need.
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -81,6 +90,10 @@ class Markov:
         return PLACE[np.minimum(np.frombuffer(s.encode("latin-1", "replace"), np.uint8), 127)]
 
 
+def mixed(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
 class Scanner:
     def __init__(self, ordinary: list[str] | np.ndarray, randoms: list[str], threshold: float = THRESHOLD) -> None:
         self.ratio = Markov(randoms).logp - Markov(ordinary).logp
@@ -90,16 +103,50 @@ class Scanner:
         at = Markov.places(s)
         return float(self.ratio[at[:-1], at[1:]].mean()) if len(at) > 1 else 0.0
 
+    def stretches(self, s: str) -> list[tuple[int, int]]:
+        """The whole of a run, if it counts as random, or else the parts of it that do."""
+        if not mixed(s):
+            return []
+        if self.score(s) >= self.threshold:
+            return [(0, len(s))]
+        at = Markov.places(s)
+        out: list[tuple[int, int]] = []
+        total, start, best, peak, floor = 0.0, 0, 0.0, 0, 0
+        # A stretch begins where the sum leaves zero and ends at its peak, once the sum falls EXCESS below.
+        for i, gain in enumerate([*(self.ratio[at[:-1], at[1:]] - self.threshold).tolist(), -math.inf]):
+            total += gain
+            if total > best:
+                best, peak = total, i + 1
+            if total <= 0 or total < best - EXCESS:
+                if best >= EXCESS:
+                    a, b = start, peak + 1
+                    while a < b and s[a] in JOINTS:
+                        a += 1
+                    while a > floor and s[a - 1] not in JOINTS:
+                        a -= 1
+                    while b > a and s[b - 1] in JOINTS:
+                        b -= 1
+                    while b < len(s) and s[b] not in JOINTS:
+                        b += 1
+                    if b - a >= LEAST and mixed(s[a:b]):
+                        out.append((a, b))
+                        floor = b
+                total, start, best = 0.0, i + 1, 0.0
+        return out
+
     def spans(self, text: str) -> list[Span]:
         out = base_spans(text)
         taken = [(a, b) for a, b, _ in out]
         more = []
+        k = 0
         for m in CANDIDATE.finditer(text):
-            s, a, b = m[0], m.start(), m.end()
-            if any(x < b and a < y for x, y in taken) or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            if self.score(s) >= self.threshold:
-                more.append((a, b, "markov"))
+            at, end = m.start(), m.end()
+            while k < len(taken) and taken[k][1] <= at:
+                k += 1
+            for x, y in [*itertools.takewhile(lambda t: t[0] < end, taken[k:]), (end, end)]:
+                if x - at >= LEAST:
+                    more += [(at + i, at + j, "markov") for i, j in self.stretches(text[at:x])]
+                at = max(at, y)
         return sort(out + more)
 
 

@@ -225,6 +225,23 @@ def test_ordinary_counts_take_all_of_all_texts(spark):
         assert abs(made.score(s) - drawn.score(s)) < 0.25, s
 
 
+def test_secrets_in_paths_and_beside_base_spans():
+    words = sorted(set(re.findall("[A-Za-z]{3,}", inspect.getsource(argparse).lower())))
+    scanner = secrets.Scanner(secrets.ordinary(secrets.word_counts(" ".join(words)).astype(float)), secrets.random_strings())
+    key = "kV9xQ2mZ7Lp0Rt4Ws8Yb3Nc6"
+    for n in (0, 3, 8, 20, 100):
+        path = "".join(w + "/_-"[i % 3] for i, w in enumerate(words[:n]))
+        for tail in ("", "/index", "=usage-value_2024"):
+            text = path + key + tail
+            spans = scanner.spans(text)
+            assert [k for _, _, k in spans] == ["markov"] and key in text[slice(*spans[0][:2])], (n, tail)
+            if n > 8:
+                assert spans[0][0] == len(path) and not set(text[slice(*spans[0][:2])]) & set("/_="), text[slice(*spans[0][:2])]
+        assert not scanner.spans(path + "usage_2024")
+    two = "a/".join(["deadbeefdeadbeef0", key, "parser/option/value/", key])
+    assert [s[2] for s in scanner.spans(two)][:2] == ["hex", "markov"] and key not in secrets.redact(two, scanner.spans(two))
+
+
 def test_digests_of_the_query(spark):
     got = queries.op10_secrets(spark, "/root/testdata/sf0.001").collect()
     texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
