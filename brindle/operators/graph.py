@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.session import spill
+
+#: Dependencies of a node's graph up to which one task peels it.
+GROUP = 100_000
+
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(error, subject) rows: starts, nodes without ways out or in, edges to nowhere."""
@@ -58,23 +64,43 @@ def unknown_needs(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def cycle_residual(deps: DataFrame) -> DataFrame:
-    """Tasks that can't be put in order: those on cycles and all that need them, by peeling.
+    """Tasks that can't be put in order: those on cycles and all that need them.
 
-    Each round drops tasks without open needs; rounds are cut by reliable checkpoints.
+    A node's graph is peeled inside its group, one Arrow group a node; graphs of more than
+    ``GROUP`` dependencies are peeled by joins instead, one shared table a round.
     """
-    spark = deps.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
-    left, n = deps.select("node", "task", "needs").distinct(), -1
-    while True:
-        path = f"{base}/peel-{uuid.uuid4().hex}"
-        left.write.parquet(path)
-        left = spark.read.parquet(path)
-        now = left.count()
-        if now == n or not now:
-            break
+    rows = deps.select("node", "task", "needs").distinct()
+    large = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("node")
+    large = spill(large, "graph-large")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+
+    def peel(group: pa.Table) -> pa.Table:
+        node, task, needs = (group[c].to_pylist() for c in ("node", "task", "needs"))
+        open_needs, users = Counter(task), defaultdict(list)
+        for t, n in zip(task, needs, strict=True):
+            users[n].append(t)
+        free = [t for t in users if not open_needs[t]]
+        while free:
+            for t in users.pop(free.pop(), ()):
+                open_needs[t] -= 1
+                if not open_needs[t]:
+                    free.append(t)
+        left = [t for t, n in open_needs.items() if n > 0]
+        return pa.table({"node": pa.array(node[:1] * len(left), group["node"].type), "task": pa.array(left, group["task"].type)})
+
+    if large.isEmpty():
+        return rows.groupBy("node").applyInArrow(peel, f"node {kind['node']}, task {kind['task']}")
+    small = rows.join(large, "node", "left_anti").groupBy("node").applyInArrow(peel, f"node {kind['node']}, task {kind['task']}")
+    return small.unionByName(_peel_by_joins(rows.join(large, "node", "left_semi")))
+
+
+def _peel_by_joins(rows: DataFrame) -> DataFrame:
+    """Each round drops the dependencies on tasks without open needs, and ends in a shared table."""
+    left, n = spill(rows, "graph-peel"), -1
+    while (now := left.count()) not in (n, 0):
         n = now
         open_tasks = left.select("node", F.col("task").alias("needs")).distinct()
-        left = left.join(open_tasks, ["node", "needs"], "left_semi").select("node", "task", "needs")
+        left = spill(left.join(open_tasks, ["node", "needs"], "left_semi").select("node", "task", "needs"), "graph-peel")
     return left.select("node", "task").distinct()
 
 
