@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from brindle.session import run_base, shared_base, spill, sweep
+
 #: Rows are handed to Python in Arrow batches of about this many bytes.
 ARROW_BYTES = 8 << 20
 #: Texts are worked on in chunks of about this many characters.
@@ -24,40 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_base(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which every executor can reach.
-
-    Only where the session has no such setting (tests on one machine) is a folder of
-    the session's warehouse used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared folder."""
-    return f"{shared_base(spark)}/brindle-{name}-{uuid.uuid4().hex}"
-
-
-def sweep(spark: SparkSession) -> int:
-    """Delete the tables that finished queries left in the shared folder; returns how many.
-
-    Results that are still to be computed read such tables: write those first.
-    """
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_base(spark)}/brindle-*")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(pattern) or []
-    return sum(fs.delete(x.getPath(), True) for x in found)
-
-
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a shared Parquet table and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def store_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder for a result that outlives the application."""
+    return f"{shared_base(spark)}/brindle-store-{name}-{uuid.uuid4().hex}"
 
 
 def release(spark: SparkSession) -> None:
@@ -97,7 +68,13 @@ def held(name: tuple, make: Callable):
 def let_go() -> None:
     """Drop what is held and give the memory back, for the stage that now runs in this worker."""
     HELD.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, since a worker that idles would keep it."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -111,11 +88,14 @@ def map_rows(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[d
     out = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not holds:
+        pa.set_memory_pool(pa.system_memory_pool())
+        if not holds and HELD:
             let_go()
         for cols in work(dict(zip(b.schema.names, b.columns, strict=True)) for b in batches):
             every = [c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in out]
             yield pa.RecordBatch.from_arrays(every, schema=out)
+            del cols, every
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -140,3 +120,6 @@ def chunks(sizes: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns that an operator works on: clashing extra columns stay outside."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+__all__ = ["arrow_limits", "chunks", "give_back", "held", "let_go", "map_rows", "pick", "release", "run_base", "shared_base", "spill", "store_dir", "sweep", "table", "texts_of", "thin"]

@@ -23,8 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, map_rows, pick, shared_dir, texts_of
-from brindle.llm.tokens import encoder
+from brindle.llm.common import chunks, map_rows, pick, store_dir, texts_of
+from brindle.llm.tokens import encoder, id_width
 
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
@@ -39,8 +39,9 @@ def masked(data: bytes) -> int:
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(row_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    payload = INNER.pack(row_id is None, row_id or 0, width) + ids.astype(f"<u{width}").tobytes()
+def frame(row_id: int | None, ids: bytes, width: int) -> bytes:
+    """A record of token ids, given as little-endian unsigned integers of ``width`` bytes."""
+    payload = INNER.pack(row_id is None, row_id or 0, width) + ids
     size = struct.pack("<Q", len(payload))
     return b"".join([size, TAIL.pack(masked(size)), payload, TAIL.pack(masked(payload))])  # the writer ends it with a line feed
 
@@ -63,21 +64,34 @@ def frames(content: bytes, name: str = ""):
         at = stop
 
 
+def heads(content: memoryview):
+    """(offset, bytes, id, number of ids) of every frame, by its lengths alone; checksums are left to readers."""
+    at, end = 0, len(content)
+    while at < end:
+        size, _ = HEAD.unpack_from(content, at)
+        null, row_id, width = INNER.unpack_from(content, at + HEAD.size)
+        yield at, size + 17, None if null else row_id, (size - INNER.size) // width
+        at += size + 17
+    if at != end:
+        raise ValueError(f"a frame goes {at - end} bytes beyond the end")
+
+
 def write(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "words", path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode whole texts, append ``end_id``, write frames and the index; returns the folder."""
     spark = docs.sparkSession
-    path = path or shared_dir(spark, "records")
+    path = path or store_dir(spark, "records")
     rows = pick(docs, id_col, text_col).withColumn("_tie", F.xxhash64(text_col))
     rows = rows.repartitionByRange(F.col(id_col), F.col("_tie")).sortWithinPartitions(id_col, "_tie")
 
+    width = id_width(vocabulary, end_id)
+    last = end_id.to_bytes(width, "little")
+
     def run(batches):
-        enc = encoder(vocabulary, kind)
-        width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        enc = encoder(vocabulary, kind, width)
         for b in batches:
             ids, texts = b[id_col].to_pylist(), texts_of(b[text_col])
             for lo, hi in chunks([len(t) for t in texts]):
-                got = enc.encode(texts[lo:hi])
-                yield {"frame": [frame(i, np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)), width) for i, x in zip(ids[lo:hi], got, strict=True)]}
+                yield {"frame": [frame(i, x + last, width) for i, x in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True)]}
 
     out = map_rows(rows, "frame binary", run, holds=True).select(F.col("frame").cast("string").alias("value"))
     out.write.option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/data")
@@ -85,7 +99,7 @@ def write(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "words",
     def index(batches):
         for b in batches:
             for name, content in zip(b["path"].to_pylist(), b["content"], strict=True):
-                got = [(i, o, n, len(x)) for o, n, i, x in frames(memoryview(content.as_buffer()).tobytes(), name)]
+                got = [(i, o, size, n) for o, size, i, n in heads(memoryview(content.as_buffer()))]
                 cols = list(zip(*got, strict=True)) or [[]] * 4
                 yield {id_col: list(cols[0]), "file": [name] * len(got), "offset": list(cols[1]), "bytes": list(cols[2]), "n_tokens": list(cols[3])}
 
@@ -98,9 +112,15 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select("path", "content")
 
 
+#: Names of Spark's data files: the task's partition, the write's UUID, the file's number in the task.
+FILE_NAME = re.compile(r"part-(\d+)-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}-c(\d+)\.[^/]*\Z")
+
+
 def file_order(name: str) -> tuple[int, int]:
-    part, rest = re.search(r"part-(\d+)-[0-9a-f-]+(?:-c(\d+))?", name).groups()
-    return int(part), int(rest or 0)
+    found = FILE_NAME.search(name)
+    if not found:
+        raise ValueError(f"{name} is not named like a data file")
+    return int(found[1]), int(found[2])
 
 
 def starts(spark: SparkSession, path: str) -> dict[str, int]:
@@ -149,4 +169,4 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame, *, id_col: str = "d
     return map_rows(rows, f"`{id_col}` bigint, ids array<bigint>", run)
 
 
-__all__ = ["fetch", "frame", "frames", "masked", "scan", "starts", "write"]
+__all__ = ["fetch", "file_order", "frame", "frames", "heads", "masked", "scan", "starts", "write"]

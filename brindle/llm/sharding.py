@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.llm.common import pick, shared_dir, spill
+from brindle.llm.common import pick, store_dir, spill
 
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 4096
@@ -92,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     rows = spill(records(docs, id_col=id_col, text_col=text_col, slots=slots), "shard-records")
-    path = save_map(assign(_weights(rows), shards), map_path or shared_dir(spark, "slot-map"), 1)
+    path = save_map(assign(_weights(rows), shards), map_path or store_dir(spark, "slot-map"), 1)
     slot_map = load_map(spark, path)
     before = F.sum("n").over(W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1))
     bases = slot_map.select("vslot", "shard", F.coalesce(before, F.lit(0)).alias("_before"))

@@ -28,8 +28,10 @@ WORD_RULE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]
 
 
 # A trailing run of ASCII punctuation (no apostrophe) behind an ASCII or Latin-1 letter or a
-# digit is a part of its own in either rule, so a piece is cut there: fewer distinct pieces.
-WORD_TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
+# digit is a part of its own in either rule: fewer distinct pieces. Pieces of ``words`` are
+# parted when they are new, those of ``spaces`` (of which fewer fit) before they are looked up.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD_BEFORE = re.compile(rb"(?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf])\Z")
 SPACE_TAIL = re.compile(r"(?<=[A-Za-z0-9\xe0-\xf6\xf8-\xff])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|\Z)")
 
 
@@ -40,64 +42,79 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Ids of pieces as bytes; a missing piece is worked out, and all are dropped once there are too many."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, piece):
+        got = self.make(piece)
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = got
+        return got
+
+
 class TextEncoder:
-    def __init__(self, path: str, kind: str) -> None:
+    """``width``: bytes of an id, 2 where the vocabulary allows and the caller asks for it."""
+
+    def __init__(self, path: str, kind: str, width: int = 4) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if kind not in ("words", "spaces"):
             raise ValueError(f"kind must be words or spaces, not {kind}")
-        self.kind = kind
+        self.kind, self.width = kind, width
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.pieces: dict = {}
+        self.pieces = Pieces(self._word, ENTRIES[kind])
         self.slow = bpe.SliceCache(lambda new: (self._model(x) for x in new), ENTRIES[kind] // 4)
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
     def _model(self, part: str) -> bytes:
-        plain = part.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        plain = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(plain)])
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
         if word.isalpha():
-            return self._model(text)
+            return self._model(word.decode())
+        core = word.rstrip(MARKS)
+        if core and len(core) < len(word) and WORD_BEFORE.search(core):
+            return self.pieces[core] + self.pieces[word[len(core) :]]
+        text = word.decode()
         # Below U+02B0 text is its own composed form, and each letter lower-cases by itself.
         if max(text) >= "ʰ" or "İ" in text:
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self._model, WORD_RULE.findall(text.lower())))
 
-    def _learn(self, new: set) -> None:
-        if len(self.pieces) + len(new) > ENTRIES[self.kind]:
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new pieces between spaces, many at a time; None where the text around a piece decides."""
+        if len(self.pieces) + len(new) > self.pieces.most:
             self.pieces.clear()
-        held = self.pieces
-        if self.kind == "words":
-            held.update((w, self._word(w)) for w in new)
-            return
         hard = []
         for x in new:
             core = x[1:] if x[:1] == " " else x
             if x == "\n" or core.isalpha() and core.isascii():
-                held[x] = self._model(x)
-            elif core and not (core[0].isspace() or core[-1].isspace()):
-                hard.append(x)
+                self.pieces[x] = self._model(x)
+            elif not core or core[0].isspace() or core[-1].isspace():
+                self.pieces[x] = None
             else:
-                held[x] = None
-        held.update(zip(hard, self.slow.ids(bpe.slices(hard)), strict=True))
+                hard.append(x)
+        self.pieces.update(zip(hard, self.slow.ids(bpe.slices(hard)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as native (little-endian) 32-bit bytes."""
+        """Ids of each text as native (little-endian) unsigned integers of ``width`` bytes."""
+        get = self.pieces.__getitem__
         if self.kind == "words":
-            cut = [WORD_TAIL.sub(rb" \1", t.encode().lower()).split() for t in texts]
-        else:
-            cut = [SPACE_TAIL.sub("\0\\1", t).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t and t else [""] for t in texts]
+            return [b"".join(map(get, t.encode().lower().split())) for t in texts]
+        cut = [SPACE_TAIL.sub("\0\\1", t).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and "\0" not in t else [""] for t in texts]
         need = set().union(*cut)
         new = need.difference(self.pieces)
-        if len(self.pieces) + len(new) > ENTRIES[self.kind]:
-            new = need
-        self._learn(new)
-        get = self.pieces.__getitem__
-        if self.kind == "words":
-            return [b"".join(map(get, x)) for x in cut]
+        self._learn(need if len(self.pieces) + len(new) > self.pieces.most else new)
         out, rest = [], []
         for i, x in enumerate(cut):
             got = list(map(get, x))
@@ -112,5 +129,11 @@ class TextEncoder:
         return out
 
 
-def encoder(path: str, kind: str) -> TextEncoder:
-    return held(("encoder", path, kind), lambda: TextEncoder(path, kind))
+def encoder(path: str, kind: str, width: int = 4) -> TextEncoder:
+    return held(("encoder", path, kind, width), lambda: TextEncoder(path, kind, width))
+
+
+def id_width(path: str, end_id: int) -> int:
+    """Bytes that hold any id of a vocabulary file, and an end id."""
+    ids = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(ids, end_id) < 1 << 16 else 4

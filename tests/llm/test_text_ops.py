@@ -88,7 +88,7 @@ def test_records_round_trip_and_break_loudly(spark, tmp_path):
     assert crc == {r["start"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got}
     some = records.fetch(spark, path, spark.createDataFrame([(100,), (95,), (7777,)], "doc_id bigint")).collect()
     assert sorted(r["doc_id"] for r in some) == [95, 100]
-    data = records.frame(5, np.array([1, 2, 70000]), 4) + b"\n"
+    data = records.frame(5, np.array([1, 2, 70000], "<u4").tobytes(), 4) + b"\n"
     assert [(i, x.tolist()) for _, _, i, x in records.frames(data)] == [(5, [1, 2, 70000])]
     for bad in (data[:-9], data[:20] + bytes([data[20] ^ 1]) + data[21:], bytes([data[0] ^ 1]) + data[1:]):
         with pytest.raises(ValueError):
