@@ -122,4 +122,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-__all__ = ["arrow_limits", "chunks", "give_back", "held", "let_go", "map_rows", "pick", "release", "run_base", "shared_base", "spill", "store_dir", "sweep", "table", "texts_of", "thin"]
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, none of which ``df`` has."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in there:
+            n = f"_{n}"
+        out.append(n)
+        there.add(n.lower())
+    return out
+
+
+__all__ = ["arrow_limits", "chunks", "give_back", "held", "let_go", "map_rows", "own_names", "pick", "release", "run_base", "shared_base", "spill", "store_dir", "sweep", "table", "texts_of", "thin"]

@@ -121,14 +121,46 @@ def brute_removed(texts, width=35):
     return out
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_substrings(spark, seed):
+@pytest.mark.parametrize(("seed", "group"), [(5, substrings.GROUP), (6, substrings.GROUP), (5, 3), (6, 1)])
+def test_substrings(spark, seed, group, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "BATCH_WORDS", 300)
+    grown = []
+    lengthened = substrings._lengthened
+    monkeypatch.setattr(substrings, "_lengthened", lambda *a: grown.append(1) or lengthened(*a))
     texts = corpus(seed)
     got = substrings.remove(docs_of(spark, texts).repartition(4), digest=True).collect()
     assert sorted(map(tuple, got)) == sorted((i, *x) for i, x in enumerate(brute_removed(texts)))
+    assert bool(grown) == (group < substrings.BATCH_WORDS)
     assert substrings.remove(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_spans_are_the_maximal_repeats(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [f"a b {passage} c", f"{passage} d e", "none here", None]
+    got = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in substrings.spans(docs_of(spark, texts)).collect()}
+    assert got == {0: [(2, 52)], 1: [(0, 50)], 2: [], 3: []}
+
+
+def test_suffix_arrays_agree_with_sorting():
+    rng = np.random.default_rng(2)
+    for width in (3, 7, 8):
+        codes = rng.integers(0, 3, 400).astype(np.uint64)
+        starts = np.arange(len(codes) - width + 1)
+        order, same = substrings.suffix_array(codes, starts, width)
+        runs = [codes[i : i + width].tolist() for i in order]
+        assert runs == sorted(runs) and same[1:].tolist() == [a == b for a, b in zip(runs, runs[1:])]
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    texts = corpus(4)
+    docs = docs_of(spark, texts).selectExpr("*", "n as _id", "n as rest", "n as _rest", "n as tid", "n as _tid", "n as some", "n as bit", "n as copied", "n as blocks", "n as ranges", "n as _root", "n as kept")
+    for out in (substrings.cut(docs), jaccard.keep_one(docs)):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert len({r[c] for c in docs.columns[4:]}) == 1 and (r["text"] is None or r["text"] in texts or r["doc_id"] == r["n"])
+
+
 def test_cutting_keeps_columns_and_white_space(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     texts = [f"first line\n\n{passage} tail  end", f"{passage}\nother", passage, None, "short  text\n"]
