@@ -1,29 +1,39 @@
 """HTML extraction by deduction of templates from equivalence classes of tokens.
 
 Pages of one host are taken in groups. A page is a sequence of tokens: tags, told apart by
-their enclosing element and their class and id (an end tag by its start tag), and text. Tokens
-of block elements whose numbers of occurrences agree on every page of a group form an equivalence class. A
-class is valid if its tokens come in one order, over and over, on all pages; of one that isn't,
-the start and end tags of each element are tried as classes of their own. Valid classes nest:
-of two whose spans cross, the one on fewer pages is split so too, or goes. The class of tokens found once a page is
-the template, the others lie in its gaps or in each other's; a gap between neighbouring tokens
-of a class is a slot, of all its occurrences. An element of a class whose text is the same
-wherever it occurs, on half of the group's pages and on ``PROOF`` (three without a main element) that
-differ in their own text, is the template's own; the rest is data. The article is the data inside the main element (article,
-main or role=main) that isn't in navigation, page headers, footers, sidebars and the like. Text
-that stands bare beside varying text there stays. Without a main element, the article is the data
-outside those, where slots that don't vary go too, and gaps of the template mostly in links.
-
-Groups are cut to ``PAGES`` pages, the last two of a host evenly; hosts with more pages, and more than 1/1024 of all, are
-dealt over several tasks (at most 1024 such hosts exist, so their list has a fixed bound). A lone page
-is its own group. White space inside a block becomes one space, blocks are joined by one
-space, character references are decoded. Null or empty pages give the empty text, and so do
-pages without an article. Pages are read whole; broken or cut markup is taken as it stands.
-Repeated rows give equal texts; an empty table gives no rows.
+their enclosing element and their class and id (an end tag by its start tag), and text.
+
+1. Tokens of block elements whose numbers of occurrences agree on every page of a group form an
+   equivalence class (pages that lack what nine in ten have, such as cut ones, don't vote). A
+   class is valid if its tokens come in one order, over and over, on all pages; of one that isn't,
+   the start and end tags of each element are tried as classes of their own. Valid classes nest:
+   of two whose spans cross, the one on fewer pages is split so too, or goes. The class of tokens
+   found once a page is the template; the others lie in its gaps or in each other's.
+2. The gaps of the template are its slots. The slot with most words over all pages, of texts that
+   differ between pages, stand outside links and outside side elements (navigation, page headers,
+   footers, sidebars, forms and the like, by tag, role or class), holds the article. On a page the
+   article's region is the smallest element around more than half of that slot's words, and then
+   the elements around it, as long as they add no text of a slot that is constant or mostly links,
+   or to the side. ``article``, ``main`` and role=main break ties: growth ends at such an element,
+   and inside one goes up to it. A page whose slot is empty takes the element that is the region
+   on most pages.
+3. Inside the region, an element of a class whose text is the same wherever it occurs, on half of
+   the group's pages and on ``PROOF`` (three outside article and main) that differ in their own
+   text, is the template's own; the rest is data. Data outside side elements is the article. Text
+   that stands bare beside varying text there stays.
+
+A page that doesn't hold its group's template is a group by itself. Groups are cut to ``PAGES`` pages, the
+last two of a host evenly; hosts with more pages, and more than 1/1024 of all, are dealt over
+several tasks (at most 1024 such hosts exist, so their list has a fixed bound). White space inside
+a block becomes one space, blocks are joined by one space, character references are decoded. Null
+or empty pages give the empty text, and so do pages without an article. Pages are read whole;
+broken or cut markup is taken as it stands. Repeated rows give equal texts; an empty table gives
+no rows; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter, defaultdict
@@ -107,25 +117,38 @@ def tokens(page: str) -> list:
 
 
 def in_order(order: list[list[str]]) -> list[str]:
-    """Tokens found once a page, without those that break the order of the first page."""
+    """Tokens found once a page, without those that break the order of the first page.
+
+    Page by page the longest run of tokens in the same order on both stays.
+    """
     first = order[0]
     for other in order[1:]:
-        if other != first:
-            rank = {t: i for i, t in enumerate(other)}
-            # The longest run of tokens in the same order on both pages stays.
-            best: list[tuple[int, str, int]] = []
-            for t in first:
-                r = rank[t]
-                best.append((r, t, 1 + max((n for x, _, n in best if x < r), default=0)))
-            keep, want, limit = [], max((n for _, _, n in best), default=0), len(other)
-            for r, t, n in reversed(best):
-                if n == want and r < limit:
-                    keep.append(t)
-                    want, limit = want - 1, r
-            first = keep[::-1]
+        if other == first:
+            continue
+        rank = {t: i for i, t in enumerate(other)}
+        tops: list[int] = []  # by length of a run, the least rank of its last token
+        length = []
+        for t in first:
+            k = bisect.bisect_left(tops, rank[t])
+            tops[k : k + 1] = [rank[t]]
+            length.append(k)
+        keep, want, limit = [], len(tops) - 1, len(other)
+        for t, k in zip(reversed(first), reversed(length), strict=True):
+            if k == want and rank[t] < limit:
+                keep.append(t)
+                want, limit = want - 1, rank[t]
+        first = keep[::-1]
     return first
 
 
+def voters(pages: list[list]) -> list[list]:
+    """The pages that hold, once, all block tags that nine in ten of the pages hold once."""
+    once = [{t for t, n in Counter(x.token for x in page if isinstance(x, Tag) and x.name in BLOCK).items() if n == 1} for page in pages]
+    known = Counter(t for x in once for t in x)
+    most = {t for t, n in known.items() if 10 * n >= 9 * len(pages)}
+    return [p for p, x in zip(pages, once, strict=True) if most <= x]
+
+
 def deduce(pages: list[list]) -> list[list[str]]:
     """The valid classes, each its tokens in order, that nest; the template (which may be empty) first."""
     names = [[x.token for x in page if isinstance(x, Tag) and x.name in BLOCK and x.name not in VOID] for page in pages]
@@ -266,35 +289,115 @@ def blocks(page: list, chosen: list[bool]) -> str:
     return " ".join(y for x in done if (y := " ".join(x.split())))
 
 
+class Nest:
+    """Elements of a page: by token the innermost one around it, by element its parent and its end."""
+
+    def __init__(self, page: list) -> None:
+        self.up: list[int] = []
+        self.end: dict[int, int] = {}
+        stack: list[int] = []
+        for i, x in enumerate(page):
+            if isinstance(x, Tag) and not x.open and any(page[k].name == x.name for k in stack):
+                while True:
+                    k = stack.pop()
+                    self.end[k] = i
+                    if page[k].name == x.name:
+                        break
+            self.up.append(stack[-1] if stack else -1)
+            if isinstance(x, Tag) and x.open and x.name not in VOID:
+                stack.append(i)
+        self.end.update((k, len(page)) for k in stack)
+
+    def around(self, i: int) -> list[int]:
+        """The elements around a token, inner ones first."""
+        out = []
+        while (i := self.up[i]) >= 0:
+            out.append(i)
+        return out
+
+
+def article_slot(pages: list[list], root: list[str], walks: list[tuple]) -> tuple[int, list[bool]] | None:
+    """The gap of the template that holds the article, and which gaps are the template's own or mostly links."""
+    size = len(root) + 1
+    words, links = [0] * size, [0] * size
+    said: list[set[str]] = [set() for _ in range(size)]
+    for page, (side, _, link) in zip(pages, walks, strict=True):
+        parts: list[list[str]] = [[] for _ in range(size)]
+        for i, g in enumerate(slots(page, [root])[0]):
+            if not isinstance(page[i], Tag) and not side[i] and (n := len(page[i].split())):
+                (links if link[i] else words)[g] += n
+                parts[g].append(page[i])
+        for g, x in enumerate(parts):
+            said[g].add(" ".join("".join(x).split()))
+    constant = [len(pages) >= 3 and len(x) == 1 and x != {""} for x in said]
+    core = max(range(size), key=lambda g: (not constant[g] and words[g] > 0, words[g]))
+    return (core, [c or b > a for c, a, b in zip(constant, words, links, strict=True)]) if words[core] else None
+
+
+def region(page: list, gaps: list[int], walk: tuple, core: int, other: list[bool]) -> int | None:
+    """The element (index of its start tag, -1: the whole page) that is the page's article; None if its slot is empty."""
+    side, _, link = walk
+    nest = Nest(page)
+    held: Counter = Counter()
+    total = 0
+    for i, x in enumerate(page):
+        if not isinstance(x, Tag) and gaps[i] == core and not side[i] and not link[i] and (n := len(x.split())):
+            total += n
+            for k in nest.around(i):
+                held[k] += n
+    if not total:
+        return None
+    at = max((k for k, n in held.items() if 2 * n > total), default=-1)  # the last start tag is the innermost
+    if at < 0:
+        return -1
+    mains = [k for k in (at, *nest.around(at)) if page[k].main and not side[k]]
+    if mains:
+        return mains[0]
+    while at >= 0:
+        up = nest.up[at]
+        more = [*range(max(up, 0), at), *range(nest.end[at], nest.end[up] if up >= 0 else len(page))]
+        if any(not isinstance(page[i], Tag) and page[i].strip() and (side[i] or other[gaps[i]]) for i in more):
+            break
+        at = up
+    return at
+
+
 def extract(group: list[str]) -> list[str]:
     """Main texts of the pages of one group of one host."""
     pages = [tokens(p) for p in group]
+    walks = [_walk(p) for p in pages]
     full = [p for p in pages if p]
-    classes = deduce(full) if full else [[]]
+    vote = voters(full)
+    classes = deduce(vote) if vote else [[]]
+    of = {id(p): w for p, w in zip(pages, walks, strict=True)}
+    own = article_slot(vote, classes[0], [of[id(p)] for p in vote]) if vote else None
+    found = []
+    for p, walk in zip(pages, walks, strict=True):
+        slot, root = own, classes[0]
+        if p and not set(root) <= {x.token for x in p if isinstance(x, Tag)}:
+            root = deduce([p])[0]
+            slot = article_slot([p], root, [walk])
+        found.append(region(p, slots(p, [root])[0], walk, *slot) if p and slot else None)
+    usual = Counter(p[k].token for p, k in zip(pages, found, strict=True) if k is not None and k >= 0).most_common(1)
     taken, places, least = [], [], []
-    for p in pages:
-        side, main, link = _walk(p)
-        has_main = any(isinstance(x, Tag) and x.main and not s for x, s in zip(p, side, strict=True))
-        gaps, own, paths = slots(p, classes)
-        inside = [i for i, x in enumerate(p) if not isinstance(x, Tag) and not side[i] and (main[i] or not has_main)]
-        if not has_main:
-            size: dict[int, int] = defaultdict(int)
-            for i in inside:
-                n = len(p[i].split())
-                size[gaps[i]] += 2 * n * link[i] - n
-            inside = [i for i in inside if size[gaps[i]] <= 0]
-        taken.append(inside)
-        places.append(paths if has_main else [(*path, (o[:2], o[2])) for o, path in zip(own, paths, strict=True)])
-        least.append(PROOF if has_main else 3)
+    for p, walk, k in zip(pages, walks, found, strict=True):
+        if k is None and usual:
+            k = next((i for i, x in enumerate(p) if isinstance(x, Tag) and x.token == usual[0][0]), None)
+        within = range(0) if k is None else range(k + 1, Nest(p).end[k]) if k >= 0 else range(len(p))
+        of_main = k is not None and k >= 0 and p[k].main
+        _, slot, paths = slots(p, classes)
+        taken.append([i for i in within if not isinstance(p[i], Tag) and not walk[0][i]])
+        places.append(paths if of_main else [(*path, (o[:2], o[2])) for o, path in zip(slot, paths, strict=True)])
+        least.append(PROOF if of_main else 3)
     # What a page says itself: its longest text that at most half of the pages have. Copies count once.
-    said = [{" ".join(p[i].split()) for i in inside} for p, inside in zip(pages, taken, strict=True)]
+    said = [{" ".join(p[i].split()) for i in few} for p, few in zip(pages, taken, strict=True)]
     known = Counter(t for x in said for t in x)
     self = [max((t for t in x if 2 * known[t] <= len(full)), key=lambda t: (len(t), t), default="") for x in said]
     held: dict[object, set[str]] = defaultdict(set)
     on: dict[object, list[int]] = defaultdict(list)
-    for j, (p, inside, around) in enumerate(zip(pages, taken, places, strict=True)):
+    for j, (p, few, around) in enumerate(zip(pages, taken, places, strict=True)):
         texts: dict[tuple, list[str]] = defaultdict(list)
-        for i in inside:
+        for i in few:
             for place in around[i]:
                 texts[place].append(p[i])
         for (name, _), parts in texts.items():
@@ -303,9 +406,9 @@ def extract(group: list[str]) -> list[str]:
                 on[name].append(j)
     proof = {k: len({self[j] for j in on[k]}) for k, v in held.items() if len(v) == 1 and 2 * len(set(on[k])) >= len(full)}
     out = []
-    for p, inside, around, need in zip(pages, taken, places, least, strict=True):
+    for p, few, around, need in zip(pages, taken, places, least, strict=True):
         chosen = [False] * len(p)
-        for i in inside:
+        for i in few:
             chosen[i] = not any(proof.get(name, 0) >= need for name, _ in around[i])
         out.append(blocks(p, chosen))
     return out
