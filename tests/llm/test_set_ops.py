@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -192,7 +193,7 @@ def test_search_recall_ties_and_odd_vectors(spark):
     rows += [(9000, None, 1), (9020, [0.0] * 16, 1), (9040, [float("nan")] * 16, 1), (9060, [None] + [1.0] * 15, 1), (9080, [1.0] * 3, 1), (9100, [float("inf")] * 16, 1)]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
     got = collections.defaultdict(list)
-    for r in curves.nearest(d, d.where("vec_id % 20 = 0"), 20, piece=128).orderBy("query_id", "rank").collect():
+    for r in curves.nearest(d, d.where("vec_id % 20 = 0"), 20, piece=128, asks=16).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"], r["rank"]))
     assert set(got) == set(range(0, 3000, 20))
     hits = 0
@@ -210,6 +211,53 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert curves.nearest(d.limit(0), d, 20).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.1", "check_l"])
+def test_search_recall_on_tables(spark, folder):
+    folder = f"/root/testdata/{folder}"
+    if not os.path.isdir(folder):
+        pytest.skip("no such table")
+    rows = queries.table(spark, folder, "embeddings")
+    t = rows.toArrow()
+    ids = t["vec_id"].to_numpy()
+    x = np.array(t["embedding"].to_pylist(), float)
+    got = collections.defaultdict(set)
+    for r in queries.op4_curves(spark, folder).select("query_id", "vec_id").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    ask = np.flatnonzero(ids % 20 == 0)
+    assert set(got) == set(ids[ask].tolist())
+    hits = 0
+    for part in np.array_split(ask, 20):
+        s = x[part] @ x.T
+        s[np.arange(len(part)), part] = -np.inf
+        top = ids[np.argpartition(-s, 20, axis=1)[:, :20]]
+        hits += sum(len(got[i] & set(n)) for i, n in zip(ids[part].tolist(), top.tolist(), strict=True))
+    assert hits >= 0.9 * 20 * len(ask)
+    assert len(ids) < 10_000 or curves.products(len(ids)) < len(ids)
+
+
+def test_search_takes_repeated_ids_and_clashing_columns(spark):
+    rows = [(i % 30, [float(i % 30 % 7 + 1), float(i % 30 % 5), 1.0], "x") for i in range(60)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, cid string").selectExpr("*", "cid as h", "cid as vec", "cid as slot", "cid as near", "1 as rank")
+    got = curves.nearest(d, d.where("vec_id = 0"), 100).orderBy("rank").collect()
+    assert {r["query_id"] for r in got} == {0} and sorted(r["vec_id"] for r in got) == list(range(1, 30))
+    assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
+
+
+def test_plans_hold_windows_and_bound_tasks():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 50, 200)
+    rows[17] = 5000
+    asked = rows // 5
+    p = curves.plan(rows, asked, 120, 7, piece=300, asks=40)
+    behind = np.cumsum(rows)
+    for f in range(200):
+        assert p.lo[f] <= f <= p.hi[f]
+        assert p.lo[f] == 0 or behind[f] - rows[f] - (behind[p.lo[f]] - rows[p.lo[f]]) >= 120 or rows[: p.lo[f]].sum() == 0
+        assert p.hi[f] == 199 or behind[p.hi[f]] - behind[f] >= 120
+    held = np.bincount(p.piece, rows)
+    assert (held / p.parts <= 300).all() and p.slot[0] == 7 and (np.diff(p.slot) == (p.parts * p.asks)[:-1]).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><script>var x = "<p>no</p>";</script><style>p{{}}</style></head><body>
 <header>Site name</header><nav><ul><li><a href="/a">Menu {n}</a></li></ul></nav><div class="ad">Buy {n}</div><div id="cookie-notice">We use cookies</div>
 <article><h1>Title {n}</h1><p>Body  of\n{n} &amp; more<br>next <b>bo</b>ld <p>open</p><form><input><label>Mail</label></form><div class="comments"><p>Reader {n}</p></div></article>
