@@ -12,7 +12,7 @@ task's work: its rows come once an ordering, the queries whose windows reach it
 beyond ``ASKS``), are scored exactly, and the best of all pieces and orderings are merged. The
 index holds every row; only scales and bounds rest on the sample.
 
-Windows hold ``REACH * n ** POWER`` rows on either side: sparser than the rows grow, since nearest
+Windows hold ``REACH * n ** POWER`` rows on either side, but more than ``k``: sparser than the rows grow, since nearest
 neighbours draw nearer. The values are measured on directions spread evenly over the sphere, the
 hardest case: recall at 20 stays above 0.9 from 500 to 51 282 vectors of 64 dimensions, with fewer
 inner products than rows from some 10 000 rows on. Tests measure both.
@@ -223,7 +223,7 @@ def _search(points: DataFrame, asked: DataFrame, k: int, orderings: int, reach:
     plans: list[Plan] = []
     for o in range(orderings):
         first = int(plans[-1].slot[-1] + plans[-1].parts[-1] * plans[-1].asks[-1]) if plans else 0
-        plans.append(plan(rows[o], many[o], math.ceil(reach * stats[0] ** POWER), first, piece, asks))
+        plans.append(plan(rows[o], many[o], max(k + 1, math.ceil(reach * stats[0] ** POWER)), first, piece, asks))
 
     def deal(batches):
         for b in batches:
