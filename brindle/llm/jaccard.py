@@ -4,17 +4,19 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
 the threshold. All links between different sets count; equal sets are one class from the
 start. Steps, each over all data:
 
-1. Every set gets a content key. Tasks count frequent shingles, as hints for an order.
+1. Every set gets a content key (64 bits, held against a second 64; sets whose keys clash take the
+   second). Tasks count frequent shingles, as hints for an order.
 2. Two sets can link only if the first ``n - ceil(t n) + 1`` shingles of each, in one common
    order with frequent shingles last, share a shingle; how many they must share follows from
    the sizes. Sets with a rare shingle are paired, and pairs that share too few are dropped;
-   sets with a common one are sorted by size and neighbours chained, so k sets give less than
-   k edges. Components of this graph are blocks: no link leaves one.
+   sets with a common one hang on the least set of their size range (sizes up to 1 / t apart), and
+   neighbouring ranges on each other, so k sets give less than 2 k edges. Hot shingles are dealt
+   out by set. Components of this graph are blocks: no link leaves one.
 3. In a block, sets are the leaves of a signature tree: a node holds the OR of its sets'
    token bitmaps and its range of sizes. A dual traversal of the tree with itself prunes
    node pairs whose largest possible overlap is too small or whose sets are linked already,
-   and compares the remaining leaves exactly. Blocks beyond ``BLOCK`` sets are cut by size
-   into parts, and compatible pairs of parts are traversed by themselves.
+   and compares the remaining leaves exactly. Blocks of more than ``BYTES`` are cut by size range
+   and hash into parts, and pairs of parts whose sizes fit are traversed by themselves.
 
 A text without words, or null, has no shingle and links with nothing; a text of fewer than
 5 words has its whole sequence as its one shingle. Repeated rows and rows with equal ids
@@ -27,21 +29,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks, map_rows, pick, release, spill, texts_of
+from brindle.llm.common import chunks, map_rows, own_names, pick, release, spill, texts_of
 from brindle.llm.components import Union, components
-from brindle.llm.words import OTHER_BASE, Words, mix, runs, signed
+from brindle.llm.words import MASK, OTHER_BASE, Words, mix, runs, signed
 
 WIDTH, THRESHOLD = 5, 0.75
 #: Frequent shingles that are put last in the order: at most so many (an order, not a filter).
 FREQUENT, LEAST = 200_000, 16
 #: Sets that have a shingle, up to which they are paired; more common shingles chain their sets.
 RARE = 128
-#: Sets of a block that one traversal takes, and sets of a group of small blocks, on average.
-BLOCK, GROUP = 4000, 500
+#: Bytes of a block (8 a shingle) that one traversal takes, and sets of a group of small blocks, on average.
+BYTES, GROUP = 16 << 20, 500
+#: Sets of a block from which its bytes are looked up.
+MEMBERS = 64
+#: Tasks that a hot shingle is dealt over, and sets (by the hints) from which it counts as hot.
+SALTS, HOT = 64, 1 << 16
 #: Sets in blocks up to which their table (some 40 bytes a row) is broadcast.
 BROADCAST = 500_000
 #: Bits of a signature; children of a node.
@@ -68,12 +74,18 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    """A content key of a set: its size and two sums of mixed hashes, mixed."""
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """Two content keys of a set, from its size and two sums of mixed hashes."""
     a = int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
     b = int(mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
-    h = mix(np.array([a ^ (b * 3 + len(s)) & ((1 << 64) - 1)], np.uint64))
-    return int(h.view(np.int64)[0])
+    own = np.array([a ^ (b * 3 + len(s)) & MASK, b ^ (a * 5 + len(s)) & MASK], np.uint64)
+    return tuple(mix(own).view(np.int64).tolist())
+
+
+def set_key(s: np.ndarray, clash: frozenset = frozenset()) -> int:
+    """A set's content key: the first, or the second where different sets have equal first ones."""
+    one, other = set_keys(s)
+    return other if one in clash else one
 
 
 def need(a: int, b: int, t: float = THRESHOLD) -> int:
@@ -158,7 +170,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         u, n = np.unique(np.concatenate(held), return_counts=True)
         few = n >= 2
         u, n = u[few], n[few]
-        return {"kind": np.ones(len(u), np.int32), "a": signed(u), "n": n.astype(np.int64), "key": np.zeros(len(u), np.int64)}
+        return {"kind": np.ones(len(u), np.int32), "a": signed(u), "n": n.astype(np.int64), "key": np.zeros(len(u), np.int64), "other": np.zeros(len(u), np.int64)}
 
     def run(batches):
         held, total, seen = [], 0, set()
@@ -166,8 +178,8 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ids, texts = b[id_col], texts_of(b[text_col])
             for lo, hi in chunks([len(x) for x in texts]):
                 sets = shingle_sets(texts[lo:hi])
-                keys = [set_key(s) for s in sets]
-                yield {"kind": [0] * len(sets), "a": ids[lo:hi].cast(pa.int64()), "n": [len(s) for s in sets], "key": keys}
+                keys = [set_keys(s) for s in sets]
+                yield {"kind": [0] * len(sets), "a": ids[lo:hi].cast(pa.int64()), "n": [len(s) for s in sets], "key": [k for k, _ in keys], "other": [k for _, k in keys]}
                 for s, k in zip(sets, keys, strict=True):
                     if k not in seen:
                         seen.add(k)
@@ -179,12 +191,16 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return map_rows(pick(docs, id_col, text_col), "kind int, a bigint, n bigint, key bigint", run)
+    return map_rows(pick(docs, id_col, text_col), "kind int, a bigint, n bigint, key bigint, other bigint", run)
+
 
+def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text_col: str, t: float, clash: frozenset) -> DataFrame:
+    """(token, n, key, salt) for the first shingles of each set; a task gives equal sets once.
 
-def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text_col: str, t: float) -> DataFrame:
-    """(token, n, key) for the first shingles of each set; a task gives equal sets once."""
+    ``salt`` deals a hot shingle's sets over ``SALTS`` tasks (1 and up; 0 for all others).
+    """
     heavy, level = frequent
+    hot = heavy[level >= HOT.bit_length()]
 
     def run(batches):
         seen = set()
@@ -193,7 +209,7 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text_col
             for lo, hi in chunks([len(x) for x in texts]):
                 toks, sizes, keys = [], [], []
                 for s in shingle_sets(texts[lo:hi]):
-                    k = set_key(s)
+                    k = set_key(s, clash)
                     if not len(s) or k in seen:
                         continue
                     seen.add(k)
@@ -207,9 +223,11 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text_col
                     sizes.append(np.full(p, len(s), np.int64))
                     keys.append(np.full(p, k, np.int64))
                 if toks:
-                    yield {"token": signed(np.concatenate(toks)), "n": np.concatenate(sizes), "key": np.concatenate(keys)}
+                    tok, key = np.concatenate(toks), np.concatenate(keys)
+                    salt = np.where(np.isin(tok, hot), 1 + key % SALTS, 0).astype(np.int32)
+                    yield {"token": signed(tok), "n": np.concatenate(sizes), "key": key, "salt": salt}
 
-    return map_rows(docs.select(F.col(f"`{text_col}`")), "token bigint, n bigint, key bigint", run)
+    return map_rows(docs.select(F.col(f"`{text_col}`")), "token bigint, n bigint, key bigint, salt int", run)
 
 
 def _shared(prefixes: DataFrame, t: float) -> DataFrame:
@@ -223,10 +241,17 @@ def _shared(prefixes: DataFrame, t: float) -> DataFrame:
     def out(kind: int, u, v, nu, nv) -> dict:
         return {"kind": np.full(len(u), kind, np.int32), "u": u, "v": v, "nu": nu, "nv": nv}
 
+    def common_ones(tok, n, key) -> dict:
+        return out(1, key, tok, n, np.zeros(len(tok), np.int64))
+
     def run(batches):
         held = (np.empty(0, np.int64),) * 3
         common, last = None, None  # the common shingle being read, and its last set
-        for tok, n, key in ((b["token"].to_numpy(), b["n"].to_numpy(), b["key"].to_numpy()) for b in batches):
+        for b in batches:
+            tok, n, key, salt = (b[c].to_numpy() for c in ("token", "n", "key", "salt"))
+            if (salted := salt > 0).any():
+                yield common_ones(tok[salted], n[salted], key[salted])
+                tok, n, key = tok[~salted], n[~salted], key[~salted]
             if common is not None:
                 here = tok == common
                 k, size = key[here], n[here]
@@ -235,7 +260,7 @@ def _shared(prefixes: DataFrame, t: float) -> DataFrame:
                     new[1:] = k[1:] != k[:-1]
                     new[0] = k[0] != last
                     last = k[-1]
-                    yield out(1, k[new], np.full(int(new.sum()), common), size[new], np.zeros(int(new.sum()), np.int64))
+                    yield common_ones(np.full(int(new.sum()), common), size[new], k[new])
                 tok, n, key = tok[~here], n[~here], key[~here]
                 if not len(tok):
                     continue
@@ -259,8 +284,7 @@ def _shared(prefixes: DataFrame, t: float) -> DataFrame:
         left = np.repeat(many, many) - (np.arange(len(tok)) - np.repeat(first, many)) - 1  # sets of the shingle still to come
         rare = np.repeat(many <= RARE, many)
         if not rare.all():
-            k = ~rare
-            yield out(1, key[k], tok[k], n[k], np.zeros(int(k.sum()), np.int64))
+            yield common_ones(tok[~rare], n[~rare], key[~rare])
         at = np.flatnonzero(rare & (left > 0))
         step = 1
         while len(at):
@@ -270,31 +294,38 @@ def _shared(prefixes: DataFrame, t: float) -> DataFrame:
             step += 1
             at = at[fits & (left[at] >= step)]  # sizes ascend: once too large, always too large
 
-    rows = prefixes.repartition("token").sortWithinPartitions("token", "n", "key")
+    rows = prefixes.repartition("token", "salt").sortWithinPartitions("salt", "token", "n", "key")
     return map_rows(rows, "kind int, u bigint, v bigint, nu bigint, nv bigint", run)
 
 
+def _size_range(n: str, t: float) -> Column:
+    """Sets of sizes in one range, or in neighbouring ones, may link; others can't."""
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(1 / t) + 1e-9).cast("int")
+
+
 def _edges(shared: DataFrame, t: float) -> DataFrame:
-    """(u, v, nu, nv): edges whose components hold every link.
+    """(u, v): edges whose components hold every link.
 
     If two sets link, the set whose prefix ends first in the order has at most
     ``ceil(t n) - 1`` shingles behind its prefix, so they share at least
-    ``need - (ceil(t n) - 1)`` prefix shingles. Sets with a common shingle are chained by
-    size, which connects every linking pair of them; a pair without one shares rare shingles
-    only, so its count is complete and is held against the bound.
+    ``need - (ceil(t n) - 1)`` prefix shingles. A pair without a common shingle shares rare ones
+    only, so its count is complete and is held against the bound. Sets with a common shingle
+    hang on the least of their size range; minima combine before the shuffle, and the join back
+    has both sides shuffled for it alone, so that a hot range can be split.
     """
     rare = shared.where("kind = 0")
-    common = shared.where("kind = 1")
     behind = lambda n: F.ceil(F.lit(t) * F.col(n) - 1e-9) - 1
     least = F.ceil(F.lit(t) * (F.col("nu") + F.col("nv")) / (1 + t) - 1e-9) - F.greatest(behind("nu"), behind("nv"))
-    pairs = rare.where(F.col("count") >= least)
-    w = W.partitionBy("v").orderBy("nu", "u")
-    chain = common.select(F.lag("u").over(w).alias("u"), F.col("u").alias("v"), F.lag("nu").over(w).alias("nu"), F.col("nu").alias("nv"))
-    chain = chain.where((F.col("u") != F.col("v")) & (F.col("nu") >= F.lit(t) * F.col("nv") - 1e-9)).distinct()
-    return pairs.select("u", "v", "nu", "nv").unionByName(chain)
+    pairs = rare.where(F.col("count") >= least).select("u", "v")
+    common = shared.where("kind = 1").select("u", "v", _size_range("nu", t).alias("range"))
+    heads = spill(common.groupBy("v", "range").agg(F.min("u").alias("head")), "jaccard-heads")
+    stars = common.join(heads, ["v", "range"]).select("u", F.col("head").alias("v"))
+    below = heads.select("v", (F.col("range") + 1).alias("range"), F.col("head").alias("under"))
+    steps = heads.join(below, ["v", "range"]).select(F.col("under").alias("u"), F.col("head").alias("v"))
+    return pairs.unionByName(stars).unionByName(steps).where("u <> v").distinct()
 
 
-def _payload(docs: DataFrame, sieve: np.ndarray, text_col: str) -> DataFrame:
+def _payload(docs: DataFrame, sieve: np.ndarray, text_col: str, clash: frozenset) -> DataFrame:
     """(key, n, tokens) of sets that may be in a block; a task gives equal sets once."""
 
     def run(batches):
@@ -304,8 +335,8 @@ def _payload(docs: DataFrame, sieve: np.ndarray, text_col: str) -> DataFrame:
             for lo, hi in chunks([len(x) for x in texts]):
                 keys, sizes, toks = [], [], []
                 for s in shingle_sets(texts[lo:hi]):
-                    k = set_key(s)
-                    u = k & ((1 << 64) - 1)
+                    k = set_key(s, clash)
+                    u = k & MASK
                     if len(s) and k not in seen and int(sieve[(u >> 6) % SIEVE]) >> (u & 63) & 1:
                         seen.add(k)
                         keys.append(k)
@@ -327,45 +358,63 @@ def _sieve(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _units(nodes: DataFrame, t: float) -> tuple[DataFrame, bool, int]:
-    """(key, unit, root): which traversals take a set; whether a block had to be cut; the number of sets."""
-    n = nodes.count()
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("members"))
-    large = sizes.where(F.col("members") > BLOCK)
+def _units(nodes: DataFrame, sizes: DataFrame, t: float) -> tuple[DataFrame, bool, int]:
+    """(key, unit, root): which traversals take a set; whether a block had to be cut; the number of sets.
+
+    ``nodes``: key, root. ``sizes``: key, n.
+    """
+    members = spill(nodes.groupBy("root").agg(F.count("*").alias("members")), "jaccard-roots")
+    n = members.agg(F.sum("members")).first()[0] or 0
     groups = max(1, math.ceil(n / GROUP))
     unit = F.concat(F.lit("g"), F.pmod(F.xxhash64("root"), F.lit(groups)).cast("string"))
+    # Blocks of few sets are taken as they are; of the others sizes are looked up.
+    maybe = members.where(F.col("members") > MEMBERS).select("root")
+    if maybe.isEmpty():
+        return nodes.select("key", unit.alias("unit"), "root"), False, n
+    sized = spill(nodes.join(maybe, "root", "left_semi").join(sizes, "key"), "jaccard-sized").withColumn("range", _size_range("n", t))
+    held = spill(sized.groupBy("root", "range").agg((8 * F.sum("n")).alias("bytes")), "jaccard-ranges")
+    large = held.groupBy("root").agg(F.sum("bytes").alias("all")).where(F.col("all") > BYTES).select("root")
+    large = spill(large, "jaccard-large")
     if large.isEmpty():
         return nodes.select("key", unit.alias("unit"), "root"), False, n
     small = nodes.join(large, "root", "left_anti").select("key", unit.alias("unit"), "root")
-    at = (F.row_number().over(W.partitionBy("root").orderBy("n", "key")) - 1) / (BLOCK // 2)
-    parts = nodes.join(large, "root", "left_semi").withColumn("part", F.floor(at))
-    span = parts.groupBy("root", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = span.select("root", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = span.join(other, "root").where((F.col("part") <= F.col("part2")) & (F.col("hi") >= F.lit(t) * F.col("lo2") - 1e-9))
-    name = F.concat_ws("-", F.lit("b"), "root", "part", "part2")
-    ends = pairs.select("root", name.alias("unit"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
-    return small.unionByName(parts.join(ends, ["root", "part"]).select("key", "unit", "root")), True, n
-
-
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, n_shingles and component_id, the least id reachable by links (its own included)."""
-    first = spill(_first_pass(docs, id_col, text_col), "jaccard-sets")
-    rows = first.where("kind = 0").select(F.col("a").alias(id_col), F.col("n").alias("n_shingles"), "key")
+    # Parts of half a traversal's bytes: two of them are one unit.
+    parts = held.join(large, "root", "left_semi").select("root", "range", F.ceil(2 * F.col("bytes") / BYTES).cast("int").alias("parts"))
+    above = parts.select("root", (F.col("range") - 1).alias("range"), F.col("parts").alias("above"))
+    below = parts.select("root", (F.col("range") + 1).alias("range"), F.col("parts").alias("below"))
+    parts = parts.join(above, ["root", "range"], "left").join(below, ["root", "range"], "left").na.fill(0)
+    rows = sized.join(parts, ["root", "range"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    name = lambda lo, p, hi, q: F.concat_ws("-", F.lit("b"), F.col("root"), lo, p, hi, q)
+    here, part = F.col("range"), F.col("part")
+    many = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(many(F.col("parts")), lambda q: name(here, F.least(part, q), here, F.greatest(part, q)))
+    up = F.transform(many(F.col("above")), lambda q: name(here, part, here + 1, q))
+    down = F.transform(many(F.col("below")), lambda q: name(here - 1, q, here, part))
+    cut = rows.select("key", "root", F.explode(F.array_distinct(F.concat(own, up, down))).alias("unit"))
+    return small.unionByName(cut.select("key", "unit", "root")), True, n
+
+
+def _links(docs: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, n_shingles, key) of every row, and (u, v): sets and the set that they are linked with."""
+    first = spill(_first_pass(docs, "a", text_col), "jaccard-sets")
+    rows = first.where("kind = 0").select("a", F.col("n").alias("n_shingles"), "key", "other")
+    twin = rows.groupBy("key").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("key")
+    clash = frozenset(r["key"] for r in twin.collect())  # different sets with equal 64-bit keys: none but by chance
+    if clash:
+        rows = rows.withColumn("key", F.when(F.col("key").isin(list(clash)), F.col("other")).otherwise(F.col("key")))
+    rows = rows.drop("other")
     top = first.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
     heavy = np.array([r["a"] for r in top], np.int64).view(np.uint64)
     level = np.array([min(255, r["n"].bit_length()) for r in top], np.uint8)
     by = np.argsort(heavy)
-    pre = _prefixes(docs, (heavy[by], level[by]), text_col, threshold)
+    pre = _prefixes(docs, (heavy[by], level[by]), text_col, threshold, clash)
     shared = spill(_shared(pre, threshold).groupBy("kind", "u", "v", "nu", "nv").count(), "jaccard-shared")
     release(docs.sparkSession)
-    edges = spill(_edges(shared, threshold), "jaccard-edges")
-    roots = components(edges)
-    size_of = edges.select(F.col("u").alias("node"), F.col("nu").alias("n")).unionByName(edges.select(F.col("v").alias("node"), F.col("nv").alias("n"))).groupBy("node").agg(F.max("n").alias("n"))
-    nodes = spill(roots.join(size_of, "node").select(F.col("node").alias("key"), "root", "n"), "jaccard-blocks")
-    units, cut, n = _units(nodes, threshold)
+    nodes = spill(components(spill(_edges(shared, threshold), "jaccard-edges")).select(F.col("node").alias("key"), "root"), "jaccard-blocks")
+    units, cut, n = _units(nodes, rows.where("n_shingles > 0").select("key", F.col("n_shingles").alias("n")).distinct(), threshold)
     # Up to a checked size the table of blocks goes to the sets; beyond it both are shuffled.
     units = F.broadcast(units) if n <= BROADCAST and not cut else units
-    given = _payload(docs, _sieve(nodes), text_col).join(units, "key")
+    given = _payload(docs, _sieve(nodes), text_col, clash).join(units, "key")
 
     def link(block: pa.Table) -> pa.Table:
         keys, in_block = block["key"].to_pylist(), block["root"].to_pylist()
@@ -384,20 +433,36 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = spill(given.groupBy("unit").applyInArrow(link, "u bigint, v bigint"), "jaccard-links")
     if cut:
         found = components(found).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return rows, found.where("u <> v")
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: id, n_shingles and component_id, the least id reachable by links (its own included)."""
+    rows, found = _links(docs.select(F.col(f"`{id_col}`").alias("a"), F.col(f"`{text_col}`").alias("t")), "t", threshold)
     # Both sides of these joins are shuffled for the join alone, so a hot set or class can be split.
-    label = spill(found.where("u <> v").select(F.col("u").alias("key"), F.col("v").alias("_root")).distinct(), "jaccard-labels")
-    named = rows.join(label, "key", "left").withColumn("_root", F.coalesce("_root", "key"))
-    least = spill(named.where("n_shingles > 0").groupBy("_root").agg(F.min(id_col).alias("component_id")), "jaccard-least")
-    out = named.join(least, "_root", "left")
-    return out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
+    label = spill(found.select(F.col("u").alias("key"), F.col("v").alias("class")).distinct(), "jaccard-labels")
+    named = rows.join(label, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    least = spill(named.where("n_shingles > 0").groupBy("class").agg(F.min("a").alias("least")), "jaccard-least")
+    out = named.join(least, "class", "left")
+    return out.select(F.col("a").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("a")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near-duplicates: of each class one row of the least id stays."""
-    found = spill(classes(docs, id_col=id_col, text_col=text_col, threshold=threshold), "jaccard-classes")
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    stay = spill(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct(), "jaccard-keep")
-    out = docs.join(stay.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    if repeated.isEmpty():
+    """The documents without near-duplicates: of each class one row of the least id stays.
+
+    Rows without an id stay. Of several rows with a class's least id the one of the least text hash stays.
+    """
+    found = classes(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col=id_col, text_col=text_col, threshold=threshold)
+    own_id, goes, place = own_names(docs, "own_id", "goes", "place")
+    i = F.col(f"`{id_col}`")
+    per_id = found.where(i.isNotNull()).groupBy(i.alias(own_id)).agg(F.count("*").alias("n"), F.bool_or(i != F.col("component_id")).alias(goes))
+    marks = spill(per_id.where(F.col(goes) | (F.col("n") > 1)).select(own_id, goes), "jaccard-marks")
+    # What goes is sent to the documents up to a checked size; beyond it both are shuffled.
+    side = F.broadcast(marks) if marks.count() <= BROADCAST else marks
+    rows = docs.join(side, i == F.col(own_id), "left").drop(own_id)
+    out = rows.where(F.col(goes).isNull()).drop(goes)
+    if marks.where(~F.col(goes)).isEmpty():
         return out
-    return out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    w = W.partitionBy(i).orderBy(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    again = rows.where(~F.col(goes)).drop(goes).withColumn(place, F.row_number().over(w)).where(F.col(place) == 1)
+    return out.unionByName(again.drop(place))

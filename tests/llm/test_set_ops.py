@@ -70,13 +70,33 @@ def test_jaccard_classes(spark, rare, monkeypatch):
 
 
 def test_jaccard_cuts_large_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "BYTES", 9000)
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    cut = []
+    units = jaccard._units
+    monkeypatch.setattr(jaccard, "_units", lambda *a: cut.append(units(*a)) or cut[-1])
     texts = corpus(2)
     got = jaccard.classes(docs_of(spark, texts).repartition(3)).collect()
     assert sorted(map(tuple, got)) == sorted(brute_components(texts, list(range(len(texts)))))
+    assert cut[0][1]
     assert jaccard.classes(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_with_hot_shingles_and_clashing_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    monkeypatch.setattr(jaccard, "LEAST", 2)
+    texts = corpus(7)
+    docs = docs_of(spark, texts).selectExpr("doc_id as key", "text as `class`", "n as a", "n as least")
+    got = jaccard.classes(docs.repartition(3), id_col="key", text_col="class")
+    assert sorted(map(tuple, got.collect())) == sorted(brute_components(texts, list(range(len(texts)))))
+    # Sets whose first keys are equal are told apart by the second.
+    sets = jaccard.shingle_sets(["a b c d e f", "g h i j k l"])
+    one, other = map(jaccard.set_keys, sets)
+    assert len({*one, *other}) == 4
+    assert jaccard.set_key(sets[0], frozenset([one[0]])) == one[1] and jaccard.set_key(sets[1], frozenset([one[0]])) == other[0]
+
+
 def test_jaccard_keeps_one_of_each_class(spark):
     texts = corpus(3)
     ids = list(range(len(texts)))
