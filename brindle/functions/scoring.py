@@ -52,11 +52,12 @@ def decay(since: Column, as_of: Column) -> Column:
     return F.when(days.isNull(), 1.0).otherwise(F.greatest(F.lit(C.DECAY_LEAST), 1 - days / C.DECAY_DAYS))
 
 
-def path_match(target: Column, pattern: Column) -> Column:
-    """1 if the pattern (* is any run, the rest a regular expression) matches, .7 in one directory, .4 under one grandparent."""
+def path_match(target: Column, pattern: Column, far: bool = True) -> Column:
+    """1 if the pattern (* is any run, the rest a regular expression) matches, .7 in one directory, .4 under one grandparent (if ``far``)."""
     rule = F.concat(F.lit("^(?:"), F.regexp_replace(pattern, r"\*", ".*"), F.lit(")$"))
     a, b = parent(target), parent(pattern)
-    return F.when(F.rlike(target, rule), 1.0).when(a == b, 0.7).when((parent(a) == parent(b)) & (parent(a) != "."), 0.4).otherwise(0.0)
+    near = F.when(F.rlike(target, rule), 1.0).when(a == b, 0.7)
+    return (near.when((parent(a) == parent(b)) & (parent(a) != "."), 0.4) if far else near).otherwise(0.0)
 
 
 def relevance(path: Column, semantic: Column, same_domain: Column, conf: Column, decayed: Column, recent: Column) -> Column:
@@ -71,6 +72,11 @@ def blend(semantic: Column, base: Column) -> Column:
     return 0.60 * semantic + 0.40 * base
 
 
+def type_boost(kind: Column) -> Column:
+    """What a note's type adds to its rank; the derived types t0 to t2 stand for feedback, user and project."""
+    return F.when(kind.isin("feedback", "t0"), 0.15).when(kind.isin("user", "t1"), 0.10).when(kind.isin("project", "t2"), 0.05).otherwise(0.0)
+
+
 def note_score(tags: Column, query: Column, age: Column, priority: Column) -> Column:
     bonus = F.when(priority == "high", 0.3).when(priority == "low", -0.2).otherwise(0.0)
     hits = F.size(F.array_intersect(tags, query)) / (F.size(query) + 1)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brindle.functions.constants import CATEGORIES, DOMAINS, LANGUAGES, LAYERS, STOPWORDS, TEST_MARKERS
+from brindle.functions.constants import CATEGORIES, DOMAINS, LANGUAGES, LAYERS, NOTE_STOPWORDS, SKIP_PATHS, STOPWORDS, TEST_MARKERS
 
 
 def basename(path: Column) -> Column:
@@ -76,7 +76,7 @@ def query_tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array_distinct(F.split(F.trim(F.lower(text)), r"\s+")))
 
 
-def note_tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
+def note_tokens(text: Column, stopwords: list[str] = NOTE_STOPWORDS) -> Column:
     """Words that begin with a letter (Spanish ones too) and hold letters, digits and _."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-záéíóúñü_][a-záéíóúñü0-9_]*"), 0)
     return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(stopwords))
@@ -132,6 +132,52 @@ def is_test(path: Column) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(m) for m in TEST_MARKERS])
 
 
+def is_test_name(path: Column) -> Column:
+    """The stricter rule for files that stand for a project's tests: by the file's name alone."""
+    name = basename(path)
+    return name.contains("_test.go") | name.contains(".test.") | name.contains(".spec.") | name.startswith("test_") | name.endswith("_test.py")
+
+
+def skipped(path: Column) -> Column:
+    """Whether scanners leave a path out: vendored, built or generated."""
+    return path.rlike("|".join(SKIP_PATHS))
+
+
+def mentioned_files(text: Column) -> Column:
+    """Distinct file names in a text, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\w/.-]+\.\w+"), 0))
+
+
+def mentioned_source(text: Column) -> Column:
+    """The first path in a text that lies below a source folder; empty without one."""
+    return F.regexp_extract(text, r"(?:internal|src|cmd|app|lib|services|components|pkg)/[\w/.-]+\.\w+", 0)
+
+
+def said_smells(text: Column) -> Column:
+    """The number in ``12 smells``; null without one."""
+    return F.regexp_extract(text, r"(\d+)\s+smells", 1).try_cast("int")
+
+
+def status_path(line: Column) -> Column:
+    """The path of a short status line (two code letters, a space, a path); of a rename the new one."""
+    return F.btrim(F.substring_index(F.substring(line, 4, 1 << 30), " -> ", -1), F.lit("\" "))
+
+
+def status_code(line: Column) -> Column:
+    return F.substring(line, 1, 2)
+
+
+def context_text(kind: Column, name: Column, description: Column, body: Column) -> Column:
+    """``[kind] name``, the description and the body, each on its line if there is one."""
+    filled = lambda c: F.when(F.btrim(c, F.lit(" \n\t\r")) != "", F.btrim(c, F.lit(" \n\t\r")))
+    return F.concat_ws("\n", F.concat(F.lit("["), kind, F.lit("] "), name), filled(description), filled(body))
+
+
+def schema_properties(schema: Column) -> Column:
+    """Names of a JSON schema's properties, sorted."""
+    return F.array_sort(F.coalesce(F.json_object_keys(F.get_json_object(schema, "$.properties")), F.array().cast("array<string>")))
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
@@ -141,7 +187,8 @@ def short_hash(text: Column) -> Column:
 
 
 def change_hash(description: Column, schema: Column) -> Column:
-    return F.sha1(F.concat_ws("\n", F.coalesce(description, F.lit("")), F.coalesce(schema, F.lit("{}"))))
+    """SHA-1 of a description and a JSON schema, whatever the order of the schema's keys."""
+    return F.sha1(F.concat_ws("\n", F.coalesce(description, F.lit("")), F.to_json(F.parse_json(F.coalesce(schema, F.lit("{}"))))))
 
 
 def tail_path(path: Column, most: int = 60) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import constants as C
@@ -24,10 +25,22 @@ def new_since(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return current.join(baseline.select("type", "file").distinct(), ["type", "file"], "left_anti")
 
 
-def actionable(current: DataFrame, baseline: DataFrame, new_files: DataFrame) -> DataFrame:
-    """New findings, without orphans among files that are new themselves."""
+def in_edited(rows: DataFrame, edited: DataFrame) -> DataFrame:
+    """Findings in files that were edited."""
+    return rows.join(edited.select("file").distinct(), "file", "left_semi")
+
+
+def actionable(current: DataFrame, baseline: DataFrame, new_files: DataFrame, touched: DataFrame | None = None, as_of=None, seconds: int = 1800) -> DataFrame:
+    """New findings, without orphans among files that are new themselves.
+
+    ``touched`` (file, mtime): files changed less than ``seconds`` before ``as_of`` count as new too.
+    """
     fresh = new_since(current, baseline)
-    orphans = fresh.where("type = 'orphan_file'").join(new_files.select("file").distinct(), "file", "left_anti")
+    known = new_files.select("file")
+    if touched is not None:
+        age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("mtime").cast("timestamp"))
+        known = known.unionByName(touched.where(age < seconds * 1_000_000).select("file"))
+    orphans = fresh.where("type = 'orphan_file'").join(known.distinct(), "file", "left_anti")
     return fresh.where("type <> 'orphan_file'").unionByName(orphans.select(*fresh.columns))
 
 
@@ -55,13 +68,34 @@ def grade_gate(reports: DataFrame, worst: str = "D") -> DataFrame:
     return reports.withColumn("blocked", bad | (F.coalesce("critical", F.lit(0)) > C.CRITICAL_MOST))
 
 
-def impact(rows: DataFrame, by: str, least: int) -> DataFrame:
-    """Distinct files at risk by group, and how many of them have ``least`` findings or more."""
+def impact(rows: DataFrame, by: str, least: int, most: int = 10) -> DataFrame:
+    """Distinct files at risk by group, and how many have ``least`` findings or more; the worst ``most`` of these by name."""
     n = rows.groupBy(by, "file").agg(F.count("*").alias("n"))
-    return n.groupBy(by).agg(F.count("*").alias("files"), F.count_if(F.col("n") >= least).alias("details"), F.max("n").alias("most"))
+    w = W.partitionBy(by).orderBy(F.desc("n"), "file")
+    ranked = n.withColumn("r", F.row_number().over(w))
+    worst = F.array_sort(F.collect_list(F.when((F.col("r") <= most) & (F.col("n") >= least), F.struct("r", "file"))))
+    got = ranked.groupBy(by).agg(F.count("*").alias("files"), F.count_if(F.col("n") >= least).alias("over"), F.max("n").alias("most"), worst.alias("x"))
+    return got.select(by, "files", F.least("over", F.lit(most)).cast("bigint").alias("details"), "most", F.array_join(F.transform("x", lambda v: v["file"]), ",").alias("worst"))
 
 
-def skills(rows: DataFrame) -> DataFrame:
-    """The skill and section for each type of finding that has one."""
+def skills(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The skill and section for each type of finding that has one; ``more`` holds further types (as of a summary's map)."""
     known = F.create_map(*[F.lit(x) for k, (s, d) in C.SMELL_SKILLS.items() for x in (k, f"{s} {d}")])
-    return rows.select("type").distinct().withColumn("skill", F.try_element_at(known, F.col("type"))).where("skill is not null")
+    types = rows.select("type") if more is None else rows.select("type").unionByName(more.select("type"))
+    return types.distinct().withColumn("skill", F.try_element_at(known, F.col("type"))).where("skill is not null")
+
+
+def select_skills(nodes: DataFrame, languages: DataFrame, smells: DataFrame, most: int = 5) -> DataFrame:
+    """(node, place, skill, section): language skills first, then those of the node's words, then those of its smells.
+
+    nodes: node, text; languages: node, language, seq; smells: node, type, seq. A skill and section counts once.
+    """
+    lang = languages.select("node", F.lit(0).alias("tier"), F.col("seq").cast("bigint").alias("at"), F.concat("language", F.lit("-patterns")).alias("skill"), F.lit("").alias("section"))
+    low = F.lower("text")
+    rules = [F.when(low.rlike("|".join(words)), F.struct(F.lit(i).cast("bigint").alias("at"), F.lit(s).alias("skill"), F.lit(d).alias("section"))) for i, (words, s, d) in enumerate(C.NODE_SKILLS)]
+    said = nodes.select("node", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("x")).select("node", F.lit(1).alias("tier"), "x.at", "x.skill", "x.section")
+    known = F.create_map(*[x for k, (s, d) in C.SMELL_SKILLS.items() for x in (F.lit(k), F.struct(F.lit(s).alias("skill"), F.lit(d).alias("section")))])
+    found = smells.select("node", F.lit(2).alias("tier"), F.col("seq").cast("bigint").alias("at"), F.try_element_at(known, F.col("type")).alias("x")).where("x is not null").select("node", "tier", "at", "x.skill", "x.section")
+    once = lang.unionByName(said).unionByName(found).groupBy("node", "skill", "section").agg(F.min(F.struct("tier", "at")).alias("first"))
+    w = W.partitionBy("node").orderBy("first", "skill", "section")
+    return once.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= most).select("node", "place", "skill", "section")

@@ -33,18 +33,25 @@ def terminal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def triggered(edges: DataFrame, tool: str | None = None, phrase: str | None = None) -> DataFrame:
     """Edges that a tool or a phrase sets off, lower priority numbers first in each node.
 
-    Tools match as part of the called tool's name, phrases as part of the text, ignoring
-    case; ``always`` edges always, ``default`` ones only without the other kind of trigger.
+    Tools match as part of the called tool's name, phrases as part of the text, ignoring case.
+    ``default`` edges fire on any tool (phrase) unless they name one, which must then match.
+    Without a trigger ``always`` and ``default`` edges are open.
     """
-    always = F.col("kind") == "always"
+    kind = F.col("kind")
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     if tool is not None:
-        hit = (F.col("kind") == "tool") & F.lit(tool).contains(F.col("tool"))
+        hit = kind.isin("tool", "default") & F.when(named("tool"), F.lit(tool).contains(F.col("tool"))).otherwise(kind == "default")
     elif phrase is not None:
-        hit = (F.col("kind") == "phrase") & F.lower(F.lit(phrase)).contains(F.lower("phrase"))
+        hit = kind.isin("phrase", "default") & F.when(named("phrase"), F.lit(phrase.lower()).contains(F.lower("phrase"))).otherwise(kind == "default")
     else:
-        hit = F.col("kind") == "default"
-    rows = edges.where(hit | always) if tool is None and phrase is None else edges.where(hit)
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("src").orderBy("priority", "seq")).cast("bigint"))
+        hit = kind.isin("default", "always")
+    place = F.row_number().over(W.partitionBy("src").orderBy("priority", "seq", "dst"))
+    return edges.where(hit).withColumn("place", place.cast("bigint"))
+
+
+def start_node(nodes: DataFrame, by: str) -> DataFrame:
+    """Per graph its start: the first node with the flag, else the first node."""
+    return nodes.groupBy(by).agg(F.min_by("id", F.struct(~F.col("is_start"), F.col("seq"))).alias("start"))
 
 
 def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -54,8 +61,27 @@ def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return tasks.where("not done").join(waiting, ["node", "task"], "left_anti").select("node", "task")
 
 
-def complete(tasks: DataFrame) -> DataFrame:
-    return tasks.groupBy("node").agg(F.bool_and("done").alias("complete"))
+def ready_delta(tasks: DataFrame, deps: DataFrame, finished: DataFrame) -> DataFrame:
+    """(node, task, state) after further tasks (``finished``) are done: newly_ready, still_ready or blocked."""
+    before = ready(tasks, deps).withColumn("was", F.lit(True))
+    more = finished.select("node", "task").distinct().withColumn("now", F.lit(True))
+    after = tasks.join(more, ["node", "task"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
+    open_ones = ready(after, deps).withColumn("is", F.lit(True))
+    rest = after.where("not done").select("node", "task").join(open_ones, ["node", "task"], "left").join(before, ["node", "task"], "left")
+    state = F.when(F.col("is").isNull(), "blocked").when(F.col("was").isNull(), "newly_ready").otherwise("still_ready")
+    return rest.select("node", "task", state.alias("state")).distinct()
+
+
+def complete(tasks: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Whether all tasks of a node are done.
+
+    With ``nodes`` (node, node_type; null type: no such node) nodes that are no dag or have no tasks are complete, unknown ones are not.
+    """
+    done = tasks.groupBy("node").agg(F.bool_and("done").alias("complete"))
+    if nodes is None:
+        return done
+    kind = F.col("node_type")
+    return nodes.join(done, "node", "left").select("node", F.when(kind.isNull(), False).when(kind != "dag", True).otherwise(F.coalesce("complete", F.lit(True))).alias("complete"))
 
 
 def unknown_needs(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -115,6 +141,54 @@ def visit_warning(n: Column, most: Column) -> Column:
     return F.when(n >= cap, "limit").when(n >= 0.8 * cap, "near").otherwise("ok")
 
 
+def taken(log: DataFrame, most: int = 10) -> DataFrame:
+    """Attempted transitions (project, seq, ts, to_node; ``reset`` rows start anew) with ``taken``: False beyond a node's visits.
+
+    A node's visits since the last reset are its earlier attempts, up to the cap, so no state is folded.
+    """
+    cap = most if most > 0 else 10
+    w = W.partitionBy("project").orderBy("ts", "seq")
+    rows = log.withColumn("epoch", F.count_if(F.coalesce("reset", F.lit(False))).over(w.rowsBetween(W.unboundedPreceding, 0))).where(~F.coalesce("reset", F.lit(False)))
+    n = F.row_number().over(W.partitionBy("project", "epoch", "to_node").orderBy("ts", "seq"))
+    return rows.withColumn("visit", n.cast("bigint")).withColumn("taken", F.col("visit") <= cap)
+
+
+def states(log: DataFrame, most: int = 10) -> DataFrame:
+    """Per project where it stands since its last reset: current node, transitions, its visits there, refusals, last activity."""
+    rows = taken(log, most)
+    at = F.struct("ts", "seq")
+    per = rows.groupBy("project", "epoch").agg(
+        F.max_by("to_node", F.when(F.col("taken"), at)).alias("current_node"), F.count_if("taken").alias("transitions"), F.count_if(~F.col("taken")).alias("refused"),
+        F.max_by("visit", F.when(F.col("taken"), at)).alias("visits"), F.max(F.when(F.col("taken"), F.col("ts"))).alias("last_activity"),
+    )
+    return per.groupBy("project").agg(F.max_by(F.struct("current_node", "transitions", "refused", "visits", "last_activity"), "epoch").alias("x")).select("project", "x.*")
+
+
+def status(state: DataFrame, nodes: DataFrame, edges: DataFrame, tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """Per project its node with its ways out in order, the visit warning and the node's tasks by state.
+
+    state: project, current_node, visits; nodes: id, node_type, max_visits; tasks and deps by node.
+    """
+    ways = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("priority", "seq", "dst"))).alias("x")).select(F.col("src").alias("id"), F.transform("x", lambda e: e["dst"]).alias("ways"))
+    open_ones = ready(tasks, deps).groupBy("node").agg(F.count("*").alias("ready"))
+    work = tasks.groupBy("node").agg(F.count("*").alias("tasks"), F.count_if("done").alias("completed")).join(open_ones, "node", "left").na.fill(0, ["ready"])
+    work = work.withColumnRenamed("node", "id")
+    rows = state.join(nodes, F.col("current_node") == F.col("id"), "left").join(ways, "id", "left").join(work, "id", "left")
+    dag = lambda c: F.when(F.col("node_type") == "dag", F.col(c))
+    return rows.select(
+        "project", "current_node", F.array_join(F.coalesce("ways", F.array().cast("array<string>")), ",").alias("ways"), visit_warning(F.col("visits"), F.coalesce("max_visits", F.lit(0))).alias("warning"),
+        dag("tasks").alias("tasks"), dag("completed").alias("completed"), dag("ready").alias("ready"), (dag("tasks") - dag("completed") - dag("ready")).alias("blocked"),
+    )
+
+
+def completed_tasks(log: DataFrame) -> DataFrame:
+    """From a log of keys ``node:task`` (project, key, ts): each node's completed tasks and when the last was done."""
+    node, task = F.substring_index("key", ":", 1), F.regexp_replace("key", "^[^:]*:", "")
+    once = log.groupBy("project", node.alias("node"), task.alias("task")).agg(F.max("ts").alias("ts"))
+    got = once.groupBy("project", "node").agg(F.array_join(F.array_sort(F.collect_list("task")), ",").alias("tasks"), F.max("ts").alias("last"))
+    return got
+
+
 def steps(log: DataFrame) -> DataFrame:
     """Each transition with the node before it."""
     w = W.partitionBy("project").orderBy("ts", "seq")

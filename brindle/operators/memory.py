@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import constants as C
 from brindle.functions import scoring as S
 from brindle.functions import text as X
+from brindle.operators.events import fold
 
 
 def expired(ttl: Column, mtime: Column, as_of: Column) -> Column:
@@ -51,12 +52,54 @@ def pack_prefix(rows: DataFrame, size: str, order: list, by: list[str], budget:
 
 
 def pack_skipping(rows: DataFrame, size: str, order: list[str], by: str, key: str, budget: int) -> DataFrame:
-    """Rows that fit one after the other, those that don't fit skipped: a fold over a group's list."""
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.col(size).alias("_size")))).alias("l"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>").alias("took"))
+    """Rows that fit one after the other, those that don't fit skipped; a group's state is one number."""
+    place = [*dict.fromkeys([by, key, size, *order])]
+    at = place.index(size)
 
-    def put(acc, x):
-        fits = acc["used"] + x["_size"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["_size"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["took"], x["_key"])).otherwise(acc["took"]).alias("took"))
+    def make():
+        used = 0
 
-    return lists.select(by, F.explode(F.aggregate("l", start, put, lambda a: a["took"])).alias(key))
+        def step(row):
+            nonlocal used
+            if used + row[at] > budget:
+                return None
+            used += row[at]
+            return ()
+
+        return step
+
+    return fold(rows.select(*place), [by], order, [by, key], make)
+
+
+def cut_to_budget(rows: DataFrame, text: str, order: list[str], by: str, tokens: int, least: int = 50) -> DataFrame:
+    """Texts of each group up to four characters a token; the first overflow is cut to the rest (``least`` at least) and ends it."""
+    w = W.partitionBy(by).orderBy(*order)
+    most = 4 * tokens
+    filled = rows.where(F.coalesce(F.length(text), F.lit(0)) > 0)
+    got = filled.withColumn("used", F.sum(F.length(text)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    got = got.withColumn("before", F.col("used") - F.length(text)).where(F.col("before") <= most)
+    over = F.col("used") > most
+    # Only the first overflow counts: later rows begin behind it.
+    got = got.withColumn("ended", F.coalesce(F.max(over.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where("ended = 0")
+    room = F.greatest(F.lit(least), most - F.col("before")).cast("int")
+    return got.withColumn(text, F.when(over, F.concat(F.substring(F.col(text), F.lit(1), room), F.lit("..."))).otherwise(F.col(text))).drop("used", "before", "ended")
+
+
+def semantic_gate(notes: DataFrame, prompt: DataFrame, least: float = C.SEMANTIC_LEAST, k: int = 20) -> DataFrame:
+    """Notes (id, type, vec) whose cosine to the prompt's vector (one row, ``q``) reaches ``least``, by cosine and type."""
+    scored = notes.join(F.broadcast(prompt)).withColumn("semantic", F.round(S.cosine(F.col("vec"), F.col("q")), 6))  # the prompt is one row
+    rank = F.round(F.col("semantic") + S.type_boost(F.col("type")), 6)
+    return scored.where(F.col("semantic") >= least).select("id", "semantic", rank.alias("rank")).orderBy(F.desc("rank"), "id").limit(k)
+
+
+def listing(notes: DataFrame, most: int = 50) -> DataFrame:
+    """The first notes in listing order: high priority first, then by type and name."""
+    order = [(F.col("priority") != "high").cast("int"), F.col("type"), F.col("name"), F.col("id")]
+    few = notes.select("id", "type", "name", "priority").orderBy(*order).limit(most)
+    return few.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("bigint"))  # at most ``most`` rows
+
+
+def uncached(everywhere: DataFrame, local: DataFrame) -> DataFrame:
+    """Notes (id, mtime) that the project's cache lacks or holds in an older state."""
+    own = local.select("id", F.col("mtime").alias("cached"))
+    return everywhere.join(own, "id", "left").where(F.col("cached").isNull() | (F.col("cached") < F.col("mtime"))).drop("cached")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,18 +12,23 @@ from brindle.functions import scoring as S
 KEY = ["type", "file_pattern", "domain"]
 
 
-def experience_merge(events: DataFrame) -> DataFrame:
-    """One entry a key: occurrences, first and last seen, confidence, longest description, first resolution, files in order."""
+def entries(events: DataFrame, by: list[str] = KEY) -> DataFrame:
+    """One entry a key: occurrences, first and last seen, confidence, longest description, first resolution."""
     order = F.struct("seen", "seq")
-    got = events.groupBy(*KEY).agg(
+    got = events.groupBy(*by).agg(
         F.count("*").alias("occurrences"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"),
         F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"),
         F.coalesce(F.min_by("resolution", F.when(F.col("resolution") != "", order)), F.lit("")).alias("resolution"),
     )
+    return got.withColumn("confidence", F.round(S.confidence(F.col("occurrences")), 6))
+
+
+def experience_merge(events: DataFrame) -> DataFrame:
+    """``entries`` with each key's related files in order of first mention."""
     # A file's first mention, so that a key's list is as long as its distinct files, not its events.
     firsts = events.groupBy(*KEY, "related").agg(F.min("seq").alias("at"))
     listed = firsts.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "related"))), lambda x: x["related"]), ",").alias("related_files"))
-    return got.join(listed, KEY).withColumn("confidence", F.round(S.confidence(F.col("occurrences")), 6))
+    return entries(events).join(listed, KEY)
 
 
 def commit_merge(events: DataFrame) -> DataFrame:
@@ -32,11 +37,11 @@ def commit_merge(events: DataFrame) -> DataFrame:
     return got.withColumn("confidence", F.round(F.least(F.lit(C.CONFIDENCE_MOST), 0.5 + 0.1 * (F.col("occurrences") - 1)), 6))
 
 
-def store_merge(everywhere: DataFrame, project: DataFrame) -> DataFrame:
-    """Union of two stores; on equal keys the project's entry stays if its confidence is not less."""
-    both = everywhere.withColumn("own", F.lit(0)).unionByName(project.withColumn("own", F.lit(1)))
-    best = W.partitionBy(*KEY).orderBy(F.desc("confidence"), F.desc("own"))
-    return both.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+def store_merge(both: DataFrame) -> DataFrame:
+    """Union of stores told apart by ``own`` (1: the project's); on equal keys the project's entry stays if its confidence is not less."""
+    rest = [c for c in both.columns if c not in KEY]
+    best = both.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct("confidence", "own")).alias("x"))
+    return best.select(*KEY, *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
 def stats(entries: DataFrame) -> DataFrame:
@@ -61,6 +66,22 @@ def hash_upsert(old: DataFrame, new: DataFrame, key: list[str], hash_col: str) -
     return new.join(old.select(*key, hash_col), [*key, hash_col], "left_anti")
 
 
+def hits_and_misses(old: DataFrame, new: DataFrame, key: list[str], hash_col: str) -> DataFrame:
+    """Rows of ``new`` with ``hit``: whether ``old`` holds their key with the same hash."""
+    known = old.select(*key, hash_col).distinct().withColumn("hit", F.lit(True))
+    return new.join(known, [*key, hash_col], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def without(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """A store without one partition; rows without a value stay."""
+    return rows.where(~F.col(column).eqNullSafe(value))
+
+
+def overridden(base: Column, own: Column) -> Column:
+    """Two maps as one: where both have a key, the second one's value counts."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
 def apply_upsert(old: DataFrame, new: DataFrame, key: list[str], hash_col: str) -> DataFrame:
     """``old`` with the changed rows of ``new`` in place; unchanged rows are not written again."""
     changed = hash_upsert(old, new, key, hash_col)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,12 +13,17 @@ from brindle.functions import text as X
 
 
 def rule_scan(rows: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
-    """Per text and rule with a match: how many, and the line of the first."""
-    each = [F.struct(F.lit(name).alias("rule"), F.regexp_count(text, F.lit(rule)).alias("n"), F.regexp_instr(text, F.lit(rule)).alias("at")) for name, rule in rules.items()]
-    hits = rows.select(key, F.col(text), F.explode(F.array(*each)).alias("x")).where("x.n > 0")
-    head = F.expr(f"substring({text}, 1, x.at - 1)")
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-    return hits.select(key, "x.rule", F.col("x.n").cast("bigint").alias("n"), line.cast("bigint").alias("line"))
+    """Per text and rule with a match: how many, and the line of the first.
+
+    A text is split by each rule once; the first part gives the line, so no text leaves its row.
+    """
+
+    def found(name: str, rule: str) -> Column:
+        parts = F.array(F.split(text, rule))
+        return F.transform(parts, lambda p: F.struct(F.lit(name).alias("rule"), (F.size(p) - 1).cast("bigint").alias("n"), (F.length(p[0]) - F.length(F.replace(p[0], F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line")))[0]
+
+    hits = F.filter(F.array(*[found(name, rule) for name, rule in rules.items()]), lambda x: x["n"] > 0)
+    return rows.select(key, F.explode(hits).alias("x")).select(key, "x.rule", "x.n", "x.line")
 
 
 def checklist(entries: DataFrame, task: str, least: int) -> DataFrame:
@@ -41,11 +46,17 @@ def notes(entries: DataFrame, by: str, least: float = 0.65, most: int = 5) -> Da
 
 
 def transcript_tail(turns: DataFrame, n: int = 30) -> DataFrame:
-    """The last n turns of each conversation, and how many speak of commits or memory."""
+    """Of the last n turns of each conversation: how many, and their memory writes and commits.
+
+    Input: conv_id, turn, role and ``content``, an array of blocks (name, command). A block whose
+    name holds memory_set is a memory write, a Bash block whose command holds git commit is a commit.
+    """
     w = W.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"))
     last = turns.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return last.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.sum(F.length(low)).alias("chars"), F.count_if(low.contains("the ")).alias("mentions"))
+    writes = F.size(F.filter("content", lambda b: b["name"].contains("memory_set")))
+    commits = F.size(F.filter("content", lambda b: (b["name"] == "Bash") & b["command"].contains("git commit")))
+    many = lambda c: F.sum(F.greatest(c, F.lit(0))).cast("bigint")
+    return last.groupBy("conv_id").agg(F.count("*").alias("turns"), many(writes).alias("memory_writes"), many(commits).alias("commits"))
 
 
 def language_topk(files: DataFrame, k: int = 3) -> DataFrame:
@@ -70,11 +81,42 @@ def migration_max(files: DataFrame) -> DataFrame:
     return best.select("dir", "files", F.lpad((F.col("v") + 1).cast("string"), width, F.lit("0")).alias("next"))
 
 
-def stack_lookup(stack: DataFrame, table: DataFrame, core: list[str]) -> DataFrame:
-    """What a tech stack calls for: looked-up names and the core ones, distinct."""
-    found = stack.join(F.broadcast(table), "tech").select("project", "name")
-    always = stack.select("project", F.explode(F.array(*map(F.lit, core))).alias("name"))
-    return found.unionByName(always).distinct()
+def stack_lookup(stack: DataFrame, table: dict[str, list[str]], core: list[str]) -> DataFrame:
+    """What a tech stack (project, tech) calls for: looked-up names and the core ones, distinct."""
+    known = F.create_map(*[x for tech, names in table.items() for x in (F.lit(tech), F.array(*map(F.lit, names)))])
+    names = F.concat(F.coalesce(F.try_element_at(known, F.col("tech")), F.array().cast("array<string>")), F.array(*map(F.lit, core)))
+    return stack.select("project", F.explode(names).alias("name")).distinct()
+
+
+def tech_stack(files: DataFrame) -> DataFrame:
+    """(project, language, framework) of manifests (project, name, text), without a framework where none shows."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    language = F.try_element_at(F.create_map(*[F.lit(x) for pair in C.MANIFESTS.items() for x in pair]), F.col("name"))
+    probes = {n: F.array_compact(F.array(*[F.when(low.contains(probe.lower()), f) for f, probe in table.items()])) for n, table in C.FRAMEWORKS.items()}
+    found = F.array().cast("array<string>")
+    for n, hits in probes.items():
+        found = F.when(F.col("name") == n, hits).otherwise(found)
+    rows = files.select("project", language.alias("language"), found.alias("found")).where("language is not null")
+    return rows.select("project", "language", F.explode_outer("found").alias("framework")).distinct()
+
+
+def representative(files: DataFrame, patterns: list[str], by: str, exclude: list[str], skip: list[str], tests: bool = False, most: int = 50_000) -> DataFrame:
+    """Per group its candidates in order: by pattern, then depth, then name; a file counts once.
+
+    Input: by, path, length. Patterns are regular expressions over paths.
+    """
+    path, low = F.col("path"), F.lower("path")
+    at = F.array_min(F.array_compact(F.array(*[F.when(path.rlike(p), F.lit(i)) for i, p in enumerate(patterns)])))
+    keep = (F.col("length") > 0) & (F.col("length") <= most)
+    for s in skip:
+        keep = keep & ~path.contains(s)
+    for s in exclude:
+        keep = keep & ~low.contains(s.lower())
+    if tests:
+        keep = keep & X.is_test_name(path)
+    rows = files.where(keep).select(by, "path", at.alias("at")).where("at is not null").distinct()
+    w = W.partitionBy(by).orderBy("at", F.size(F.split("path", "/")), X.basename(F.col("path")), "path")
+    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).select(by, "place", "path")
 
 
 @F.pandas_udf(StringType())

@@ -62,14 +62,43 @@ def index_search(tools: DataFrame, query: str, k: int = 10, least: float = 0.15)
     return rows.select("mcp_name", "tool_name", X.category(F.col("tool_name"), F.col("description")).alias("category"), F.round("raw", 2).alias("score"), "seq").orderBy(F.desc("score"), "seq").limit(k)
 
 
+def by_category(tools: DataFrame, category: str, mcp: str | None = None, k: int = 20) -> DataFrame:
+    """Tools of one category, of one server if it is given, in the catalog's order up to k."""
+    rows = tools if mcp is None else tools.where(F.col("mcp_name") == mcp)
+    rows = rows.where(X.category(F.col("tool_name"), F.col("description")) == category)
+    return rows.select("mcp_name", "tool_name", "description", "seq").orderBy("seq").limit(k)
+
+
+def rerank_head(rows: DataFrame, query: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """The first n rows of each group (in order of ``place``) by cosine to the query, the others after them as they were."""
+    scored = rows.join(F.broadcast(query)).withColumn("score", F.round(S.cosine(F.col("vec"), F.col("q")), 6))  # the query is one row
+    head = F.when(F.col("place") <= n, -F.col("score"))
+    w = W.partitionBy(by).orderBy(F.col("place") > n, head, "place")
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).drop("q", "vec")
+
+
+def mean_similarity(rows: DataFrame, by: str, score: str) -> DataFrame:
+    """The mean score of each group, where a missing one counts as 0."""
+    return rows.groupBy(by).agg(F.round(F.avg(F.coalesce(score, F.lit(0.0))), 6).alias("avg_score"), F.count("*").alias("n"))
+
+
 def asof_selection(searches: DataFrame, selections: DataFrame) -> DataFrame:
-    """Each selection with the last search before it (by project); both: project, seq, ts."""
-    both = searches.select("project", "ts", "seq", F.struct(F.col("seq").alias("search_seq")).alias("s")).unionByName(selections.select("project", "ts", "seq"), allowMissingColumns=True)
+    """Each selection with the last search before it (by project); both: project, seq, ts.
+
+    Where searches have ``results`` and selections a ``tool``, ``hit`` says whether the tool is among them.
+    """
+    listed = "results" in searches.columns and "tool" in selections.columns
+    held = F.struct(F.col("seq").alias("search_seq"), *(["results"] if listed else []))
+    both = searches.select("project", "ts", "seq", held.alias("s")).unionByName(selections.select("project", "ts", "seq", *(["tool"] if listed else [])), allowMissingColumns=True)
     last = F.last("s", ignorenulls=True).over(W.partitionBy("project").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return both.withColumn("last", last).where(F.col("s").isNull()).select("project", "seq", F.col("last.search_seq").alias("search_seq"))
+    hit = [F.coalesce(F.array_contains("last.results", F.col("tool")), F.lit(False)).alias("hit")] if listed else []
+    return both.withColumn("last", last).where(F.col("s").isNull()).select("project", "seq", F.col("last.search_seq").alias("search_seq"), *hit)
 
 
-def tool_counts(proxies: DataFrame, tools: DataFrame) -> DataFrame:
-    """Tools of every proxy, those with none included."""
+def tool_counts(proxies: DataFrame, tools: DataFrame, internal: DataFrame | None = None) -> DataFrame:
+    """Tools of every proxy, those with none included; ``internal`` (mcp_name, tool_count) adds built-in ones, told apart by ``kind``."""
     n = tools.groupBy("mcp_name").agg(F.count("*").alias("tool_count"))
-    return proxies.join(n, "mcp_name", "left").select("mcp_name", F.coalesce("tool_count", F.lit(0)).alias("tool_count"))
+    got = proxies.join(n, "mcp_name", "left").select("mcp_name", F.coalesce("tool_count", F.lit(0)).alias("tool_count"))
+    if internal is None:
+        return got
+    return got.withColumn("kind", F.lit("subprocess")).unionByName(internal.select("mcp_name", "tool_count").withColumn("kind", F.lit("internal")))

@@ -24,15 +24,15 @@ def prompt_rank(notes: DataFrame, prompt: list[str], age: Column, least: float =
     """Notes by overlap with a prompt's words, with a bonus by type and age; overlap must reach ``least``."""
     words = F.array(*map(F.lit, prompt))
     over = S.prompt_overlap(words, [(F.col("tags"), 1.5), (X.note_tokens(F.substring(F.coalesce("body", F.lit("")), 1, 800)), 0.4)])
-    bonus = F.when(F.col("type") == "t0", 0.15).when(F.col("type") == "t1", 0.10).when(F.col("type") == "t2", 0.05).otherwise(0.0)
     rows = notes.withColumn("overlap", F.round(over, 6)).where(F.col("overlap") >= least)
-    return rows.select("id", "overlap", F.round(F.col("overlap") + bonus + 0.05 / (1 + age), 6).alias("rank")).orderBy(F.desc("rank"), "id").limit(k)
+    return rows.select("id", "overlap", F.round(F.col("overlap") + S.type_boost(F.col("type")) + 0.05 / (1 + age), 6).alias("rank")).orderBy(F.desc("rank"), "id").limit(k)
 
 
-def similar_paths(files: DataFrame, targets: DataFrame, least: float = 1.0, k: int = 2) -> DataFrame:
+def similar_paths(files: DataFrame, targets: DataFrame, least: float = 1.0, k: int = 2, generic: tuple[str, ...] = (), generic_least: float = 0.5) -> DataFrame:
     """Per target the k known files of most similar path that share a folder name or a stem with it.
 
-    The join runs on shared path parts, so it never pairs all files with all targets.
+    The join runs on shared path parts, so it never pairs all files with all targets. Targets with a
+    ``generic`` stem, which says little, need ``generic_least`` only.
     """
     def parts(d: DataFrame, name: str) -> DataFrame:
         low = F.lower(F.col("path"))
@@ -42,14 +42,19 @@ def similar_paths(files: DataFrame, targets: DataFrame, least: float = 1.0, k: i
     a, b = parts(targets, "target"), parts(files, "file")
     shared = a.join(b, "part").groupBy("target", "file", "target_stem", "file_stem", "target_up", "file_up").agg(F.count("*").alias("n"))
     stem = F.when(F.col("target_stem") == F.col("file_stem"), 3.0).when(F.col("target_stem").contains(F.col("file_stem")) | F.col("file_stem").contains(F.col("target_stem")), 1.5).otherwise(0.0)
-    rows = shared.select("target", "file", (stem + 0.5 * F.col("n") + F.when(F.col("target_up") == F.col("file_up"), 1.0).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
+    rows = shared.select("target", "file", (stem + 0.5 * F.col("n") + F.when(F.col("target_up") == F.col("file_up"), 1.0).otherwise(0.0)).alias("score"), F.when(F.col("target_stem").isin(*generic), generic_least).otherwise(least).alias("least")).where(F.col("score") >= F.col("least")).drop("least")
     w = W.partitionBy("target").orderBy(F.desc("score"), "file")
     return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
 
 
 def blocked(calls: DataFrame, rules: DataFrame, allowed: list[str]) -> DataFrame:
-    """Calls (node, tool) that a node's list (array ``tools``) blocks by name or by *; some are always allowed."""
-    rows = calls.join(F.broadcast(rules), "node", "left")
+    """Calls (node, tool) that a node's list (array ``tools``) blocks by name or by *; some are always allowed.
+
+    A call that goes through a proxy (``inner``, where calls have it) is judged by the tool behind it.
+    """
+    if "inner" in calls.columns:
+        calls = calls.withColumn("tool", F.coalesce("inner", "tool")).drop("inner")
+    rows = calls.join(rules, "node", "left")
     hit = F.coalesce(F.array_contains("tools", "*") | F.array_contains("tools", F.col("tool")), F.lit(False))
     return rows.withColumn("blocked", hit & ~F.col("tool").isin(allowed)).drop("tools")
 
@@ -73,7 +78,7 @@ def fan_out(paths: DataFrame) -> DataFrame:
 
 def contexts(paths: DataFrame, roots: list[str]) -> DataFrame:
     """Names below the first of the roots that has any, sorted."""
-    found = [paths.where(F.col("path").startswith(f"{r}/")).select(F.lit(i).alias("o"), F.split(F.substring(F.col("path"), len(r) + 2, 10_000), "/")[0].alias("name")) for i, r in enumerate(roots)]
+    found = [paths.where(F.col("path").startswith(f"{r}/")).select(F.lit(i).alias("o"), F.split(F.col("path"), "/")[r.count("/") + 1].alias("name")) for i, r in enumerate(roots)]
     every = reduce(lambda a, b: a.unionByName(b), found).distinct()
     first = every.agg(F.min("o").alias("o"))
     return every.join(F.broadcast(first), "o").select("name").orderBy("name")

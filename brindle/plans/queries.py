@@ -44,13 +44,13 @@ def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.keyword_fallback(T.catalog(spark, sf_dir), "The", 50)
 
 
-@query("""WITH sel AS (SELECT 'tool_' || (event_id % 40) AS tool, 'k' || (user_id % 6) AS keyword FROM events WHERE event_type = 'click' AND event_id % 9 = 0),
-w AS (SELECT tool, keyword, round(least(2.0, 0.15 * count(*)), 6) AS weight FROM sel GROUP BY ALL), tools AS (SELECT DISTINCT 'tool_' || (event_id % 40) AS tool FROM events)
+@query("""WITH sel AS (SELECT 'tool_' || (event_id % 400) AS tool, 'k' || (user_id % 6) AS keyword FROM events WHERE event_type = 'click'),
+w AS (SELECT tool, keyword, round(least(2.0, 0.15 * count(*)), 6) AS weight FROM sel GROUP BY ALL), tools AS (SELECT DISTINCT 'tool_' || (event_id % 400) AS tool FROM events)
 SELECT t.tool, round(coalesce(sum(weight), 0.0) / 3, 6) AS boost FROM tools t LEFT JOIN w ON w.tool = t.tool AND keyword IN ('k0', 'k1', 'k2') GROUP BY t.tool""")
 def learned_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.load(spark, sf_dir, "events")
-    tool = F.concat(F.lit("tool_"), (F.col("event_id") % 40).cast("string")).alias("tool")
-    chosen = e.where("event_type = 'click' and event_id % 9 = 0").select(tool, F.concat(F.lit("k"), (F.col("user_id") % 6).cast("string")).alias("keyword"))
+    tool = F.concat(F.lit("tool_"), (F.col("event_id") % 400).cast("string")).alias("tool")
+    chosen = e.where("event_type = 'click'").select(tool, F.concat(F.lit("k"), (F.col("user_id") % 6).cast("string")).alias("keyword"))
     return SE.learned_boost(e.select(tool).distinct(), SE.learned_weights(chosen), ["k0", "k1", "k2"])
 
 
@@ -59,16 +59,19 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.index_search(T.catalog(spark, sf_dir).withColumn("boost", F.lit(0.0)), "find the tool that erth", 10)
 
 
-@query("""WITH s AS (SELECT user_id AS project, ts, event_id AS seq, CASE WHEN event_type = 'view' THEN event_id END AS search FROM events WHERE event_type IN ('view', 'click')),
-l AS (SELECT *, last_value(search IGNORE NULLS) OVER (PARTITION BY project ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS search_seq FROM s) SELECT project, seq, search_seq FROM l WHERE search IS NULL""")
+@query("""WITH s AS (SELECT user_id AS project, ts, event_id AS seq, CASE WHEN event_type = 'view' THEN event_id END AS search, event_id % 9 AS tool FROM events WHERE event_type IN ('view', 'click')),
+l AS (SELECT *, last_value(search IGNORE NULLS) OVER (PARTITION BY project ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS search_seq FROM s)
+SELECT project, seq, search_seq, coalesce(tool IN (search_seq % 9, (search_seq + 1) % 9, (search_seq + 4) % 9), false) AS hit FROM l WHERE search IS NULL""")
 def asof_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.load(spark, sf_dir, "events").select(F.col("user_id").alias("project"), "ts", F.col("event_id").alias("seq"), "event_type")
-    return SE.asof_selection(e.where("event_type = 'view'"), e.where("event_type = 'click'"))
+    results = F.array(*[(F.col("seq") + k) % 9 for k in (0, 1, 4)])
+    return SE.asof_selection(e.where("event_type = 'view'").withColumn("results", results), e.where("event_type = 'click'").withColumn("tool", F.col("seq") % 9))
 
 
-@query(f"WITH {Q.CATALOG}, p AS (SELECT 'm' || i AS mcp_name FROM range(0, 15) t(i)) SELECT p.mcp_name, count(c.mcp_name) AS tool_count FROM p LEFT JOIN catalog c USING (mcp_name) GROUP BY p.mcp_name")
+@query(f"WITH {Q.CATALOG}, p AS (SELECT 'm' || i AS mcp_name FROM range(0, 15) t(i)) SELECT p.mcp_name, count(c.mcp_name) AS tool_count, 'subprocess' AS kind FROM p LEFT JOIN catalog c USING (mcp_name) GROUP BY p.mcp_name UNION ALL SELECT 'builtin', 26, 'internal'")
 def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.tool_counts(spark.range(15).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("mcp_name")), T.catalog(spark, sf_dir))
+    builtin = spark.sql("select 'builtin' as mcp_name, 26L as tool_count")
+    return SE.tool_counts(spark.range(15).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("mcp_name")), T.catalog(spark, sf_dir), builtin)
 
 
 # ---------------------------------------------------------------- merging
@@ -101,8 +104,13 @@ def commit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MG.commit_merge(T.experience_events(spark, sf_dir))
 
 
+def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of both stores in one aggregation."""
+    return MG.entries(T.experience_events(spark, sf_dir), [*MG.KEY, "scope"]).drop("resolution", "description")
+
+
 def _entries(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
-    return MG.experience_merge(T.experience_events(spark, sf_dir).where(F.col("scope") == scope)).drop("related_files", "resolution", "description")
+    return MG.entries(T.experience_events(spark, sf_dir).where(F.col("scope") == scope)).drop("resolution", "description")
 
 
 _STORE = f"""WITH {Q.EVENTS}, entries AS (SELECT type, file_pattern, domain, scope, count(*) AS occurrences, min(seen) AS first_seen, max(seen) AS last_seen,
@@ -112,13 +120,12 @@ round(least(0.95, 0.95 * (1 - power(0.7, count(*)))), 6) AS confidence FROM ev G
 @query(f"""{_STORE} SELECT type, file_pattern, domain, occurrences, first_seen, last_seen, confidence, own FROM (SELECT *, (scope = 'project')::INT AS own,
 row_number() OVER (PARTITION BY type, file_pattern, domain ORDER BY confidence DESC, scope = 'project' DESC) AS r FROM entries) WHERE r = 1""")
 def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MG.store_merge(_entries(spark, sf_dir, "global"), _entries(spark, sf_dir, "project"))
+    return MG.store_merge(_scopes(spark, sf_dir).withColumn("own", (F.col("scope") == "project").cast("int")).drop("scope"))
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [_entries(spark, sf_dir, s).withColumn("scope", F.lit(s)) for s in ("global", "project")]
     sev = F.when(F.col("occurrences") < 20, "low").when(F.col("occurrences") < 60, "medium").otherwise("high")
-    return both[0].unionByName(both[1]).withColumn("severity", sev)
+    return _scopes(spark, sf_dir).withColumn("severity", sev)
 
 
 @query(f"""{_STORE}, e AS (SELECT *, CASE WHEN occurrences < 20 THEN 'low' WHEN occurrences < 60 THEN 'medium' ELSE 'high' END AS severity FROM entries)
@@ -162,29 +169,36 @@ def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TARGET = "src/services/tokenService.ts"
 
 
-@query(f"""{_STORE}, s AS (SELECT type, file_pattern, domain, confidence, last_seen, floor(epoch({Q.NOW} - last_seen) / 86400) AS days FROM entries WHERE scope = 'project'),
+_SCORE = f"0.25 * path + 0.30 * {Q.jaccard(Q.keywords('file_pattern'), 'own')} + 0.20 * (domain = 'auth')::INT + 0.15 * confidence * greatest(0.3, 1 - days / 180) + 0.10 * greatest(0.0, 1 - days / 30)"
+
+
+@query(f"""{_STORE}, s AS (SELECT type, file_pattern, domain, confidence, last_seen, floor(epoch({Q.NOW} - last_seen) / 86400) AS days, {Q.keywords(f"'{_TARGET}'")} AS own FROM entries WHERE scope = 'project'),
 f AS (SELECT *, CASE WHEN regexp_full_match('{_TARGET}', replace(file_pattern, '*', '.*')) THEN 1.0 WHEN regexp_replace(file_pattern, '/[^/]*$', '') = 'src/services' THEN 0.7
 WHEN regexp_replace(file_pattern, '/[^/]*/[^/]*$', '') = 'src' THEN 0.4 ELSE 0.0 END AS path FROM s)
-SELECT type, file_pattern, domain, round(0.25 * path + 0.20 * (domain = 'auth')::INT + 0.15 * confidence * greatest(0.3, 1 - days / 180) + 0.10 * greatest(0.0, 1 - days / 30), 6) AS score
-FROM f WHERE round(0.25 * path + 0.20 * (domain = 'auth')::INT + 0.15 * confidence * greatest(0.3, 1 - days / 180) + 0.10 * greatest(0.0, 1 - days / 30), 6) > 0.05 ORDER BY score DESC, type, file_pattern, domain LIMIT 25""")
+SELECT type, file_pattern, domain, round({_SCORE}, 6) AS score FROM f WHERE round({_SCORE}, 6) > 0.05 ORDER BY score DESC, type, file_pattern, domain LIMIT 25""")
 def relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _entries(spark, sf_dir, "project")
-    now = T.as_of()
-    path = S.path_match(F.lit(_TARGET), F.col("file_pattern"))
-    score = S.relevance(path, F.lit(0.0), (F.col("domain") == X.domain(F.lit(_TARGET))).cast("int"), F.col("confidence"), S.decay(F.col("last_seen"), now), S.recency(F.col("last_seen"), now))
+    now, target = T.as_of(), F.lit(_TARGET)
+    path = S.path_match(target, F.col("file_pattern"))
+    semantic = S.jaccard(X.path_keywords(target), X.path_keywords(F.col("file_pattern")))
+    score = S.relevance(path, semantic, (F.col("domain") == X.domain(target)).cast("int"), F.col("confidence"), S.decay(F.col("last_seen"), now), S.recency(F.col("last_seen"), now))
     rows = rows.withColumn("score", F.round(score, 6)).where("score > 0.05")
     return rows.orderBy(F.desc("score"), *MG.KEY).limit(25).select(*MG.KEY, "score")
 
 
-@query(f"""{_STORE}, t AS (SELECT unnest(['src/services/authService.ts', 'lib/utils/date-helper.js', 'src/api/handlers/router.go', 'src/pages/home.ts']) AS target),
-p AS (SELECT type, file_pattern, domain, confidence, target, regexp_replace(file_pattern, '/[^/]*$', '') AS a, regexp_replace(target, '/[^/]*$', '') AS b FROM entries, t WHERE scope = 'global'),
-f AS (SELECT *, CASE WHEN regexp_full_match(target, replace(file_pattern, '*', '.*')) THEN 1.0 WHEN a = b THEN 0.7
-WHEN (CASE WHEN contains(a, '/') THEN regexp_replace(a, '/[^/]*$', '') ELSE '.' END) = (CASE WHEN contains(b, '/') THEN regexp_replace(b, '/[^/]*$', '') ELSE '.' END) AND contains(a, '/') THEN 0.4 ELSE 0.0 END AS path FROM p)
-SELECT type, file_pattern, domain, max(round(0.30 * path + 0.15 * confidence, 6)) AS score FROM f GROUP BY type, file_pattern, domain HAVING max(round(0.30 * path + 0.15 * confidence, 6)) > 0.1""")
+_EDIT = f"round(0.30 * path + 0.25 * {Q.jaccard(Q.keywords('file_pattern'), 'own')} + 0.20 * (domain = other)::INT + 0.15 * confidence, 4)"
+
+
+@query(f"""{_STORE}, t AS (SELECT target, {Q.keywords("target")} AS own, {Q.domain("target")} AS other FROM (SELECT unnest(['src/services/authService.ts', 'lib/utils/date-helper.js', 'src/api/handlers/router.go', 'src/pages/home.ts']) AS target)),
+p AS (SELECT type, file_pattern, domain, confidence, target, own, other, regexp_replace(file_pattern, '/[^/]*$', '') AS a, regexp_replace(target, '/[^/]*$', '') AS b FROM entries, t WHERE scope = 'global'),
+f AS (SELECT *, CASE WHEN regexp_full_match(target, replace(file_pattern, '*', '.*')) THEN 1.0 WHEN a = b THEN 0.7 ELSE 0.0 END AS path FROM p)
+SELECT type, file_pattern, domain, max({_EDIT}) AS score FROM f GROUP BY type, file_pattern, domain HAVING max({_EDIT}) > 0.1""")
 def max_score_over_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = ["src/services/authService.ts", "lib/utils/date-helper.js", "src/api/handlers/router.go", "src/pages/home.ts"]
     rows = _entries(spark, sf_dir, "global").withColumn("target", F.explode(F.array(*map(F.lit, targets))))
-    score = F.round(S.edit_relevance(S.path_match(F.col("target"), F.col("file_pattern")), F.lit(0.0), F.lit(0), F.col("confidence")), 6)
+    target, own = F.col("target"), F.col("file_pattern")
+    overlap = S.jaccard(X.path_keywords(target), X.path_keywords(own))
+    score = F.round(S.edit_relevance(S.path_match(target, own, far=False), overlap, (F.col("domain") == X.domain(target)).cast("int"), F.col("confidence")), 4)
     return rows.withColumn("score", score).groupBy(*MG.KEY).agg(F.max("score").alias("score")).where("score > 0.1")
 
 
@@ -211,11 +225,12 @@ def path_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
+_NOTE_STOP = "[" + ", ".join(f"'{w}'" for w in X.NOTE_STOPWORDS) + "]"
 
 
-@query(rf"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(left(text, 300)), '[_\-\s]+', ' ', 'g')), ' ')), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))), ' ') AS keywords FROM documents""")
+@query(rf"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[_\-\s]+', ' ', 'g')), ' ')), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))), ' ') AS keywords FROM documents""")
 def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(X.tokens(F.substring("text", 1, 300))), " ").alias("keywords"))
+    return T.load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(X.tokens(F.col("text"))), " ").alias("keywords"))
 
 
 @query(f"""{_STORE}, e AS (SELECT regexp_replace(file_pattern, '(internal/)[^/]+(/.+)', '\\1{{name}}\\2') AS pattern, file_pattern, occurrences, hash, row_number() OVER () AS x FROM (SELECT *, 0 AS hash FROM entries WHERE scope = 'project')
@@ -254,10 +269,14 @@ def style_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.rule_scan(T.load(spark, sf_dir, "pages"), "page_id", "html", SC.flat_rules())
 
 
-@query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS answers, sum(length(coalesce(text, '')))::BIGINT AS chars, count(*) FILTER (contains(lower(coalesce(text, '')), 'the ')) AS mentions
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS r FROM conversations) WHERE r <= 4 GROUP BY conv_id""")
+@query("""WITH c AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 'mcp_memory_set' WHEN 1 THEN 'Bash' ELSE 'Read' END AS name, CASE WHEN contains(text, 'the ') THEN 'git commit -m ' || text ELSE text END AS command FROM conversations)
+SELECT conv_id, count(*) AS turns, count(*) FILTER (contains(name, 'memory_set')) AS memory_writes, count(*) FILTER (name = 'Bash' AND contains(coalesce(command, ''), 'git commit')) AS commits
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS r FROM c) WHERE r <= 4 GROUP BY conv_id""")
 def transcript_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.transcript_tail(T.load(spark, sf_dir, "conversations"), 4)
+    c = T.load(spark, sf_dir, "conversations")
+    name = F.when(F.col("turn") % 3 == 0, "mcp_memory_set").when(F.col("turn") % 3 == 1, "Bash").otherwise("Read")
+    command = F.when(F.col("text").contains("the "), F.concat(F.lit("git commit -m "), F.col("text"))).otherwise(F.col("text"))
+    return SC.transcript_tail(c.withColumn("content", F.array(F.struct(name.alias("name"), command.alias("command")))), 4)
 
 
 @query(rf"""WITH {Q.PATHS}, x AS (SELECT lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS ext FROM paths)
@@ -266,16 +285,16 @@ def language_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.language_topk(T.paths(spark, sf_dir))
 
 
-@query(r"""WITH v AS (SELECT lang, unnest(['string', 'uuid', 'int', 'custom']) AS kind, unnest([0, -1, -2, -3]) AS o, unnest([len(regexp_extract_all(text, '[a-z]{3,}')), len(regexp_extract_all(text, '[0-9a-f]{8}-[0-9a-f]{4}')), len(regexp_extract_all(text, '[0-9]+')), len(regexp_extract_all(text, '[A-Z]{2,}_[0-9]+'))]) AS n FROM documents WHERE lang = 'en'),
+@query(r"""WITH v AS (SELECT lang, unnest(['string', 'uuid', 'int', 'custom']) AS kind, unnest([0, -1, -2, -3]) AS o, unnest([len(regexp_extract_all(text, '[a-z]{3,}')), len(regexp_extract_all(text, '[0-9a-f]{8}-[0-9a-f]{4}')), len(regexp_extract_all(text, '[0-9]+')), len(regexp_extract_all(text, '[A-Z]{2,}_[0-9]+'))]) AS n FROM documents),
 s AS (SELECT lang, kind, o, sum(n)::BIGINT AS n FROM v GROUP BY ALL) SELECT lang, arg_max(kind, n * 10 + o) AS kind, max(n) AS votes FROM s GROUP BY lang""")
 def id_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.id_vote(T.load(spark, sf_dir, "documents").where("lang = 'en'"), "lang", "text")
+    return SC.id_vote(T.load(spark, sf_dir, "documents"), "lang", "text")
 
 
-@query("""WITH f AS (SELECT 'd' || (l_suppkey % 9) AS dir, lpad((l_orderkey % 900)::VARCHAR, 6, '0') || '_x.sql' AS name FROM lineitem WHERE l_linenumber = 1), n AS (SELECT dir, regexp_extract(name, '^([0-9]+)_', 1) AS d FROM f),
+@query("""WITH f AS (SELECT 'd' || (l_suppkey % 9) AS dir, lpad((l_orderkey % 900)::VARCHAR, 6, '0') || '_x.sql' AS name FROM lineitem), n AS (SELECT dir, regexp_extract(name, '^([0-9]+)_', 1) AS d FROM f),
 g AS (SELECT dir, max(d::BIGINT) AS v, max(length(d)) AS width, count(*) AS files FROM n WHERE d <> '' GROUP BY dir ORDER BY v DESC, dir LIMIT 1) SELECT dir, files, lpad((v + 1)::VARCHAR, greatest(6, width)::INT, '0') AS next FROM g""")
 def migration_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.load(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = T.load(spark, sf_dir, "lineitem")
     name = F.concat(F.lpad((F.col("l_orderkey") % 900).cast("string"), 6, "0"), F.lit("_x.sql"))
     return SC.migration_max(rows.select(F.concat(F.lit("d"), (F.col("l_suppkey") % 9).cast("string")).alias("dir"), name.alias("name")))
 
@@ -284,8 +303,7 @@ def migration_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT project, name FROM s JOIN t USING (tech) UNION SELECT project, unnest(['core', 'rules']) FROM s""")
 def stack_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.load(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("project"), F.col("c_mktsegment").alias("tech")).distinct()
-    t = spark.sql("select * from values ('BUILDING', 'dev'), ('BUILDING', 'qa'), ('MACHINERY', 'ops'), ('AUTOMOBILE', 'dev') as v(tech, name)")
-    return SC.stack_lookup(s, t, ["core", "rules"])
+    return SC.stack_lookup(s, {"BUILDING": ["dev", "qa"], "MACHINERY": ["ops"], "AUTOMOBILE": ["dev"]}, ["core", "rules"])
 
 
 @query()
@@ -364,19 +382,28 @@ def severity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.at_least(T.findings(spark, sf_dir), "high").select("l_orderkey", "l_linenumber", "severity")
 
 
-_BASE = f"WITH {Q.FINDINGS}, base AS (SELECT DISTINCT type, file FROM findings WHERE NOT current AND l_orderkey % 20 = 0), fresh AS (SELECT * FROM findings f WHERE current AND NOT EXISTS (SELECT 1 FROM base b WHERE b.type = f.type AND b.file = f.file))"
+_BASE = f"WITH {Q.FINDINGS}, base AS (SELECT DISTINCT type, unit AS file FROM findings WHERE NOT current), fresh AS (SELECT * REPLACE (unit AS file) FROM findings f WHERE current AND NOT EXISTS (SELECT 1 FROM base b WHERE b.type = f.type AND b.file = f.unit))"
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by part and supplier, so that many are known before and some are new."""
+    return T.findings(spark, sf_dir).drop("file").withColumnRenamed("unit", "file")
 
 
 @query(f"{_BASE} SELECT type, file, severity, l_orderkey, l_linenumber FROM fresh")
 def baseline_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = T.findings(spark, sf_dir)
-    return FI.new_since(f.where("current"), f.where("not current and l_orderkey % 20 = 0")).select("type", "file", "severity", "l_orderkey", "l_linenumber")
+    f = _units(spark, sf_dir)
+    return FI.new_since(f.where("current"), f.where("not current")).select("type", "file", "severity", "l_orderkey", "l_linenumber")
 
 
-@query(f"{_BASE}, nf AS (SELECT DISTINCT file FROM findings WHERE l_linenumber = 7) SELECT type, file, l_orderkey, l_linenumber FROM fresh WHERE NOT (type = 'orphan_file' AND file IN (SELECT file FROM nf))")
+@query(f"""{_BASE}, nf AS (SELECT DISTINCT unit AS file FROM findings WHERE l_linenumber = 7 UNION SELECT 'p' || p_partkey || '/s' || s FROM part, (SELECT unnest([1, 2, 3]) AS s) WHERE p_partkey * 7 % 3600 < 1800)
+SELECT type, file, l_orderkey, l_linenumber FROM fresh WHERE NOT (type = 'orphan_file' AND file IN (SELECT file FROM nf))""")
 def actionable_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = T.findings(spark, sf_dir)
-    return FI.actionable(f.where("current"), f.where("not current and l_orderkey % 20 = 0"), f.where("l_linenumber = 7")).select("type", "file", "l_orderkey", "l_linenumber")
+    f, now = _units(spark, sf_dir), T.as_of()
+    parts = T.load(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("p"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("s"))
+    ago = (F.unix_micros(now.cast("timestamp")) - F.col("p") * 7 % 3600 * 1_000_000).cast("bigint")
+    touched = parts.select(F.concat(F.lit("p"), F.col("p").cast("string"), F.lit("/s"), F.col("s").cast("string")).alias("file"), F.timestamp_micros(ago).cast("timestamp_ntz").alias("mtime"))
+    return FI.actionable(f.where("current"), f.where("not current"), f.where("l_linenumber = 7"), touched, now).select("type", "file", "l_orderkey", "l_linenumber")
 
 
 @query(f"""WITH {Q.FINDINGS}, s AS (SELECT file, severity, count(*) AS n FROM findings GROUP BY ALL), t AS (SELECT file, type, count(*) AS n FROM findings GROUP BY ALL),
@@ -400,14 +427,15 @@ def grade_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.grade_gate(rows, "C")
 
 
-@query(f"WITH {Q.FINDINGS}, c AS (SELECT severity, file, count(*) AS n FROM findings GROUP BY ALL) SELECT severity, count(*) AS files, count(*) FILTER (n >= 40) AS details, max(n) AS most FROM c GROUP BY severity")
+@query(f"""WITH {Q.FINDINGS}, c AS (SELECT severity, file, count(*) AS n FROM findings GROUP BY ALL) SELECT severity, count(*) AS files, least(count(*) FILTER (n >= 40), 10) AS details, max(n) AS most, coalesce(string_agg(file, ',' ORDER BY r) FILTER (n >= 40 AND r <= 10), '') AS worst
+FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY n DESC, file) AS r FROM c) GROUP BY severity""")
 def impact_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.impact(T.findings(spark, sf_dir), "severity", 40)
 
 
-@query(f"WITH {Q.FINDINGS}, m AS (SELECT * FROM (VALUES ('god_file', 'dev-patterns design-patterns.md#single-responsibility'), ('feature_envy', 'dev-patterns design-patterns.md#encapsulation')) v(type, skill)) SELECT DISTINCT type, skill FROM findings JOIN m USING (type)")
+@query(f"WITH {Q.FINDINGS}, m AS (SELECT * FROM (VALUES ('god_file', 'dev-patterns design-patterns.md#single-responsibility'), ('feature_envy', 'dev-patterns design-patterns.md#encapsulation'), ('hub_overload', 'dev-patterns architecture.md#facade-pattern')) v(type, skill)) SELECT DISTINCT type, skill FROM (SELECT type FROM findings UNION SELECT 'hub_overload') JOIN m USING (type)")
 def smell_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FI.skills(T.findings(spark, sf_dir))
+    return FI.skills(T.findings(spark, sf_dir), spark.sql("select 'hub_overload' as type union all select 'unmapped'"))
 
 
 # ---------------------------------------------------------------- graph
@@ -425,8 +453,9 @@ def terminal_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.terminal(*T.graph(spark, sf_dir))
 
 
-@query(f"""WITH {Q.GRAPH}, h AS (SELECT 'tool' AS how, * FROM edges WHERE kind = 'tool' AND contains('my_tool_3_x', tool) UNION ALL SELECT 'phrase', * FROM edges WHERE kind = 'phrase' AND contains('please go 1 now', lower(phrase)) UNION ALL SELECT 'none', * FROM edges WHERE kind IN ('default', 'always'))
-SELECT how, src, dst, row_number() OVER (PARTITION BY how, src ORDER BY priority, seq) AS place FROM h""")
+@query(f"""WITH {Q.GRAPH}, h AS (SELECT 'tool' AS how, * FROM edges WHERE (kind IN ('tool', 'default') AND contains('my_tool_3_x', tool)) OR (kind = 'default' AND tool IS NULL)
+UNION ALL SELECT 'phrase', * FROM edges WHERE (kind IN ('phrase', 'default') AND contains('please go 1 now', lower(phrase))) OR (kind = 'default' AND phrase IS NULL) UNION ALL SELECT 'none', * FROM edges WHERE kind IN ('default', 'always'))
+SELECT how, src, dst, row_number() OVER (PARTITION BY how, src ORDER BY priority, seq, dst) AS place FROM h""")
 def trigger_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = T.graph(spark, sf_dir)[1]
     parts = {"tool": G.triggered(edges, tool="my_tool_3_x"), "phrase": G.triggered(edges, phrase="Please GO 1 now"), "none": G.triggered(edges)}
@@ -439,12 +468,15 @@ def ready_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ready(*T.tasks(spark, sf_dir))
 
 
-@query(f"WITH {Q.TASKS} SELECT node, bool_and(done) AS complete FROM tasks GROUP BY node")
+@query(f"""WITH {Q.TASKS}, n AS (SELECT o_orderkey AS node, CASE o_orderkey % 9 WHEN 0 THEN 'wave' WHEN 1 THEN NULL ELSE 'dag' END AS node_type FROM orders), c AS (SELECT node, bool_and(done) AS complete FROM tasks GROUP BY node)
+SELECT n.node, CASE WHEN node_type IS NULL THEN false WHEN node_type <> 'dag' THEN true ELSE coalesce(complete, true) END AS complete FROM n LEFT JOIN c USING (node)""")
 def dag_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.complete(T.tasks(spark, sf_dir)[0])
+    k = F.col("o_orderkey") % 9
+    nodes = T.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.when(k == 0, "wave").when(k > 1, "dag").alias("node_type"))
+    return G.complete(T.tasks(spark, sf_dir)[0], nodes)
 
 
-@query("""WITH RECURSIVE rows AS (SELECT l_orderkey AS node, l_linenumber::BIGINT AS task FROM lineitem WHERE l_orderkey <= 400),
+@query("""WITH RECURSIVE rows AS (SELECT l_orderkey AS node, l_linenumber::BIGINT AS task FROM lineitem),
 deps AS (SELECT node, task, task - 1 AS needs FROM rows WHERE task > 1 UNION SELECT node, 2, 3 FROM rows WHERE node % 5 = 0 AND task = 2),
 reach AS (SELECT node, task, needs FROM deps UNION SELECT r.node, r.task, d.needs FROM reach r JOIN deps d ON d.node = r.node AND d.task = r.needs)
 SELECT DISTINCT r.node, r.task FROM reach r JOIN reach c ON c.node = r.node AND c.task = c.needs AND (r.needs = c.task OR r.task = c.task)""")
@@ -537,7 +569,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {Q.NOTES}, u AS (SELECT id, w, min(i) AS i FROM (SELECT id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM notes) GROUP BY id, w),
 five AS (SELECT id, list(w) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM u) WHERE r <= 5 GROUP BY id),
-b AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(left(coalesce(body, ''), 800)), '[a-záéíóúñü_][a-záéíóúñü0-9_]*')), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS bw FROM notes),
+b AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(left(coalesce(body, ''), 800)), '[a-záéíóúñü_][a-záéíóúñü0-9_]*')), lambda w: length(w) > 2 AND NOT list_contains({_NOTE_STOP}, w)) AS bw FROM notes),
 s AS (SELECT id, type, age_s, round(len(list_intersect(coalesce(tags, []), ['erth', 'the', 'enthat', 'ededre'])) / (len(coalesce(tags, [])) + 1) * 1.5 + len(list_intersect(bw, ['erth', 'the', 'enthat', 'ededre'])) / (len(bw) + 1) * 0.4, 6) AS overlap FROM notes LEFT JOIN five USING (id) JOIN b USING (id))
 SELECT id, overlap, round(overlap + CASE type WHEN 't0' THEN 0.15 WHEN 't1' THEN 0.10 WHEN 't2' THEN 0.05 ELSE 0 END + 0.05 / (1 + age_s / 86400.0), 6) AS rank FROM s WHERE overlap >= 0.08 ORDER BY rank DESC, id LIMIT 20""")
 def prompt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -555,18 +587,19 @@ def similar_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT * FROM (VALUES (0, ['*']), (1, ['click', 'view']), (2, ['error'])) v(node, tools))
-SELECT node, tool, n, (coalesce(list_contains(tools, '*') OR list_contains(tools, tool), false) AND tool NOT IN ('signup')) AS blocked FROM (SELECT user_id % 4 AS node, event_type AS tool, count(*) AS n FROM events GROUP BY ALL) LEFT JOIN r USING (node)""")
+SELECT node, tool, n, (coalesce(list_contains(tools, '*') OR list_contains(tools, tool), false) AND tool NOT IN ('signup')) AS blocked FROM (SELECT user_id % 4 AS node, CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'error' ELSE event_type END AS tool, count(*) AS n FROM events GROUP BY ALL) LEFT JOIN r USING (node)""")
 def blocked_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = T.load(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("node"), F.col("event_type").alias("tool")).agg(F.count("*").alias("n"))
+    # Every second sign-up goes through a proxy to another tool.
+    inner = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 0), "error")
+    calls = T.load(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("node"), F.col("event_type").alias("tool"), inner.alias("inner"))
     rules = spark.sql("select * from values (0L, array('*')), (1L, array('click', 'view')), (2L, array('error')) as v(node, tools)")
-    return SL.blocked(calls, rules, ["signup"])
+    return SL.blocked(calls, rules, ["signup"]).groupBy("node", "tool", "blocked").agg(F.count("*").alias("n"))
 
 
-@query("SELECT needs, count(*) AS n FROM (SELECT string_split(trim(lower(left(text, 40))), ' ')[1] NOT IN ('the', 'of', 'de', 'la') AS needs FROM documents WHERE text IS NOT NULL) GROUP BY needs")
+@query(r"""SELECT needs, count(*) AS n FROM (SELECT regexp_extract(trim(lower(text)), '^[^ \t\n\x0B\f\r]*') NOT IN ('the', 'of', 'de', 'la') AS needs FROM documents WHERE text IS NOT NULL) GROUP BY needs""")
 def snapshot_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.load(spark, sf_dir, "documents").where("text is not null")
-    first = F.split(F.trim(F.lower(F.substring("text", 1, 40))), " ")[0]
-    return rows.groupBy(SL.needs_snapshot(F.concat(first, F.lit(" x")), ["the", "of", "de", "la"]).alias("needs")).agg(F.count("*").alias("n"))
+    return rows.groupBy(SL.needs_snapshot(F.lower("text"), ["the", "of", "de", "la"]).alias("needs")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {Q.FINDINGS}, r AS (SELECT *, greatest(count(*) OVER (PARTITION BY file) - 5, 0) AS more, row_number() OVER (PARTITION BY file ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, l_orderkey, l_linenumber) AS place FROM findings WHERE current)

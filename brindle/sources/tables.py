@@ -68,14 +68,15 @@ def memory_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """type, severity, file, description, current (baseline: false), new_file."""
+    """type, severity, file, unit (part and supplier), description, current (baseline: false), status."""
     q = F.col("l_quantity")
     sev = F.when(q < 15, "low").when(q < 30, "medium").when(q < 45, "high").otherwise("critical")
     kind = F.when(F.col("l_returnflag") == "A", "orphan_file").when(F.col("l_returnflag") == "R", "god_file").otherwise("feature_envy")
     return load(spark, sf_dir, "lineitem").select(
         kind.alias("type"), sev.alias("severity"), F.concat(F.lit("f"), (F.col("l_partkey") % 500).cast("string")).alias("file"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("/s"), F.col("l_suppkey").cast("string")).alias("unit"),
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("description"), (F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("current"),
-        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_linestatus") == "O", "open").otherwise("resolved").alias("status"), "l_orderkey", "l_linenumber",
     )
 
 
@@ -93,18 +94,25 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """nodes(id, is_start, is_end) and edges(src, dst, priority, seq, kind, tool, phrase) over nations and customers."""
-    c = load(spark, sf_dir, "customer").where("c_custkey <= 200")
+    """nodes(id, is_start, is_end) and edges(src, dst, priority, seq, kind, tool, phrase) over nations, customers and suppliers."""
+    c, s = load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
     n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
     name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
-    nodes = r.select(name("r", "r_regionkey").alias("id")).unionByName(n.select(name("n", "n_nationkey").alias("id"))).unionByName(c.select(name("c", "c_custkey").alias("id")))
-    nodes = nodes.withColumn("is_start", F.col("id") == "r0").withColumn("is_end", F.col("id").startswith("c"))
+    nodes = r.select(name("r", "r_regionkey").alias("id")).unionByName(n.select(name("n", "n_nationkey").alias("id")))
+    nodes = nodes.unionByName(c.select(name("c", "c_custkey").alias("id"))).unionByName(s.select(name("s", "s_suppkey").alias("id")))
+    nodes = nodes.withColumn("is_start", F.col("id") == "r0").withColumn("is_end", F.col("id").rlike("^[cs]"))
     kind = F.when(F.col("seq") % 4 == 0, "tool").when(F.col("seq") % 4 == 1, "phrase").when(F.col("seq") % 4 == 2, "default").otherwise("always")
     down = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"), F.col("n_nationkey").cast("bigint").alias("seq"))
-    leaf = c.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"), (F.col("c_custkey") + 100).alias("seq"))
+    leaf = c.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"), (F.col("c_custkey") + 100).cast("bigint").alias("seq"))
+    more = s.select(name("n", "s_nationkey").alias("src"), name("s", "s_suppkey").alias("dst"), (F.col("s_suppkey") + 100).cast("bigint").alias("seq"))
     loop = n.where("n_nationkey % 6 = 1").select(name("n", "n_nationkey").alias("src"), name("x", "n_nationkey").alias("dst"), (F.col("n_nationkey") + 1000).cast("bigint").alias("seq"))
-    edges = down.unionByName(leaf).unionByName(loop)
-    return nodes, edges.select("src", "dst", "seq", (F.col("seq") % 7).alias("priority"), kind.alias("kind"), F.concat(F.lit("tool_"), (F.col("seq") % 5).cast("string")).alias("tool"), F.concat(F.lit("go "), (F.col("seq") % 3).cast("string")).alias("phrase"))
+    edges = down.unionByName(leaf).unionByName(more).unionByName(loop)
+    # Half of the default edges name no tool and no phrase.
+    given = lambda c: F.when(F.col("seq") % 8 != 2, c)
+    return nodes, edges.select(
+        "src", "dst", "seq", (F.col("seq") % 7).alias("priority"), kind.alias("kind"),
+        given(F.concat(F.lit("tool_"), (F.col("seq") % 5).cast("string"))).alias("tool"), given(F.concat(F.lit("go "), (F.col("seq") % 3).cast("string"))).alias("phrase"),
+    )
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -114,8 +122,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def task_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """deps(node, task, needs) with loops in every fifth order up to 400."""
-    rows = load(spark, sf_dir, "lineitem").where("l_orderkey <= 400").select(F.col("l_orderkey").alias("node"), F.col("l_linenumber").cast("bigint").alias("task"))
+    """deps(node, task, needs) of all orders, with loops in every fifth."""
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_linenumber").cast("bigint").alias("task"))
     back = rows.where("node % 5 = 0 and task = 2").select("node", F.lit(2).cast("bigint").alias("task"), F.lit(3).cast("bigint").alias("needs"))
     return rows.where("task > 1").select("node", "task", (F.col("task") - 1).alias("needs")).unionByName(back).distinct()
 
@@ -126,5 +134,5 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, seq, ts, file of edit events."""
-    return load(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("seq"), "ts", F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("file"))
+    """key (the user), seq, ts, file of edit events."""
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("file"))

@@ -1,7 +1,7 @@
 import pytest
 from compare import connect, same
 
-from brindle.plans import queries  # noqa: F401
+from brindle.plans import queries, workflow  # noqa: F401
 from brindle.plans.registry import ORACLES, QUERIES
 
 
