@@ -12,6 +12,7 @@ both classes every document that passes the base rules is kept.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ REJECT = 0.0
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Statistics of the model; the sign says which way more of it may move log-odds of bad quality.
+#: Statistics of the model (words and the longest word's bytes as logarithms); the sign says which way more of it may move log-odds of bad quality.
 STATS = {
     "symbols_per_char": 1, "dup_line_share": 1, "repeat_share": 1, "upper_share": 1, "bang_share": 1,
     "pipe_share": 1, "word_length": 0, "words": -1, "line_length": 0, "distinct_share": 0,
@@ -85,7 +86,7 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     bang = text.count("!")
     distinct = len(set(words))
     short = sum(1 for x in words if len(x) <= 3)
-    model = [symbols / c, dup / max(len(lines), 1), repeat / w, upper / max(letters, 1), bang / w, text.count("|") / w, chars / w, float(min(n, 2000)), n / max(len(lines), 1), distinct / w, digits / c, short / w, float(min(max(map(len, words), default=0), 200))]
+    model = [symbols / c, dup / max(len(lines), 1), repeat / w, upper / max(letters, 1), bang / w, text.count("|") / w, chars / w, math.log1p(n), n / max(len(lines), 1), distinct / w, digits / c, short / w, math.log1p(max(map(len, words), default=0))]
     return [n, chars, symbols, dup, repeat], model
 
 

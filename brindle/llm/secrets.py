@@ -16,7 +16,6 @@ scanned whole; repeated rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 import re
@@ -111,7 +110,7 @@ class Scanner:
             return [(0, len(s))]
         at = Markov.places(s)
         out: list[tuple[int, int]] = []
-        total, start, best, peak, floor = 0.0, 0, 0.0, 0, 0
+        total, start, best, peak, floor = 0.0, 0, 0.0, 0, 0  # one pass, whatever the run's length
         # A stretch begins where the sum leaves zero and ends at its peak, once the sum falls EXCESS below.
         for i, gain in enumerate([*(self.ratio[at[:-1], at[1:]] - self.threshold).tolist(), -math.inf]):
             total += gain
@@ -138,15 +137,18 @@ class Scanner:
         out = base_spans(text)
         taken = [(a, b) for a, b, _ in out]
         more = []
-        k = 0
+        k = 0  # base spans before it end before the candidate
         for m in CANDIDATE.finditer(text):
             at, end = m.start(), m.end()
             while k < len(taken) and taken[k][1] <= at:
                 k += 1
-            for x, y in [*itertools.takewhile(lambda t: t[0] < end, taken[k:]), (end, end)]:
+            j = k
+            while at < end:
+                x, y = taken[j] if j < len(taken) and taken[j][0] < end else (end, end)
                 if x - at >= LEAST:
-                    more += [(at + i, at + j, "markov") for i, j in self.stretches(text[at:x])]
+                    more += [(at + a, at + b, "markov") for a, b in self.stretches(text[at:x])]
                 at = max(at, y)
+                j += 1
         return sort(out + more)
 
 

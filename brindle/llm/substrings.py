@@ -42,8 +42,8 @@ from brindle.llm.common import chunks, map_rows, own_names, release, spill, text
 from brindle.llm.words import OTHER_BASE, Words, run_hash, runs, signed
 
 WIDTH, PREFIX = 35, 8
-#: Suffixes of a group that one task turns into a tree (some 10 MB), and words of the groups it takes at once.
-GROUP, BATCH_WORDS = 20_000, 500_000
+#: Suffixes of a group that one task turns into a tree (some 2 MB), and words of the groups it takes at once.
+GROUP, BATCH_WORDS = 4_000, 500_000
 #: Lengths, in words, to which the prefixes of larger groups grow.
 LONGER = (16, 24)
 #: Words of the bitmap that lets scans pass by texts without repeats (512 KB at any size).

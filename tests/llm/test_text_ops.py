@@ -6,6 +6,7 @@ import hashlib
 import inspect
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm import bpe, packing, quality, queries, records, secrets, tokens
+from brindle.llm import bpe, jaccard, packing, quality, queries, records, secrets, substrings, tokens
 
 ODD = ["", None, "a", " ", "\n", "it's 'll x''s 'sx !'s  \n\n a\t b  ", "''", "'re've'vex 's's", "a\xa0\xa0b　 '", "éx'D 's\n's", "x" * 5000 + " " * 300 + "\n" * 7 + "1²Ⅷ", "a\x1cb ΑΣ. İx <|endoftext|>", "same text here", "same text here", "x\0 y", "a \nb", "\na", "가나 \U0001f600!!"]
 
@@ -96,6 +97,80 @@ def test_records_round_trip_and_break_loudly(spark, tmp_path):
     assert records.scan(spark, records.write(docs.limit(0), P.path("word_bpe_49k.json"), end_id=1, path=str(tmp_path / "none"))).count() == 0
 
 
+def test_starts_are_gapless_with_many_files_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "FILE_RECORDS", 20)
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").coalesce(2)
+    path = records.write(docs, P.path("word_bpe_49k.json"), end_id=1, path=str(tmp_path / "many"))
+    assert spark.read.parquet(f"{path}/index").select("file").distinct().count() >= 10
+    lib = tokens.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    lib.encode_special_tokens = True
+    at = 0
+    got = {r["doc_id"]: r for r in records.scan(spark, path, digest=True).collect()}
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        own = got.pop(r["doc_id"])
+        assert (own["start"], own["n_tokens"], own["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert not got
+    index = {(r["file"], r["offset"]): r["n_tokens"] for r in spark.read.parquet(f"{path}/index").collect()}
+    assert sum(index.values()) == at
+    assert records.file_order("part-00003-11111111-c123-4c1d-9d00-c00112345678-c004.txt") == (3, 4)
+    with pytest.raises(ValueError):
+        records.file_order("part-00003.txt")
+
+
+def test_packing_equals_the_library_on_a_table(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    lib = tokens.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    want = {r["doc_id"]: [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
+    loads = {}
+    for r in queries.op7_packing(spark, "/root/testdata/sf0.001").collect():
+        ids = want[r["doc_id"]]
+        part = ids[r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+        loads[r["sequence_id"]] = loads.get(r["sequence_id"], 0) + r["length"]
+    assert sum(loads.values()) == sum(map(len, want.values())) and max(loads.values()) <= 1024
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte and more go through every operator on texts, whole."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(5000)]
+    long = " ".join(words[i] for i in rng.integers(0, 5000, 200_000).tolist())
+    texts = [long, long + " tail of it", "short text here", None, "x" * 1_500_000, "y z " * 300_000]
+    assert len(long) > 1 << 20
+    docs = docs_of(spark, texts)
+    n = [len((t or "").split()) for t in texts]
+    got = {r["doc_id"]: r for r in substrings.remove(docs, digest=True).collect()}
+    assert [got[i]["n_words"] for i in range(6)] == n and got[0]["n_removed"] == n[0] == got[1]["n_removed"] + got[0]["n_words"] - 200_000
+    got = {r["doc_id"]: r for r in jaccard.classes(docs).collect()}
+    assert [got[i]["component_id"] for i in range(6)] == [0, 0, 2, 3, 4, 5] and got[5]["n_shingles"] == 2
+    got = {r["doc_id"]: r for r in quality.measure(docs, model=quality.fit(np.empty((0, len(quality.STATS))), np.empty(0), list(quality.STATS.values()))).collect()}
+    assert [got[i]["n_words"] for i in range(6)] == n and got[5]["n_repeat_words"] == n[5]
+    scanner = secrets.Scanner(secrets.identifiers(words[:300]), secrets.random_strings())
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, scanner).collect()}
+    assert not got[0] and not got[5]
+    got = {r["doc_id"]: r for r in bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), work=lambda c, t, ids: (len(ids) // 4, c.decode(ids).decode() == t), schema="n bigint, same boolean").collect()}
+    assert all(r["same"] for r in got.values())
+    pieces = packing.pack(docs, P.path("byte_bpe_50k.json"), end_id=0).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert all(r[1] == r[2] for r in pieces) and {r["doc_id"]: r[1] - 1 for r in pieces} == {i: r["n"] for i, r in got.items()}
+
+
+def test_secrets_of_a_log_of_megabytes_take_seconds():
+    line = "GET /a/b/0123456789abcdef0123/session_value token=abcdefghijkl0123 kV9xQ2mZ7Lp0Rt4Ws8Yb3Nc6/x\n"
+    scanner = secrets.Scanner(secrets.identifiers(["house", "river", "table"]), secrets.random_strings())
+    took = []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        spans = scanner.spans(line * n)
+        took.append(time.perf_counter() - began)
+        assert len(spans) >= 3 * n
+    run = "aB3/" + "0123456789abcdef/" * 60_000  # one run of a megabyte with many base spans
+    assert len(scanner.spans(run)) >= 60_000
+    assert took[1] < 60 and took[1] < 12 * took[0] + 1
+
+
 def test_packing_keeps_every_id_once(spark):
     words = [" ".join(f"word{(i * 7 + k) % 97}" for k in range(n)) for i, n in enumerate([0, 1, 5, 300, 700, 1500, 40, 900] * 12)]
     got = packing.pack(docs_of(spark, [*ODD, *words]).coalesce(2), P.path("byte_bpe_50k.json"), end_id=0, with_ids=True).collect()
