@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.functions import constants as C
+
 ENTRY = (
     "id string, type string, file_pattern string, keywords array<string>, domain string, description string, severity string, confidence double, occurrences int, "
     "first_seen string, last_seen string, project_origin string, resolution string, related_files array<string>, scope string"
@@ -20,6 +24,13 @@ def read_experience(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"entries array<struct<{ENTRY.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double').replace(' int', ':int')}>>").json(path, multiLine=True).select(F.inline("entries"))
 
 
+def write_experience(entries: DataFrame, path: str, most: int = C.STORE_ROWS) -> None:
+    """A store as one JSON envelope: the ``most`` entries of greatest confidence, then latest sight."""
+    kept = entries.orderBy(F.desc("confidence"), F.desc("last_seen")).limit(most)
+    one = kept.agg(F.collect_list(F.struct(*entries.columns)).alias("entries"), F.count("*").alias("count"))  # at most ``most`` entries
+    one.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown notes with frontmatter: path, mtime, fields (map), lists (map), body."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
@@ -45,11 +56,15 @@ def frontmatter_lists(head: Column) -> Column:
     return F.map_from_arrays(names, items)
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """Notes (id, type, priority, tags, body) as text, one line-feed-joined note a record."""
+def note_text() -> Column:
+    """A note (id, type, priority, tags, body) as Markdown with frontmatter."""
     tags = F.concat_ws("\n", F.transform("tags", lambda t: F.concat(F.lit("- "), t)))
-    text = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), F.col("id").cast("string")), F.concat(F.lit("type: "), "type"), F.concat(F.lit("priority: "), "priority"), F.lit("tags:"), tags, F.lit("---"), "body")
-    notes.select(text.alias("value")).write.text(path)
+    return F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), F.col("id").cast("string")), F.concat(F.lit("type: "), "type"), F.concat(F.lit("priority: "), "priority"), F.lit("tags:"), tags, F.lit("---"), "body")
+
+
+def write_notes(notes: DataFrame, path: str) -> None:
+    """Each note in a folder of its own, ``note=<id>``, as a text file."""
+    notes.select(F.col("id").cast("string").alias("note"), note_text().alias("value")).write.partitionBy("note").mode("overwrite").text(path)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +73,100 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("id is not null and ref is not null and commit is not null")
 
 
+def append_journal(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").json(path)
+
+
+def append_trends(old: DataFrame, new: DataFrame, by: str, order: list[str], most: int = C.TREND_ROWS) -> DataFrame:
+    """Trend rows with new ones at the end, of each group the last ``most``; metrics that a side lacks are null."""
+    w = W.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    both = old.unionByName(new, allowMissingColumns=True)
+    return both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+
+
+def read_transcripts(spark: SparkSession, path: str, n: int = 30, most: int = 10 << 20) -> DataFrame:
+    """(path, line, turn) of the last n lines of each file; files beyond ``most`` bytes and lines that are no JSON objects drop out."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
+    lines = F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n")
+    last = files.select("path", F.size(lines).alias("n"), lines.alias("x")).select("path", F.posexplode(F.slice("x", F.greatest(F.lit(1), F.col("n") - n + 1), n)).alias("line", "text"))
+    turn = "struct<type:string,role:string,name:string,content:array<struct<type:string,name:string,input:struct<command:string>>>>"
+    return last.select("path", "line", F.try_parse_json("text").alias("v"), F.from_json("text", turn).alias("turn")).where(F.schema_of_variant("v").startswith("OBJECT")).drop("v")
+
+
+def pack_floats(vec: Column) -> Column:
+    """A vector as little-endian 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def pack(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return pack(vec)
+
+
+def unpack_floats(blob: Column) -> Column:
+    @F.pandas_udf("array<float>")
+    def unpack(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else np.frombuffer(v, "<f4"))
+
+    return unpack(blob)
+
+
+def read_agents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, fields, lists, body) of Markdown files whose frontmatter has scalars, ``|`` and ``>`` blocks, inline and block lists."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
+    rows = rows.select("path", F.col("content").cast("string").alias("t"))
+    head = F.regexp_extract("t", r"(?s)^---\n(.*?)\n---\n?", 1)
+    block = r"(?m)^([\w-]+):[ \t]*[|>]-?[ \t]*\n((?:(?:[ \t]+.*)?(?:\n|$))+)"
+    whole = F.regexp_extract_all(head, F.lit(block), 0)
+    folded = lambda b: F.regexp_replace(F.btrim(F.regexp_replace(F.regexp_replace(b, r"^[^\n]*\n", ""), r"(?m)^[ \t]+", ""), F.lit("\n")), "\n", " ")
+    kept = lambda b: F.btrim(F.regexp_replace(F.regexp_replace(b, r"^[^\n]*\n", ""), r"(?m)^[ \t]+", ""), F.lit("\n"))
+    long = F.map_from_entries(F.transform(whole, lambda b: F.struct(F.regexp_extract(b, r"^([\w-]+):", 1), F.when(b.rlike(r"^[\w-]+:[ \t]*>"), folded(b)).otherwise(kept(b)))))
+    plain = F.regexp_replace(head, block, "")
+    inline = F.regexp_extract_all(plain, F.lit(r"(?m)^[\w-]+:[ \t]*\[.*\][ \t]*$"), 0)
+    item = lambda x: F.btrim(x, F.lit("\"' "))
+    short = F.map_from_entries(F.transform(inline, lambda b: F.struct(F.regexp_extract(b, r"^([\w-]+):", 1), F.filter(F.transform(F.split(F.regexp_extract(b, r"\[(.*)\]", 1), ","), item), lambda x: x != ""))))
+    scalars = F.map_filter(frontmatter(plain), lambda _, v: ~v.startswith("["))
+    return rows.select("path", F.map_concat(scalars, long).alias("fields"), F.map_concat(frontmatter_lists(plain), short).alias("lists"), F.btrim(F.regexp_replace("t", r"(?s)^---\n.*?\n---\n?", ""), F.lit(" \n\t\r")).alias("body"))
+
+
+def blocked_tools(spark: SparkSession, text: str) -> DataFrame:
+    """(node, tools) of a workflow text: what each node blocks."""
+    rows = [(str(n["id"]), [str(t) for t in n.get("tools_blocked") or []]) for n in parse_graph(text).get("nodes") or []]
+    return spark.createDataFrame(rows, "node string, tools array<string>")
+
+
+def workflow_steps(spark: SparkSession, text: str) -> DataFrame:
+    """(place, id, name, tools) of an old workflow text, a list of ``steps``."""
+    rows = [(k, str(x.get("id", k)), x.get("name"), [str(t) for t in x.get("tools_blocked") or []]) for k, x in enumerate(parse_graph(text).get("steps") or [])]
+    return spark.createDataFrame(rows, "place int, id string, name string, tools array<string>")
+
+
+def graph_text(nodes: DataFrame, edges: DataFrame) -> str:
+    """A workflow (id, name, ...; id, src, dst, kind, priority, in order of seq) in the subset that ``parse_graph`` reads."""
+    out = ["nodes:"]
+    for r in nodes.orderBy("seq").collect():  # workflows are small by nature
+        out += [f"  - id: {r['id']}"] + [f"    {k}: {json.dumps(r[k])}" for k in ("name", "is_start", "is_end", "max_visits") if k in nodes.columns and r[k] is not None]
+    out.append("edges:")
+    for r in edges.orderBy("seq").collect():
+        out += [f"  - id: {r['id']}", f"    from: {r['src']}", f"    to: {r['dst']}", "    condition:", f"      type: {r['kind']}", f"    priority: {r['priority']}"]
+    return "\n".join(out) + "\n"
+
+
+def mermaid(nodes: DataFrame, edges: DataFrame, current: str | None = None) -> str:
+    """A workflow as a Mermaid flow chart, the current node marked."""
+    out = ["graph TD"]
+    for r in nodes.orderBy("seq").collect():
+        left, right = ("([", "])") if r["is_start"] or r["is_end"] else ("[", "]")
+        out.append(f"    {r['id']}{left}{r['name'] or r['id']}{right}")
+    out += [f"    {r['src']} -->|{r['kind']}| {r['dst']}" for r in edges.orderBy("seq").collect()]
+    return "\n".join(out + ([f"    style {current} fill:#90EE90"] if current else []))
+
+
+def is_workflow(text: Column) -> Column:
+    """Whether a file's text is a workflow: it has nodes and edges."""
+    return text.rlike(r"(?m)^nodes:") & text.rlike(r"(?m)^edges:")
+
+
 def read_trends(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of trend rows; metrics that a row lacks are null, unreadable times drop the row."""
     rows = spark.read.schema("timestamp string, project string, smell_count bigint, tension_count bigint, debt_score double, findings_count bigint, risk_grade string").json(path, multiLine=True)
@@ -96,6 +205,12 @@ def coerce_array(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array(text))
 
 
+def coerce_object(text: Column) -> Column:
+    """A JSON object as it is; other texts are null (callers keep them as texts)."""
+    v = F.try_parse_json(text)
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
 def parse_graph(text: str) -> dict:
     """The YAML subset of workflow files: nested maps, lists of maps, strings, integers, booleans and null."""
     lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n") if x.strip() and not x.strip().startswith("#")]
