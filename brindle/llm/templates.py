@@ -316,14 +316,13 @@ class Nest:
         return out
 
 
-def article_slot(pages: list[list], root: list[str], walks: list[tuple]) -> tuple[int, list[bool]] | None:
-    """The gap of the template that holds the article, and which gaps are the template's own or mostly links."""
-    size = len(root) + 1
+def article_slot(pages: list[list], size: int, gaps: list[list[int]], walks: list[tuple]) -> tuple[int, list[bool]] | None:
+    """Which of the template's ``size`` gaps holds the article, and which are the template's own or mostly links."""
     words, links = [0] * size, [0] * size
     said: list[set[str]] = [set() for _ in range(size)]
-    for page, (side, _, link) in zip(pages, walks, strict=True):
+    for page, at, (side, _, link) in zip(pages, gaps, walks, strict=True):
         parts: list[list[str]] = [[] for _ in range(size)]
-        for i, g in enumerate(slots(page, [root])[0]):
+        for i, g in enumerate(at):
             if not isinstance(page[i], Tag) and not side[i] and (n := len(page[i].split())):
                 (links if link[i] else words)[g] += n
                 parts[g].append(page[i])
@@ -334,10 +333,9 @@ def article_slot(pages: list[list], root: list[str], walks: list[tuple]) -> tupl
     return (core, [c or b > a for c, a, b in zip(constant, words, links, strict=True)]) if words[core] else None
 
 
-def region(page: list, gaps: list[int], walk: tuple, core: int, other: list[bool]) -> int | None:
+def region(page: list, nest: Nest, gaps: list[int], walk: tuple, core: int, other: list[bool]) -> int | None:
     """The element (index of its start tag, -1: the whole page) that is the page's article; None if its slot is empty."""
     side, _, link = walk
-    nest = Nest(page)
     held: Counter = Counter()
     total = 0
     for i, x in enumerate(page):
@@ -369,23 +367,26 @@ def extract(group: list[str]) -> list[str]:
     full = [p for p in pages if p]
     vote = voters(full)
     classes = deduce(vote) if vote else [[]]
-    of = {id(p): w for p, w in zip(pages, walks, strict=True)}
-    own = article_slot(vote, classes[0], [of[id(p)] for p in vote]) if vote else None
+    known = [slots(p, classes) for p in pages]
+    nests = [Nest(p) for p in pages]
+    voting = {id(p) for p in vote}
+    heard = [i for i, p in enumerate(pages) if id(p) in voting]
+    own = article_slot([pages[i] for i in heard], len(classes[0]) + 1, [known[i][0] for i in heard], [walks[i] for i in heard]) if vote else None
     found = []
-    for p, walk in zip(pages, walks, strict=True):
-        slot, root = own, classes[0]
-        if p and not set(root) <= {x.token for x in p if isinstance(x, Tag)}:
+    for p, walk, nest, (gaps, _, _) in zip(pages, walks, nests, known, strict=True):
+        slot = own
+        if p and not set(classes[0]) <= {x.token for x in p if isinstance(x, Tag)}:
             root = deduce([p])[0]
-            slot = article_slot([p], root, [walk])
-        found.append(region(p, slots(p, [root])[0], walk, *slot) if p and slot else None)
+            gaps = slots(p, [root])[0]
+            slot = article_slot([p], len(root) + 1, [gaps], [walk])
+        found.append(region(p, nest, gaps, walk, *slot) if p and slot else None)
     usual = Counter(p[k].token for p, k in zip(pages, found, strict=True) if k is not None and k >= 0).most_common(1)
     taken, places, least = [], [], []
-    for p, walk, k in zip(pages, walks, found, strict=True):
+    for p, walk, nest, k, (_, slot, paths) in zip(pages, walks, nests, found, known, strict=True):
         if k is None and usual:
             k = next((i for i, x in enumerate(p) if isinstance(x, Tag) and x.token == usual[0][0]), None)
-        within = range(0) if k is None else range(k + 1, Nest(p).end[k]) if k >= 0 else range(len(p))
+        within = range(0) if k is None else range(k + 1, nest.end[k]) if k >= 0 else range(len(p))
         of_main = k is not None and k >= 0 and p[k].main
-        _, slot, paths = slots(p, classes)
         taken.append([i for i in within if not isinstance(p[i], Tag) and not walk[0][i]])
         places.append(paths if of_main else [(*path, (o[:2], o[2])) for o, path in zip(slot, paths, strict=True)])
         least.append(PROOF if of_main else 3)
