@@ -99,7 +99,7 @@ def experience_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {Q.EVENTS} SELECT type, file_pattern, description, count(*) AS occurrences, arg_max(resolution, length(resolution) * 1000000000 - seq) AS resolution,
-round(least(0.95, 0.5 + 0.1 * (count(*) - 1)), 6) AS confidence FROM ev GROUP BY type, file_pattern, description""")
+round(least(0.95, 0.5 + 0.1 * (count(*) - 1)), 6)::DOUBLE AS confidence FROM ev GROUP BY type, file_pattern, description""")
 def commit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MG.commit_merge(T.experience_events(spark, sf_dir))
 
