@@ -13,7 +13,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 #: Bytes of a Parquet row group of an intermediate table: a writing task buffers one.
-ROW_GROUP = 16 << 20
+ROW_GROUP = 8 << 20
 
 
 def session(name: str = "brindle", master: str | None = None, **conf: str) -> SparkSession:
