@@ -17,7 +17,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from brindle.session import run_base, shared_base, spill, sweep
 
 #: Rows are handed to Python in Arrow batches of about this many bytes.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
+#: Rows of a batch that is read from Parquet.
+READ_ROWS = 512
 #: Texts are worked on in chunks of about this many characters.
 CHUNK_CHARS = 400_000
 
@@ -49,8 +51,9 @@ def thin(rows: DataFrame, want: int, *by: str) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that a run of long texts can't fill a worker."""
+    """Bound Arrow batches by bytes and Parquet batches by rows, so that a run of long texts can't fill a worker or an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 #: What a Python worker holds from task to task (one vocabulary with its cache), by name.

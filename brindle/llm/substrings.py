@@ -317,7 +317,8 @@ def repeats(docs: DataFrame, *, text_col: str = "text", width: int = WIDTH, pref
     mixed = leaves.join(spill(sizes.select("key", (F.col("n") > GROUP).alias("large")), "substring-open"), "key")
     wanted = kept.join(mixed.select("key", "content", F.col("_one").alias("oid"), "single", "large"), ["key", "content", "oid"]).select("tid", "number", "single", "large").distinct()
     wanted = spill(wanted.groupBy("tid").agg(F.collect_list(F.struct("number", "single", "large")).alias("blocks")), "substring-wanted")
-    rows = _sift(texts, _bits(wanted)).join(wanted, "tid")
+    # A merge join ends the first scan's stage, so that a task never holds two Python workers.
+    rows = _sift(texts, _bits(wanted)).join(wanted.hint("merge"), "tid")
     starts = _trees(_strings(rows, width, prefix, True), width)
     if not wanted.where(F.exists("blocks", lambda x: x["large"])).isEmpty():
         starts = starts.unionByName(_lengthened(_strings(rows, width, prefix, False), width))
@@ -434,5 +435,5 @@ def _apply(docs: DataFrame, text_col: str, width: int, prefix: int, rest, schema
             yield {n: b[n] for n in given.names} | {n: [g[k] for g in got] for k, n in enumerate(names)}
 
     found = marks.select(F.col("tid").alias(tid), F.col("copied").alias(copied), F.col("blocks").alias(blocks), F.col("ranges").alias(ranges))
-    hard = map_rows(rows, rows.schema, passing).join(found, tid, "left")
+    hard = map_rows(rows, rows.schema, passing).join(found.hint("merge"), tid, "left")
     return map_rows(rows, out, plain).unionByName(map_rows(hard, out, marked))
