@@ -115,3 +115,11 @@ def sessions(events: DataFrame, key: str = "key", seconds: float = C.SESSION_S)
     rows = events.withColumn("starts", starts).withColumn("session", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
     first_file = F.row_number().over(W.partitionBy(key, "session", "file").orderBy("ts", "seq")) == 1
     return rows.select(key, "seq", "session", (F.col("starts") == 1).alias("first_of_session"), first_file.alias("first_of_file"))
+
+
+def idle_stops(events: DataFrame, key: str = "key", seconds: float = 600) -> DataFrame:
+    """Events after which a key stays unused for ``seconds`` or longer, and when it is stopped."""
+    w = W.partitionBy(key).orderBy("ts", "seq")
+    gap = F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    stop = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) + int(seconds * 1e6)).cast("bigint")).cast("timestamp_ntz")
+    return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= seconds * 1e6)).select(key, "seq", stop.alias("stopped_at"))

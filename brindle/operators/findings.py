@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import constants as C
+from brindle.functions import text as X
 from brindle.functions.scoring import rank_of
 
 
@@ -55,17 +56,75 @@ def summary(rows: DataFrame, by: str) -> DataFrame:
 
 
 def tension_gate(rows: DataFrame, by: str, least: str, attempts: DataFrame) -> DataFrame:
-    """Blocked while findings of a severity remain, unless the retries are used up. attempts: by, attempts."""
+    """Blocked while findings of a severity remain, unless the retries are used up or the gate is acknowledged.
+
+    attempts: by, attempts and, if gates can be, ``acknowledged``.
+    """
     n = at_least(rows, least).groupBy(by).agg(F.count("*").alias("blocking"))
     every = attempts.join(n, by, "left").withColumn("blocking", F.coalesce("blocking", F.lit(0)))
-    state = F.when(F.col("blocking") == 0, "open").when(F.col("attempts") >= C.TENSION_RETRIES, "escaped").otherwise("blocked")
+    known = F.coalesce("acknowledged", F.lit(False)) if "acknowledged" in attempts.columns else F.lit(False)
+    state = F.when(known, "acknowledged").when(F.col("attempts") >= C.TENSION_RETRIES, "escaped").when(F.col("blocking") == 0, "open").otherwise("blocked")
     return every.select(by, "blocking", state.alias("state"))
 
 
-def grade_gate(reports: DataFrame, worst: str = "D") -> DataFrame:
-    """Whether a grade is worse than allowed or too many findings are critical; unknown grades never block."""
+def gate_details(rows: DataFrame, by: str, least: str, order: list[str], k: int = 5) -> DataFrame:
+    """The first k findings that block a gate, with their description's first 200 characters and missing fields filled."""
+    w = W.partitionBy(by).orderBy(*order)
+    few = at_least(rows, least).withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
+    text = F.substring(F.coalesce("description", F.lit("")), 1, 200)
+    return few.select(by, "place", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("severity", F.lit("unknown")).alias("severity"), text.alias("description"))
+
+
+def gate_experience(rows: DataFrame, by: str, least: str, order: list[str], attempts: DataFrame) -> DataFrame:
+    """What gates teach, once for the project's store and once for everyone's.
+
+    A blocked gate gives one row for each of its first three files; one that opened after
+    attempts (by, attempts) gives one row. Columns: by, scope, type, file_pattern, domain, severity.
+    """
+    blocking = at_least(rows, least).where(F.coalesce("file", F.lit("")) != "")
+    w = W.partitionBy(by).orderBy(*order)
+    files = blocking.withColumn("r", F.row_number().over(w)).where("r <= 3")
+    blocked = files.select(by, F.lit("gate_blocked").alias("type"), X.generalize(F.col("file")).alias("file_pattern"), X.domain(F.col("file")).alias("domain"), F.lit(least).alias("severity"))
+    passed = attempts.where("attempts > 0").join(at_least(rows, least).select(by).distinct(), by, "left_anti")
+    resolved = passed.select(by, F.lit("gate_resolved").alias("type"), F.concat(F.lit("workflow/"), F.col(by).cast("string")).alias("file_pattern"), F.lit("config").alias("domain"), F.lit("low").alias("severity"))
+    return blocked.unionByName(resolved).withColumn("scope", F.explode(F.array(F.lit("project"), F.lit("global"))))
+
+
+def grade_gate(reports: DataFrame, worst: str = "D", most: int = C.CRITICAL_MOST, open_criticals: int | None = None) -> DataFrame:
+    """Whether a grade is worse than allowed or too many findings are critical, and why; unknown grades never block.
+
+    ``open_criticals``: how many open critical security findings (column ``open_criticals``) are let pass, checked first.
+    """
     bad = F.coalesce(rank_of(F.col("grade"), C.GRADE) > C.GRADE.get(worst, 3), F.lit(False))
-    return reports.withColumn("blocked", bad | (F.coalesce("critical", F.lit(0)) > C.CRITICAL_MOST))
+    many = F.coalesce("critical", F.lit(0)) > most
+    grade_text = F.when(bad, F.concat(F.lit("debt grade "), F.col("grade"), F.lit(f" is worse than required {worst}")))
+    many_text = F.when(many, F.concat(F.col("critical").cast("string"), F.lit(f" critical smells exceed limit of {most}")))
+    unsafe = F.lit(False) if open_criticals is None else F.coalesce("open_criticals", F.lit(0)) > open_criticals
+    reason = F.when(unsafe, "security_gate_failed").otherwise(F.concat_ws("; ", grade_text, many_text))
+    return reports.withColumns({"blocked": unsafe | bad | many, "reason": reason})
+
+
+def security_counters(scans: DataFrame) -> DataFrame:
+    """Scans (critical, high, grade) with something serious, as lines."""
+    part = lambda c, name: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(name)))
+    line = F.concat(F.lit("Security: "), F.concat_ws(", ", part("critical", " CRITICAL"), part("high", " high")), F.lit(" findings (grade "), F.coalesce("grade", F.lit("?")), F.lit(")"))
+    return scans.where("critical > 0 or high > 0").withColumn("line", line)
+
+
+def analysis_plan(nodes: DataFrame, defaults: list[str], tokens: int = 400) -> DataFrame:
+    """Which analyses run at a node and with what budget.
+
+    Input: node, available, switched_on, own_on (all may be null for yes), analyses, token_budget (null: the defaults).
+    """
+    on = F.coalesce("available", F.lit(True)) & F.coalesce("switched_on", F.lit(True)) & F.coalesce("own_on", F.lit(True))
+    wanted = F.coalesce("analyses", F.array(*map(F.lit, defaults)))
+    return nodes.select("node", on.alias("runs"), F.when(on, wanted).otherwise(F.array().cast("array<string>")).alias("analyses"), F.when(on, F.coalesce("token_budget", F.lit(tokens))).otherwise(0).alias("token_budget"))
+
+
+def reindex_plan(changed: DataFrame, by: str, most: int = 20) -> DataFrame:
+    """Per project whether its changed files are read one by one (up to ``most``, at least one) or all anew."""
+    n = changed.groupBy(by).agg(F.countDistinct("file").alias("changed"))
+    return n.withColumn("mode", F.when((F.col("changed") > 0) & (F.col("changed") <= most), "incremental").otherwise("full"))
 
 
 def impact(rows: DataFrame, by: str, least: int, most: int = 10) -> DataFrame:

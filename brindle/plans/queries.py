@@ -413,18 +413,20 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.summary(T.findings(spark, sf_dir), "file")
 
 
-@query(f"""WITH {Q.FINDINGS}, a AS (SELECT file, count(*) % 8 AS attempts FROM findings GROUP BY file), b AS (SELECT file, count(*) AS blocking FROM findings WHERE severity = 'critical' AND current GROUP BY file)
-SELECT a.file, coalesce(blocking, 0) AS blocking, CASE WHEN blocking IS NULL THEN 'open' WHEN attempts >= 5 THEN 'escaped' ELSE 'blocked' END AS state FROM a LEFT JOIN b USING (file)""")
+@query(f"""WITH {Q.FINDINGS}, a AS (SELECT file, count(*) % 8 AS attempts, count(*) % 5 = 0 AS ack FROM findings GROUP BY file), b AS (SELECT file, count(*) AS blocking FROM findings WHERE severity = 'critical' AND current GROUP BY file)
+SELECT a.file, coalesce(blocking, 0) AS blocking, CASE WHEN ack THEN 'acknowledged' WHEN attempts >= 5 THEN 'escaped' WHEN blocking IS NULL THEN 'open' ELSE 'blocked' END AS state FROM a LEFT JOIN b USING (file)""")
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = T.findings(spark, sf_dir)
-    attempts = f.groupBy("file").agg((F.count("*") % 8).alias("attempts"))
+    attempts = f.groupBy("file").agg((F.count("*") % 8).alias("attempts"), (F.count("*") % 5 == 0).alias("acknowledged"))
     return FI.tension_gate(f.where("current"), "file", "critical", attempts)
 
 
-@query(f"WITH {Q.TRENDS} SELECT project, ts, risk_grade AS grade, smell_count AS critical, (risk_grade = 'D' OR smell_count > 10) AS blocked FROM trends")
+@query(f"""WITH {Q.TRENDS}, g AS (SELECT project, ts, risk_grade AS grade, smell_count AS critical, smell_count // 12 AS open_criticals FROM trends)
+SELECT *, (open_criticals > 1 OR grade = 'D' OR critical > 10) AS blocked, CASE WHEN open_criticals > 1 THEN 'security_gate_failed' ELSE concat_ws('; ', CASE WHEN grade = 'D' THEN 'debt grade D is worse than required C' END, CASE WHEN critical > 10 THEN critical || ' critical smells exceed limit of 10' END) END AS reason FROM g""")
 def grade_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.trends(spark, sf_dir).select("project", "ts", F.col("risk_grade").alias("grade"), F.col("smell_count").alias("critical"))
-    return FI.grade_gate(rows, "C")
+    n = F.col("smell_count")
+    rows = T.trends(spark, sf_dir).select("project", "ts", F.col("risk_grade").alias("grade"), n.alias("critical"), F.floor(n / 12).alias("open_criticals"))
+    return FI.grade_gate(rows, "C", open_criticals=1)
 
 
 @query(f"""WITH {Q.FINDINGS}, c AS (SELECT severity, file, count(*) AS n FROM findings GROUP BY ALL) SELECT severity, count(*) AS files, least(count(*) FILTER (n >= 40), 10) AS details, max(n) AS most, coalesce(string_agg(file, ',' ORDER BY r) FILTER (n >= 40 AND r <= 10), '') AS worst

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
 from brindle.functions import text as X
+from brindle.operators import events as E
 from brindle.operators import findings as FI
 from brindle.operators import graph as G
 from brindle.operators import memory as M
@@ -276,6 +277,64 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(X.mentioned_files(F.col("t")), ",").alias("files"), X.mentioned_source(F.col("t")).alias("source"), X.said_smells(F.col("t")).alias("smells"))
 
 
+# ---------------------------------------------------------------- gates
+
+_GATE = f"WITH {Q.FINDINGS}, g AS (SELECT type, severity, description, unit AS file, l_orderkey % 100 AS node, l_orderkey, l_linenumber FROM findings WHERE current)"
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.findings(spark, sf_dir).where("current").drop("file").withColumnRenamed("unit", "file").withColumn("node", F.col("l_orderkey") % 100)
+
+
+@query(f"""{_GATE} SELECT node, place, type, severity, description FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY l_orderkey, l_linenumber, file, type) AS place FROM g WHERE severity IN ('high', 'critical')) WHERE place <= 5""")
+def gate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FI.gate_details(_gate(spark, sf_dir), "node", "high", ["l_orderkey", "l_linenumber", "file", "type"])
+
+
+@query(f"""{_GATE}, b AS (SELECT * FROM g WHERE severity = 'critical' AND node < 60), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY l_orderkey, l_linenumber, file, type) AS r FROM b),
+e AS (SELECT node, 'gate_blocked' AS type, {Q.pattern("file")} AS file_pattern, {Q.domain("file")} AS domain, 'critical' AS severity FROM r WHERE r <= 3
+UNION ALL SELECT node, 'gate_resolved', 'workflow/' || node, 'config', 'low' FROM (SELECT DISTINCT node FROM g WHERE node % 3 > 0) ANTI JOIN b USING (node))
+SELECT node, type, file_pattern, domain, severity, unnest(['project', 'global']) AS scope FROM e""")
+def gate_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _gate(spark, sf_dir)
+    attempts = g.select("node").distinct().withColumn("attempts", F.col("node") % 3)
+    return FI.gate_experience(g.where("node < 60"), "node", "critical", ["l_orderkey", "l_linenumber", "file", "type"], attempts)
+
+
+@query(f"""{_GATE}, s AS (SELECT node, count(*) FILTER (severity = 'critical' AND node % 2 = 0) AS critical, count(*) FILTER (severity = 'high' AND node % 3 = 0) AS high FROM g GROUP BY node)
+SELECT node, critical, high, CASE WHEN node % 5 > 0 THEN 'C' END AS grade, 'Security: ' || concat_ws(', ', CASE WHEN critical > 0 THEN critical || ' CRITICAL' END, CASE WHEN high > 0 THEN high || ' high' END) || ' findings (grade ' || CASE WHEN node % 5 > 0 THEN 'C' ELSE '?' END || ')' AS line FROM s WHERE critical > 0 OR high > 0""")
+def security_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = F.col("node")
+    n = _gate(spark, sf_dir).groupBy("node").agg(F.count_if((F.col("severity") == "critical") & (node % 2 == 0)).alias("critical"), F.count_if((F.col("severity") == "high") & (node % 3 == 0)).alias("high"))
+    return FI.security_counters(n.withColumn("grade", F.when(node % 5 > 0, "C")))
+
+
+@query("""SELECT c_custkey AS node, r AS runs, CASE WHEN NOT r THEN '' WHEN c_custkey % 4 = 0 THEN 'debt' ELSE 'smells,tensions' END AS analyses, CASE WHEN NOT r THEN 0 WHEN c_custkey % 6 = 0 THEN 100 ELSE 400 END::INTEGER AS token_budget
+FROM (SELECT c_custkey, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 5 <> 0 AS r FROM customer)""")
+def analysis_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    yes = lambda c: F.when(c, False)
+    nodes = T.load(spark, sf_dir, "customer").select(k.alias("node"), yes(k % 7 == 0).alias("available"), yes(k % 11 == 0).alias("switched_on"), yes(k % 5 == 0).alias("own_on"), F.when(k % 4 == 0, F.array(F.lit("debt"))).alias("analyses"), F.when(k % 6 == 0, 100).alias("token_budget"))
+    return FI.analysis_plan(nodes, ["smells", "tensions"]).withColumn("analyses", F.array_join("analyses", ","))
+
+
+@query("SELECT user_id % 40 AS project, count(DISTINCT event_id % 23) AS changed, CASE WHEN count(DISTINCT event_id % 23) <= 20 THEN 'incremental' ELSE 'full' END AS mode FROM events GROUP BY 1")
+def reindex_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.load(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("project"), (F.col("event_id") % 23).alias("file"))
+    return FI.reindex_plan(e, "project")
+
+
+@query(f"""WITH {Q.EDITS}, g AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, seq) AS later FROM edits) SELECT key, seq, ts + INTERVAL 6 HOUR AS stopped_at FROM g WHERE later IS NULL OR later - ts >= INTERVAL 6 HOUR""")
+def idle_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.idle_stops(T.edits(spark, sf_dir), "key", 21600)
+
+
+@query(f"""WITH {Q.NOTES}, r AS (SELECT type, id, sum(length(coalesce(body, ''))) OVER (PARTITION BY type ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM notes) SELECT type, id FROM r WHERE used <= 20000""")
+def section_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.memory_nodes(spark, sf_dir).withColumn("size", F.length(F.coalesce("body", F.lit(""))))
+    return M.pack_prefix(rows, "size", ["id"], ["type"], 20000, separator=0).select("type", "id")
+
+
 # ---------------------------------------------------------------- workflow state
 
 _LOG = """log AS (SELECT user_id AS project, event_id AS seq, ts, event_type AS to_node, event_id % 40 = 0 AS reset FROM events), ep AS (SELECT *, count(*) FILTER (reset) OVER (PARTITION BY project ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS epoch FROM log),
