@@ -31,6 +31,23 @@ def write_experience(entries: DataFrame, path: str, most: int = C.STORE_ROWS) ->
     one.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_catalog(tools: DataFrame, path: str) -> None:
+    """Tools by server: a later write replaces only the servers that it holds."""
+    tools.write.partitionBy("mcp_name").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_catalog(spark: SparkSession, path: str, mcp: str | None = None) -> DataFrame:
+    """All tools, or those of one server, for which only its partition is read."""
+    rows = spark.read.parquet(path)
+    return rows if mcp is None else rows.where(F.col("mcp_name") == mcp)
+
+
+def drop_from_catalog(spark: SparkSession, path: str, mcp: str) -> bool:
+    """Delete a server's partition; whether there was one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/mcp_name={mcp}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown notes with frontmatter: path, mtime, fields (map), lists (map), body."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
@@ -167,6 +184,21 @@ def is_workflow(text: Column) -> Column:
     return text.rlike(r"(?m)^nodes:") & text.rlike(r"(?m)^edges:")
 
 
+def list_workflows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, size) of the files under a folder that hold a workflow; the name is the text's own, else the file's."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.y*ml").option("recursiveFileLookup", "true").load(path)
+    text = F.col("content").cast("string")
+    own = F.regexp_extract(text, r"(?m)^(?:metadata:[ \t]*\n[ \t]+)?name:[ \t]*[\"']?([^\"'\n]+)", 1)
+    file = F.regexp_replace(F.substring_index("path", "/", -1), r"\.ya?ml$", "")
+    return files.where(is_workflow(text)).select("path", F.when(own != "", F.btrim(own)).otherwise(file).alias("name"), F.col("length").alias("size"))
+
+
+def prune_journal(journal: DataFrame, by: str, most: int = 100) -> DataFrame:
+    """The newest snapshots of each group, and ``place`` from the newest on."""
+    w = W.partitionBy(by).orderBy(F.desc("created_at"), F.desc("id"))
+    return journal.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= most)
+
+
 def read_trends(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of trend rows; metrics that a row lacks are null, unreadable times drop the row."""
     rows = spark.read.schema("timestamp string, project string, smell_count bigint, tension_count bigint, debt_score double, findings_count bigint, risk_grade string").json(path, multiLine=True)

@@ -195,6 +195,40 @@ def test_stores_of_files(spark, tmp_path):
     assert r["fields"] == {"name": "one", "description": "two lines", "note": "x\ny"} and r["lists"] == {"tools": ["a", "b"], "skills": ["s1", "s2"]} and r["body"] == "Text"
 
 
+def test_catalogs_by_server(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    tools = spark.createDataFrame([("m1", "a"), ("m1", "b"), ("m2", "c")], "mcp_name string, tool_name string")
+    FM.write_catalog(tools, path)
+    FM.write_catalog(spark.createDataFrame([("m1", "z")], tools.schema), path)
+    assert rows(FM.read_catalog(spark, path).select("mcp_name", "tool_name")) == [("m1", "z"), ("m2", "c")]
+    one = FM.read_catalog(spark, path, "m2")
+    assert "PartitionFilters: [isnotnull(mcp_name" in one._jdf.queryExecution().toString() and one.count() == 1
+    assert FM.drop_from_catalog(spark, path, "m1") and not FM.drop_from_catalog(spark, path, "m1")
+    assert FM.read_catalog(spark, path).count() == 1
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "flow.yaml").write_text("metadata:\n  name: 'Own name'\nnodes:\n- id: a\nedges:\n")
+    (tmp_path / "w" / "other.yml").write_text("nodes:\nedges:\n")
+    (tmp_path / "w" / "no.yaml").write_text("nodes:\n")
+    assert sorted(r["name"] for r in FM.list_workflows(spark, str(tmp_path / "w")).collect()) == ["Own name", "other"]
+    (tmp_path / "w" / "node_modules").mkdir()
+    (tmp_path / "w" / "node_modules" / "x.py").write_text("x")
+    (tmp_path / "w" / "a.py").write_text("x")
+    (tmp_path / "w" / "empty.py").write_text("")
+    (tmp_path / "w" / "big.py").write_text("x" * 50)
+    got = FM.representative_files(spark, str(tmp_path / "w"), [".py"], ["node_modules"], 20)
+    assert [r["path"].rsplit("/", 1)[1] for r in got.collect()] == ["a.py"]
+    j = spark.createDataFrame([("p", str(i), float(i)) for i in range(5)] + [("q", "9", 1.0)], "project string, id string, created_at double")
+    assert rows(FM.prune_journal(j, "project", 2).select("project", "id", "place")) == [("p", "3", 2), ("p", "4", 1), ("q", "9", 1)]
+    (tmp_path / "tr.json").write_text('[{"timestamp": "2024-01-01T00:00:00", "project": "p", "smell_count": 3}, {"timestamp": "soon", "project": "p"}, {"project": "p"}]')
+    r = FM.read_trends(spark, str(tmp_path / "tr.json")).collect()
+    assert len(r) == 1 and r[0]["smell_count"] == 3 and r[0]["debt_score"] is None and r[0]["ts"] == datetime(2024, 1, 1)
+    paths = spark.createDataFrame([("/a/b_c",), ("/a/bxc",), ("/a/b_cd",)], "p string")
+    assert FM.scoped_count(paths, "p", "/a/b_c") == 2
+
+
 def test_workflow_texts(spark):
     text = "nodes:\n  - id: a\n    name: First\n    is_start: true\n    tools_blocked: [x, y]\n  - id: b\n    is_end: true\nedges:\n  - id: e\n    from: a\n    to: b\n    condition:\n      type: always\n    priority: 1\n"
     assert rows(FM.blocked_tools(spark, text)) == [("a", ["x", "y"]), ("b", [])]
