@@ -127,8 +127,12 @@ def tree(sets: list[np.ndarray]) -> Node:
     return level[0]
 
 
-def traverse(sets: list[np.ndarray], t: float = THRESHOLD) -> tuple[Union, int]:
-    """Union of linked sets (by index) and the number of exact comparisons made."""
+def traverse(sets: list[np.ndarray], t: float = THRESHOLD, links: list | None = None) -> tuple[Union, int]:
+    """Union of linked sets (by index) and the number of exact comparisons made.
+
+    With a list for ``links`` no pair is passed over because its sets are in one class already,
+    and every linked pair of indices is put into it.
+    """
     union, compared = Union(), 0
     for i in range(len(sets)):
         union.find(i)
@@ -146,8 +150,8 @@ def traverse(sets: list[np.ndarray], t: float = THRESHOLD) -> tuple[Union, int]:
             a, b = b, a
         if a.most < t * b.least - 1e-9:
             continue
-        one = union.find(a.few[0])
-        if all(union.find(i) == one for i in a.few) and all(union.find(i) == one for i in b.few):
+        one = union.find(a.few[0]) if links is None else None
+        if links is None and all(union.find(i) == one for i in a.few) and all(union.find(i) == one for i in b.few):
             continue
         if int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.slack, b.slack) < need(a.least, b.least, t):
             continue
@@ -160,6 +164,8 @@ def traverse(sets: list[np.ndarray], t: float = THRESHOLD) -> tuple[Union, int]:
             compared += 1
             if linked(sets[a.kids], sets[b.kids], t):
                 union.join(a.kids, b.kids)
+                if links is not None:
+                    links.append((a.kids, b.kids))
     return union, compared
 
 
@@ -394,8 +400,8 @@ def _units(nodes: DataFrame, sizes: DataFrame, t: float) -> tuple[DataFrame, boo
     return small.unionByName(cut.select("key", "unit", "root")), True, n
 
 
-def _links(docs: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(a, n_shingles, key) of every row, and (u, v): sets and the set that they are linked with."""
+def _links(docs: DataFrame, text_col: str, threshold: float, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a, n_shingles, key) of every row, and (u, v): sets and a set of their class, or all linked pairs (``every``)."""
     first = spill(_first_pass(docs, "a", text_col), "jaccard-sets")
     rows = first.where("kind = 0").select("a", F.col("n").alias("n_shingles"), "key", "other")
     twin = rows.groupBy("key").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("key")
@@ -425,12 +431,20 @@ def _links(docs: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame,
         us, vs = [], []
         for own in by_root.values():
             names = sorted(own)
+            if every:
+                found: list[tuple[int, int]] = []
+                traverse([own[k] for k in names], threshold, found)
+                us += [names[min(x)] for x in found]
+                vs += [names[max(x)] for x in found]
+                continue
             union, _ = traverse([own[k] for k in names], threshold)
             us += names
             vs += [names[union.find(i)] for i in range(len(names))]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     found = spill(given.groupBy("unit").applyInArrow(link, "u bigint, v bigint"), "jaccard-links")
+    if every:
+        return rows, found.distinct()
     if cut:
         found = components(found).select(F.col("node").alias("u"), F.col("root").alias("v"))
     return rows, found.where("u <> v")
@@ -447,6 +461,18 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("a").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("a")).alias("component_id"))
 
 
+def pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The join itself: (one, other) for each link between different sets, each named by the least id of its rows (one < other).
+
+    Rows of equal sets are not expanded; ``classes`` tells which class they are of. A cluster of m
+    different sets that all link gives m (m - 1) / 2 rows, since those are its links.
+    """
+    rows, found = _links(docs.select(F.col(f"`{id_col}`").alias("a"), F.col(f"`{text_col}`").alias("t")), "t", threshold, every=True)
+    name = spill(rows.where("n_shingles > 0").groupBy("key").agg(F.min("a").alias("a")), "jaccard-names")
+    out = found.join(name.select(F.col("key").alias("u"), F.col("a").alias("x")), "u").join(name.select(F.col("key").alias("v"), F.col("a").alias("y")), "v")
+    return out.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("other"))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near-duplicates: of each class one row of the least id stays.
 

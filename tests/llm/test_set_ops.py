@@ -97,6 +97,20 @@ def test_jaccard_with_hot_shingles_and_clashing_keys(spark, monkeypatch):
     assert jaccard.set_key(sets[0], frozenset([one[0]])) == one[1] and jaccard.set_key(sets[1], frozenset([one[0]])) == other[0]
 
 
+@pytest.mark.parametrize("size", [jaccard.BYTES, 9000])
+def test_jaccard_pairs_are_all_links(spark, size, monkeypatch):
+    monkeypatch.setattr(jaccard, "BYTES", size)
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    texts = corpus(8)
+    sets = {}
+    for i, t in enumerate(texts):
+        w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        if w:
+            sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))), i)
+    want = sorted((i, j) for a, i in sets.items() for b, j in sets.items() if i < j and 100 * len(a & b) >= 75 * len(a | b))
+    assert sorted(map(tuple, jaccard.pairs(docs_of(spark, texts).repartition(3)).collect())) == want and len(want) > 20
+
+
 def test_jaccard_keeps_one_of_each_class(spark):
     texts = corpus(3)
     ids = list(range(len(texts)))
@@ -406,6 +420,25 @@ def test_shards(spark, tmp_path):
     assert sharding.shard(d.limit(0), 4).count() == 0
 
 
+def test_shards_equal_a_greedy_assignment(spark):
+    got = queries.op5_shard(spark, "/root/testdata/sf0.001").collect()
+    weight = collections.defaultdict(lambda: [0, 0])
+    for r in got:
+        weight[r["vslot"]][0] += r["size"]
+        weight[r["vslot"]][1] += 1
+    loads, of = [0] * queries.SHARDS, {}
+    for size, v, _ in sorted(((b, v, n) for v, (b, n) in weight.items()), reverse=True):
+        of[v] = loads.index(min(loads))
+        loads[of[v]] += size
+    assert all(r["shard"] == of[r["vslot"]] for r in got)
+    place = collections.Counter()
+    for r in sorted(got, key=lambda r: (r["shard"], r["vslot"], r["doc_id"], r["text_crc32"], r["size"])):
+        assert r["slot"] == place[r["shard"]]
+        place[r["shard"]] += 1
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+
+
 def test_pipeline_stages(spark):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
