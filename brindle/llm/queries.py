@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can say it."""
+"""The operators as queries over whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, curves, jaccard, packing, quality, records, secrets, sharding, substrings, templates
+from brindle.llm import bpe, curves, jaccard, languages, packing, quality, records, resampling, secrets, sharding, substrings, templates, tries
 from brindle.llm.common import table
 
 #: Shards of op5, tokens of a window of op7.
@@ -71,6 +71,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs), work=digest, schema="n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    lead = F.crc32(conv.cast("string").cast("binary")) % 4
+    return tries.trie(*tries.rebuilt(tries.places(table(spark, sf_dir, "conversations")), conv - conv % 20, lead, most=3))
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = languages.learn(docs, teaches=part != 1)
+    held_out = F.coalesce(part == 1, F.lit(False)).alias("held_out")
+    return languages.identify(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_records": op1_records,
     "op2_substrings": op2_substrings,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_templates": op9_templates,
     "op10_secrets": op10_secrets,
+    "op11_resample": op11_resample,
+    "op12_trie": op12_trie,
+    "op13_languages": op13_languages,
 }
 
 # Words as in the operators' contracts, windows and shingles compared as whole sequences.
