@@ -2,109 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from brindle.functions import constants as C
-
-
-def fold(rows: DataFrame, key: list[str], order: list[str], out: list[str], make: Callable[[], Callable[[tuple], tuple | None]]) -> DataFrame:
-    """Rows of each key in order through a step with a state of its own; ``make`` gives a key's step.
-
-    A step takes a row's values (in the order of ``rows``) and returns those that it adds, or None
-    to drop the row. ``out`` names kept and added columns, as a schema for the added ones
-    (``name type``). Keys are dealt out and sorted by Spark; a task holds one key's state at a time.
-    """
-    names = rows.columns
-    kept = [c for c in out if " " not in c]
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [c for c in out if " " in c])
-    arrow = to_arrow_schema(rows.select(*kept).schema)
-    added = [c.split()[0] for c in out if " " in c]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, step = None, None
-        for b in batches:
-            keys = list(zip(*(b[k].to_pylist() for k in key), strict=True))
-            got, at = [], []
-            for i, (k, row) in enumerate(zip(keys, zip(*(b[c].to_pylist() for c in names), strict=True), strict=True)):
-                if step is None or k != last:
-                    last, step = k, make()
-                if (more := step(row)) is not None:
-                    at.append(i)
-                    got.append(more)
-            index = pa.array(at, pa.int64())
-            cols = {c: b[c].take(index).cast(arrow.field(c).type) for c in kept} | {c: pa.array([g[k] for g in got], pa.int32()) for k, c in enumerate(added)}
-            yield pa.RecordBatch.from_pydict(cols)
-
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, *order)
-    return dealt.mapInArrow(run, schema)
+from brindle.operators import segmented
 
 
 def _timed(events: DataFrame, key: list[str], *more: str) -> DataFrame:
-    return events.select(*key, (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "seq", *more)
+    return events.select(*key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq", *more)
 
 
 def throttle(events: DataFrame, key: str = "key", seconds: float = C.THROTTLE_S) -> DataFrame:
     """Accepted events: at least so long after the last accepted one."""
-
-    def make():
-        last = None
-
-        def step(row):
-            nonlocal last
-            if last is not None and row[1] - last < seconds:
-                return None
-            last = row[1]
-            return ()
-
-        return step
-
-    return fold(_timed(events, [key]), [key], ["t", "seq"], [key, "seq"], make)
+    return segmented.fold(_timed(events, [key]), [key], ["t", "seq"], "t", [key, "seq"], segmented.Throttle(int(seconds * 1e6)))
 
 
 def cooldown(events: DataFrame, key: list[str], seconds: float = C.COOLDOWN_S) -> DataFrame:
     """Emitted events by key: strictly longer after the last emitted one."""
-    at = len(key)
-
-    def make():
-        last = None
-
-        def step(row):
-            nonlocal last
-            if last is not None and row[at] - last <= seconds:
-                return None
-            last = row[at]
-            return ()
-
-        return step
-
-    return fold(_timed(events, key), key, ["t", "seq"], [*key, "seq"], make)
+    return segmented.fold(_timed(events, key), key, ["t", "seq"], "t", [*key, "seq"], segmented.Throttle(int(seconds * 1e6), strict=True))
 
 
 def batch_trigger(events: DataFrame, key: str = "key", seconds: float = C.BATCH_S, files: int = C.BATCH_FILES) -> DataFrame:
     """(key, seq, n_files) of events that fire a batch: so long after its first edit, or so many files."""
-
-    def make():
-        first, got = None, set()
-
-        def step(row):
-            nonlocal first
-            first = row[1] if first is None else first
-            got.add(row[3])
-            if row[1] - first < seconds and len(got) < files:
-                return None
-            n, first = len(got), None
-            got.clear()
-            return (n,)
-
-        return step
-
-    return fold(_timed(events, [key], "file"), [key], ["t", "seq"], [key, "seq", "n_files int"], make)
+    return segmented.fold(_timed(events, [key], "file"), [key], ["t", "seq"], "t", [key, "seq"], segmented.Batch(int(seconds * 1e6), files), extra="file")
 
 
 def sessions(events: DataFrame, key: str = "key", seconds: float = C.SESSION_S) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from brindle.operators import segmented
 from brindle.session import spill
 
-#: Dependencies of a node's graph up to which one task peels it.
+#: Dependencies of a graph up to which one task peels it.
 GROUP = 100_000
 
 
@@ -92,42 +96,105 @@ def unknown_needs(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 def cycle_residual(deps: DataFrame) -> DataFrame:
     """Tasks that can't be put in order: those on cycles and all that need them.
 
-    A node's graph is peeled inside its group, one Arrow group a node; graphs of more than
-    ``GROUP`` dependencies are peeled by joins instead, one shared table a round.
+    Graphs whose dependencies all lead to lower (or all to higher) tasks have an order and go no further.
+    The others are peeled by tasks that hold many whole graphs at once; graphs of more than ``GROUP``
+    dependencies are contracted by joins instead.
     """
     rows = deps.select("node", "task", "needs").distinct()
-    large = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("node")
-    large = spill(large, "graph-large")
+    per = rows.groupBy("node").agg(F.count("*").alias("n"), F.bool_or(F.col("needs") >= F.col("task")).alias("up"), F.bool_or(F.col("needs") <= F.col("task")).alias("down"))
+    mixed = spill(per.where("up and down").select("node", (F.col("n") > GROUP).alias("large")), "graph-mixed")
     kind = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
-
-    def peel(group: pa.Table) -> pa.Table:
-        node, task, needs = (group[c].to_pylist() for c in ("node", "task", "needs"))
-        open_needs, users = Counter(task), defaultdict(list)
-        for t, n in zip(task, needs, strict=True):
-            users[n].append(t)
-        free = [t for t in users if not open_needs[t]]
-        while free:
-            for t in users.pop(free.pop(), ()):
-                open_needs[t] -= 1
-                if not open_needs[t]:
-                    free.append(t)
-        left = [t for t, n in open_needs.items() if n > 0]
-        return pa.table({"node": pa.array(node[:1] * len(left), group["node"].type), "task": pa.array(left, group["task"].type)})
-
-    if large.isEmpty():
-        return rows.groupBy("node").applyInArrow(peel, f"node {kind['node']}, task {kind['task']}")
-    small = rows.join(large, "node", "left_anti").groupBy("node").applyInArrow(peel, f"node {kind['node']}, task {kind['task']}")
-    return small.unionByName(_peel_by_joins(rows.join(large, "node", "left_semi")))
-
-
-def _peel_by_joins(rows: DataFrame) -> DataFrame:
-    """Each round drops the dependencies on tasks without open needs, and ends in a shared table."""
-    left, n = spill(rows, "graph-peel"), -1
-    while (now := left.count()) not in (n, 0):
-        n = now
-        open_tasks = left.select("node", F.col("task").alias("needs")).distinct()
-        left = spill(left.join(open_tasks, ["node", "needs"], "left_semi").select("node", "task", "needs"), "graph-peel")
-    return left.select("node", "task").distinct()
+    small = rows.join(mixed.where("not large"), "node", "left_semi").repartition("node").sortWithinPartitions("node")
+    arrow = to_arrow_schema(rows.select("node", "task").schema)
+
+    def peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in segmented.whole_groups(batches, ["node"]):
+            graph = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            left = t.select(["node", "task"]).take(pa.array(_unordered(graph, t["task"], t["needs"])))
+            yield left.cast(arrow).combine_chunks().to_batches()[0] if left.num_rows else pa.RecordBatch.from_pylist([], schema=arrow)
+
+    out = small.mapInArrow(peel, f"node {kind['node']}, task {kind['task']}")
+    large = mixed.where("large")
+    return out if large.isEmpty() else out.unionByName(contract(rows.join(large, "node", "left_semi")).rows)
+
+
+def _unordered(graph: np.ndarray, task: pa.ChunkedArray, needs: pa.ChunkedArray) -> np.ndarray:
+    """One row of each task that can't be put in order, in many graphs at once: rounds over the tasks without open needs."""
+    n = len(graph)
+    names = pa.chunked_array([*task.chunks, *needs.chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+    _, ids = np.unique(np.concatenate([graph, graph]) * (int(names.max(initial=0)) + 1) + names, return_inverse=True)
+    user, need = ids[:n], ids[n:]
+    open_needs = np.bincount(user, minlength=ids.max(initial=-1) + 1)
+    by_need = np.argsort(need, kind="stable")
+    first = np.searchsorted(need[by_need], np.arange(len(open_needs) + 1))
+    free = np.flatnonzero(open_needs == 0)
+    while len(free):
+        size = first[free + 1] - first[free]
+        at = np.repeat(first[free] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        hit, times = np.unique(user[by_need[at]], return_counts=True)
+        open_needs[hit] -= times
+        free = hit[open_needs[hit] == 0]
+    stuck, row = np.unique(user, return_index=True)
+    return row[open_needs[stuck] > 0]
+
+
+class Contracted(NamedTuple):
+    rows: DataFrame
+    rounds: int
+
+
+def contract(deps: DataFrame) -> Contracted:
+    """The residual of large graphs by joins alone, and how many tables were written one after the other.
+
+    A task with one need is in the residual just if that need is. So all tasks of one need are taken
+    out at once: pointers along their needs are followed, each round four times as far, to a task with
+    several needs, to a task without any, or for ever, which is a cycle. Dependencies then lead to where
+    the pointers end; those on tasks without needs go. Tasks that are left with one need are taken out
+    in the next phase. When nothing changes any more, every task needs one that is left: all are in the residual.
+    A chain takes a logarithmic number of rounds; in other graphs a phase is at least a round of peeling.
+    """
+    left, rounds, phases = spill(deps.select("node", "task", "needs").distinct(), "graph-left"), 1, []
+    while True:
+        degree = spill(left.groupBy("node", "task").agg(F.count("*").alias("n"), F.min("needs").alias("at")), "graph-degrees")
+        n_tasks, n_deps, n_single = degree.agg(F.count("*"), F.sum("n"), F.count_if(F.col("n") == 1)).first()
+        rounds += 1
+        if not n_tasks:
+            stuck = left.select("node", "task")
+            break
+        several = degree.where("n > 1").select("node", F.col("task").alias("at"), F.lit(True).alias("several"))
+        ends, reached = degree.where("n = 1").select("node", "task", "at"), 1
+        if n_single:
+            moved = True
+            while moved and reached <= 2 * n_single:
+                ends = spill(_further(_further(ends.select("node", "task", "at"))), "graph-pointers")
+                moved, reached, rounds = not ends.where("moved").isEmpty(), 4 * reached, rounds + 1
+            # Pointers that still move after more steps than there are tasks go round.
+            ends = ends.join(several, ["node", "at"], "left").select("node", "task", "at", F.col("moved").alias("cycle"), F.coalesce("several", F.lit(False)).alias("several"))
+            phases.append(ends)
+        else:
+            ends = ends.select("node", "task", "at", F.lit(False).alias("cycle"), F.lit(False).alias("several"))
+        to = ends.select("node", F.col("task").alias("needs"), F.col("at").alias("end"), "cycle", F.col("several").alias("goes_on"))
+        kept = left.join(degree.where("n > 1").select("node", "task"), ["node", "task"], "left_semi")
+        kept = kept.join(to, ["node", "needs"], "left").join(several.withColumnRenamed("at", "needs"), ["node", "needs"], "left")
+        # A need on a cycle becomes a need of oneself.
+        need = F.when(F.col("cycle"), F.col("task")).when(F.col("goes_on"), F.col("end")).when(F.col("several"), F.col("needs"))
+        left = spill(kept.select("node", "task", need.alias("needs")).where("needs is not null").distinct(), "graph-left")
+        rounds += 1
+        if not n_single and left.count() == n_deps:
+            stuck = left.select("node", "task").distinct()
+            break
+    for ends in reversed(phases):
+        later = stuck.select("node", F.col("task").alias("at"))
+        stuck = stuck.unionByName(ends.where("cycle").select("node", "task")).unionByName(ends.where("several and not cycle").join(later, ["node", "at"], "left_semi").select("node", "task"))
+        stuck = spill(stuck, "graph-stuck")
+        rounds += 1
+    return Contracted(stuck, rounds)
+
+
+def _further(pointers: DataFrame) -> DataFrame:
+    """Each pointer goes on to where the pointer of its end leads; ``moved``: there was one."""
+    next_ = pointers.select("node", F.col("task").alias("at"), F.col("at").alias("next"))
+    return pointers.select("node", "task", "at").join(next_, ["node", "at"], "left").select("node", "task", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("moved"))
 
 
 def visits(log: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import constants as C
 from brindle.functions import scoring as S
 from brindle.functions import text as X
-from brindle.operators.events import fold
+from brindle.operators import segmented
 
 
 def expired(ttl: Column, mtime: Column, as_of: Column) -> Column:
@@ -53,22 +53,8 @@ def pack_prefix(rows: DataFrame, size: str, order: list, by: list[str], budget:
 
 def pack_skipping(rows: DataFrame, size: str, order: list[str], by: str, key: str, budget: int) -> DataFrame:
     """Rows that fit one after the other, those that don't fit skipped; a group's state is one number."""
-    place = [*dict.fromkeys([by, key, size, *order])]
-    at = place.index(size)
-
-    def make():
-        used = 0
-
-        def step(row):
-            nonlocal used
-            if used + row[at] > budget:
-                return None
-            used += row[at]
-            return ()
-
-        return step
-
-    return fold(rows.select(*place), [by], order, [by, key], make)
+    sized = rows.withColumn("_size", F.col(size).cast("bigint"))
+    return segmented.fold(sized, [by], order, "_size", [by, key], segmented.Budget(budget))
 
 
 def cut_to_budget(rows: DataFrame, text: str, order: list[str], by: str, tokens: int, least: int = 50) -> DataFrame:
