@@ -109,6 +109,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of a text's UTF-8 bytes, with the table of its 256 steps.
+CRC_TABLE = "SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)"
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(@) + 1), lambda i: CAST('0x' || substr(hex(encode(@)), 2 * i - 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"""
+TERMS = rf"coalesce(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
 ORACLES: dict[str, str] = {
     "op2_substrings": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
@@ -130,5 +135,37 @@ edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM reach r JOIN edge e ON r.b = e.x)
 SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id""",
+    "op11_resample": f"""
+WITH k AS ({CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w FROM documents),
+b AS (SELECT {TERMS} AS w FROM benchmark),
+fd AS (SELECT rid, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, range(1, 4) AS t(n))),
+fb AS (SELECT array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, range(1, 4) AS t(n))),
+h AS (SELECT s, {CRC.replace("@", "s")} % 10000 AS bucket FROM (SELECT s FROM fd UNION SELECT s FROM fb), k),
+sb AS (SELECT bucket, count(*) AS n FROM fd JOIN h USING (s) GROUP BY bucket),
+tb AS (SELECT bucket, count(*) AS n FROM fb JOIN h USING (s) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM fd) + 10000.0::DOUBLE AS s, (SELECT count(*) FROM fb) + 10000.0::DOUBLE AS t),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(tb.n, 0) + 1)::DOUBLE * total.s / ((sb.n + 1)::DOUBLE * total.t))) AS BIGINT) AS gain FROM sb LEFT JOIN tb USING (bucket), total),
+w AS (SELECT rid, count(*) AS n, sum(gain) AS weight FROM fd JOIN h USING (s) JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(w.n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (rid)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, n_words >= 20 AND doc_id IS NOT NULL AS open FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY open) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND r <= 5 * n // 100 THEN r END AS rank FROM z""",
+    "op12_trie": f"""
+WITH k AS ({CRC_TABLE}),
+t AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS g, {CRC.replace("@", "s")} % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t), k),
+r AS (SELECT c.conv_id, 0 AS own, place, digest, words FROM c JOIN o ON o.conv_id = c.g AND place < h
+  UNION ALL SELECT conv_id, 1, place, digest, words FROM c JOIN o USING (conv_id) WHERE place >= h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS key, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)),
+n AS (SELECT conv_id, max(depth) AS n FROM s GROUP BY conv_id),
+p AS (SELECT s.*, depth = n AS ends FROM s JOIN n USING (conv_id) UNION ALL SELECT conv_id, 0, '', 0, n IS NULL FROM c LEFT JOIN n USING (conv_id)),
+nodes AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY key, depth),
+kids AS (SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+sub AS (SELECT left(key, 64 * j) AS key, sum((n_convs - 1) * words) AS saved, count_if(n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS j FROM own) GROUP BY 1)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN sub USING (key) LEFT JOIN nodes up ON own.depth > 0 AND up.key = left(own.key, 64 * (own.depth - 1))""",
 }
-
