@@ -109,6 +109,8 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
         head_of = (head_of if goes_on and e["runs"] == 1 else e["head_of"]) if head else None
         before, n_rows, n_runs = e["high"], n_rows + e["n"], n_runs - goes_on + e["runs"]
         totals = [t + e[f"sum_{c}"] for t, c in zip(totals, sums, strict=True)]
+    if len(carried) < 2:  # one task, which began with nothing
+        return Ordered(got.drop("pid", "first"), n_rows, n_runs)
     more = "pid int, row_0 bigint, run_0 bigint, at_0 bigint, head_0 bigint, goes_on boolean" + "".join(f", total_{i} bigint" for i in range(len(sums)))
     small = F.broadcast(rows.sparkSession.createDataFrame(carried, more))  # one row a task
     on = F.col("first") & F.col("goes_on")

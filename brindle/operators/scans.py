@@ -10,20 +10,12 @@ from pyspark.sql.types import StringType
 
 from brindle.functions import constants as C
 from brindle.functions import text as X
+from brindle.operators import patterns
 
 
 def rule_scan(rows: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
-    """Per text and rule with a match: how many, and the line of the first.
-
-    A text is split by each rule once; the first part gives the line, so no text leaves its row.
-    """
-
-    def found(name: str, rule: str) -> Column:
-        parts = F.array(F.split(text, rule))
-        return F.transform(parts, lambda p: F.struct(F.lit(name).alias("rule"), (F.size(p) - 1).cast("bigint").alias("n"), (F.length(p[0]) - F.length(F.replace(p[0], F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line")))[0]
-
-    hits = F.filter(F.array(*[found(name, rule) for name, rule in rules.items()]), lambda x: x["n"] > 0)
-    return rows.select(key, F.explode(hits).alias("x")).select(key, "x.rule", "x.n", "x.line")
+    """Per text and rule with a match: how many, and the line of the first."""
+    return patterns.scan(rows, key, text, rules)
 
 
 def checklist(entries: DataFrame, task: str, least: int) -> DataFrame:

@@ -33,6 +33,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.vector_topk(T.load(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10, key="vec_id")
 
 
+@query("""SELECT query, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM (
+SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE rank <= 10""")
+def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.load(spark, sf_dir, "embeddings")
+    return SE.vector_topk_many(rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10, key="vec_id")
+
+
 @query("""SELECT label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
 SELECT label, vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)) WHERE rank <= 3""")
 def vector_topk_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
