@@ -57,7 +57,7 @@ def register(spark: SparkSession, name: str = "parse_workflow") -> None:
 
 
 def read_workflows(spark: SparkSession, path: str, pattern: str = "*.y*ml") -> DataFrame:
-    """(path, then the columns of ROW) of every workflow text below a folder; broken ones are rows with an error."""
+    """(path, then the columns of ROW) of every workflow text below a folder; broken ones are rows with an error (files of no bytes, which Spark skips, have none)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     files = files.select("path", F.col("content").cast("string").alias("text"))
     return files.lateralJoin(ParseWorkflow(F.col("text").outer())).drop("text")

@@ -141,7 +141,7 @@ def test_a_folder_of_workflows_is_one_table(spark, tmp_path):
     for i in range(1000):
         d = tmp_path / f"d{i % 7}"
         d.mkdir(exist_ok=True)
-        bad = {3: "nodes:\n  - id: a\n      x: 1\n", 5: "just text", 8: "", 11: "nodes:\n  - name: no id\n", 13: "- a\n- b\n"}
+        bad = {3: "nodes:\n  - id: a\n      x: 1\n", 5: "just text", 8: " \n", 11: "nodes:\n  - name: no id\n", 13: "- a\n- b\n"}
         (d / f"w{i}.yaml").write_text(bad.get(i, GOOD.replace("name: w", f"name: w{i}")))
     (tmp_path / "old.yml").write_text("steps:\n  - id: s\n    name: S\n    tools_blocked: [x, y]\n")
     got = WF.read_workflows(spark, str(tmp_path))
