@@ -8,7 +8,8 @@ of one; the logarithm of its likelihood ratio under the two models, per characte
 reach ``THRESHOLD`` and it needs a digit and a letter. Of a run that doesn't reach it, stretches
 of 20 or more characters count that do and that exceed it by ``EXCESS`` in all: a key among the
 words of a path is found at any length of the path. Such a stretch is taken from joint to joint
-(``/_=-``). Base spans always stay.
+(``/_=-``); stretches are disjoint, and what follows one is scanned on its own. Base spans always
+stay. Time is linear in a text's length and its base spans.
 
 Positions are code points, ends exclusive. Null texts count as empty: no spans. Texts are
 scanned whole; repeated rows are scanned each; an empty table gives no rows.
@@ -103,22 +104,24 @@ class Scanner:
         return float(self.ratio[at[:-1], at[1:]].mean()) if len(at) > 1 else 0.0
 
     def stretches(self, s: str) -> list[tuple[int, int]]:
-        """The whole of a run, if it counts as random, or else the parts of it that do."""
+        """The whole of a run, if it counts as random, or else the parts of it that do, disjoint and in order."""
         if not mixed(s):
             return []
         if self.score(s) >= self.threshold:
             return [(0, len(s))]
         at = Markov.places(s)
+        gains = [*(self.ratio[at[:-1], at[1:]] - self.threshold).tolist(), -math.inf]
         out: list[tuple[int, int]] = []
-        total, start, best, peak, floor = 0.0, 0, 0.0, 0, 0  # one pass, whatever the run's length
+        total, start, best, peak, floor, i = 0.0, 0, 0.0, 0, 0, 0
         # A stretch begins where the sum leaves zero and ends at its peak, once the sum falls EXCESS below.
-        for i, gain in enumerate([*(self.ratio[at[:-1], at[1:]] - self.threshold).tolist(), -math.inf]):
-            total += gain
+        # Whatever is widened to its joints is done with, so each character is passed a few times at most.
+        while i < len(gains):
+            total += gains[i]
             if total > best:
                 best, peak = total, i + 1
             if total <= 0 or total < best - EXCESS:
                 if best >= EXCESS:
-                    a, b = start, peak + 1
+                    a, b = start, min(peak + 1, len(s))
                     while a < b and s[a] in JOINTS:
                         a += 1
                     while a > floor and s[a - 1] not in JOINTS:
@@ -129,8 +132,10 @@ class Scanner:
                         b += 1
                     if b - a >= LEAST and mixed(s[a:b]):
                         out.append((a, b))
-                        floor = b
+                    floor = b
+                    i = max(i, b - 1)
                 total, start, best = 0.0, i + 1, 0.0
+            i += 1
         return out
 
     def spans(self, text: str) -> list[Span]:
@@ -180,15 +185,17 @@ def word_counts(text: str) -> np.ndarray:
     at = Markov.places(text)
     letter = np.zeros(len(at) + 2, bool)
     letter[1:-1] = at < 52
-    blank = []
-    for a, b, _ in base_spans(text):
-        while a and letter[a]:
-            a -= 1
-        while b < len(at) and letter[b + 1]:
-            b += 1
-        blank.append((a, b))
-    for a, b in blank:
-        letter[a + 1 : b + 1] = False
+    spans = base_spans(text)
+    if spans:
+        edge = np.diff(letter.astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # Runs of letters that end at a span's start or later and start at its end or earlier are touched.
+        touched = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(touched, np.searchsorted(ends, [a for a, _, _ in spans], "left"), 1)
+        np.add.at(touched, np.searchsorted(starts, [b for _, b, _ in spans], "right"), -1)
+        gone = np.cumsum(touched[:-1]) > 0
+        size = (ends - starts)[gone]
+        letter[np.repeat(starts[gone] - np.cumsum(size) + size, size) + np.arange(size.sum()) + 1] = False
     before, here, after = letter[:-2], letter[1:-1], letter[2:]
     out = np.zeros((3, SIZE * SIZE), np.int64)
     for part, i in ((FIRST, np.flatnonzero(~before & here & after)), (LATER, np.flatnonzero(before & here & after))):

@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map. DataFrame functions only.
 
 A record's virtual slot is a hash of its id, size and text checksum, so no key or group of
-copies with different ids lands in one slot. Bytes are summed up per slot; the map gives
+copies with different ids lands in one slot; rows that are equal in all of these are told apart by
+where they were read, so that they don't share a slot either. Bytes are summed up per slot; the map gives
 each slot, largest first, to the shard with the fewest bytes. Its size is the number of
 slots, whatever the number of records. Adding a shard edits the map: slots move only to the
 new shard, until it holds its share, and the edited map is stored as the next version.
@@ -27,7 +28,22 @@ def records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """id, size (UTF-8 bytes plus 1), text_crc32 and vslot of every row."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = pick(docs, id_col, text_col).select(F.col(id_col), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(slots)).cast("int"))
+    return rows.withColumn("vslot", _slot(slots, id_col, "size", "text_crc32"))
+
+
+def _slot(slots: int, *of: str) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(slots)).cast("int")
+
+
+def spread(rows: DataFrame, slots: int) -> DataFrame:
+    """Deal rows that are equal in id, size and checksum out to slots of their own; ``rows`` come from a table."""
+    id_col = rows.columns[0]
+    key = [id_col, "size", "text_crc32"]
+    many = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)], F.lit(True).alias("_many"))
+    same = F.col(id_col).eqNullSafe(F.col("_0")) & (F.col("size") == F.col("_1")) & (F.col("text_crc32") == F.col("_2"))
+    placed = rows.withColumn("_at", F.monotonically_increasing_id()).join(many, same, "left")
+    own = _slot(slots, *key, "_at")
+    return placed.select(*key, F.when(F.col("_many"), own).otherwise(F.col("vslot")).alias("vslot"))
 
 
 def _weights(rows: DataFrame) -> DataFrame:
@@ -91,7 +107,8 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     more than one virtual slot's rows at once.
     """
     spark = docs.sparkSession
-    rows = spill(records(docs, id_col=id_col, text_col=text_col, slots=slots), "shard-records")
+    read = spill(records(docs, id_col=id_col, text_col=text_col, slots=slots), "shard-records")
+    rows = spill(spread(read, slots), "shard-slots")
     path = save_map(assign(_weights(rows), shards), map_path or store_dir(spark, "slot-map"), 1)
     slot_map = load_map(spark, path)
     before = F.sum("n").over(W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1))

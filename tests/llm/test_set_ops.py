@@ -420,6 +420,19 @@ def test_shards(spark, tmp_path):
     assert sharding.shard(d.limit(0), 4).count() == 0
 
 
+def test_equal_rows_are_dealt_out(spark):
+    """One repeated row makes up most of the bytes; loads stay near equal."""
+    rows = [(7, "the same row " * 20)] * 4000 + [(None, "no id")] * 500 + [(i, f"row {i}") for i in range(100, 400)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), 16).collect()
+    assert len(got) == len(rows)
+    loads, places = {}, {}
+    for r in got:
+        loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+    assert max(loads.values()) - min(loads.values()) <= 0.02 * sum(loads.values()) / 16 + 261
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+
+
 def test_shards_equal_a_greedy_assignment(spark):
     got = queries.op5_shard(spark, "/root/testdata/sf0.001").collect()
     weight = collections.defaultdict(lambda: [0, 0])

@@ -317,6 +317,68 @@ def test_secrets_in_paths_and_beside_base_spans():
     assert [s[2] for s in scanner.spans(two)][:2] == ["hex", "markov"] and key not in secrets.redact(two, scanner.spans(two))
 
 
+def ordinary_words():
+    return sorted(set(re.findall("[A-Za-z]{3,}", inspect.getsource(argparse).lower())))
+
+
+def trained_scanner():
+    return secrets.Scanner(secrets.ordinary(secrets.word_counts(" ".join(ordinary_words())).astype(float)), secrets.random_strings())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(ordinary_words()), st.sampled_from([*SECRETS, "/", "_", "-", "=", " ", "0123456789abcdef"]), st.sampled_from(secrets.random_strings(40, seed=8))), max_size=40), st.sampled_from(["", "/", "_"]))
+def test_added_spans_are_disjoint_ascending_and_outside_base_spans(parts, joint):
+    text = joint.join(parts)
+    spans = trained_scanner().spans(text)
+    added = [(a, b) for a, b, k in spans if k == "markov"]
+    assert all(b <= c for (_, b), (c, _) in zip(added, added[1:], strict=False)) and all(b - a >= secrets.LEAST for a, b in added)
+    base = secrets.base_spans(text)
+    assert [s for s in spans if s[2] != "markov"] == base
+    assert all(b <= x or y <= a for a, b in added for x, y, _ in base)
+
+
+def test_two_keys_with_words_between_them_are_spans_that_do_not_overlap():
+    scanner, words = trained_scanner(), ordinary_words()
+    rng = np.random.default_rng(1)
+    for n in range(20, 200, 9):
+        between = "".join(words[i] for i in rng.integers(0, len(words), 60).tolist())[:n]
+        a, b = secrets.random_strings(2, seed=n)
+        added = [s[:2] for s in scanner.spans(a + between + b) if s[2] == "markov"]
+        assert all(x[1] <= y[0] for x, y in zip(added, added[1:], strict=False))
+
+
+def test_long_runs_take_linear_time():
+    scanner, words = trained_scanner(), ordinary_words()
+    rng = np.random.default_rng(2)
+    plain = "".join(words[i] for i in rng.integers(0, len(words), 220_000).tolist())[: 1 << 20]
+    keys = "".join(secrets.random_strings(3000, seed=5)[i] + plain[300 * i : 300 * i + 250] for i in range(3000))
+    for text in (plain, plain[:-1] + "7", keys[: 1 << 20], ("a" * 16 + "g") * 61_680, "x7" * (1 << 19)):
+        for work in (scanner.spans, secrets.word_counts):
+            began = time.perf_counter()
+            work(text)
+            assert time.perf_counter() - began < 15
+
+
+def test_planted_keys_by_class():
+    """Recall of planted keys and false alarms on names, with joints around them and without."""
+    scanner, words = trained_scanner(), ordinary_words()
+    rng = np.random.default_rng(3)
+    name = lambda joint, k=4: joint.join(words[i] for i in rng.integers(0, len(words), k).tolist())
+    mixed = [k for k in secrets.random_strings(1200, seed=77) if secrets.mixed(k)]
+    for joint, least in ((" ", 0.9), ("/", 0.85), ("_", 0.85), ("", 0.8)):
+        hit = 0
+        for key in mixed:
+            before = name(joint or "x") + joint
+            text = f"{before}{key}{joint}{name(joint or 'x')}"
+            covered = np.zeros(len(text), bool)
+            for a, b, _ in scanner.spans(text):
+                covered[a:b] = True
+            hit += covered[len(before) : len(before) + len(key)].mean() > 0.8
+        alarms = sum(bool(scanner.spans(f"{name(j, 5)}{j}{i}")) for j in "/_-" for i in range(400))
+        assert hit >= least * len(mixed), (joint, hit / len(mixed))
+        assert alarms <= 0.02 * 1200, alarms
+
+
 def test_digests_of_the_query(spark):
     got = queries.op10_secrets(spark, "/root/testdata/sf0.001").collect()
     texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
