@@ -37,7 +37,7 @@ def terminal(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def triggered(edges: DataFrame, tool: str | None = None, phrase: str | None = None) -> DataFrame:
     """Edges that a tool or a phrase sets off, lower priority numbers first in each node.
 
-    Tools match as part of the called tool's name, phrases as part of the text, ignoring case.
+    An edge has one ``phrase`` or any of several (an array ``phrases``). Tools match as part of the called tool's name, phrases as part of the text, ignoring case.
     ``default`` edges fire on any tool (phrase) unless they name one, which must then match.
     Without a trigger ``always`` and ``default`` edges are open.
     """
@@ -45,6 +45,9 @@ def triggered(edges: DataFrame, tool: str | None = None, phrase: str | None = No
     named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     if tool is not None:
         hit = kind.isin("tool", "default") & F.when(named("tool"), F.lit(tool).contains(F.col("tool"))).otherwise(kind == "default")
+    elif phrase is not None and "phrases" in edges.columns:
+        some = F.filter(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: p != "")
+        hit = kind.isin("phrase", "default") & F.when(F.size(some) > 0, F.exists(some, lambda p: F.lit(phrase.lower()).contains(F.lower(p)))).otherwise(kind == "default")
     elif phrase is not None:
         hit = kind.isin("phrase", "default") & F.when(named("phrase"), F.lit(phrase.lower()).contains(F.lower("phrase"))).otherwise(kind == "default")
     else:
@@ -211,13 +214,21 @@ def visit_warning(n: Column, most: Column) -> Column:
 def taken(log: DataFrame, most: int = 10) -> DataFrame:
     """Attempted transitions (project, seq, ts, to_node; ``reset`` rows start anew) with ``taken``: False beyond a node's visits.
 
-    A node's visits since the last reset are its earlier attempts, up to the cap, so no state is folded.
+    A node's visits since the last reset are its earlier attempts, up to the cap, so no state is folded. Rows with
+    ``jump`` (if there is such a column) are taken whatever the cap.
     """
     cap = most if most > 0 else 10
     w = W.partitionBy("project").orderBy("ts", "seq")
     rows = log.withColumn("epoch", F.count_if(F.coalesce("reset", F.lit(False))).over(w.rowsBetween(W.unboundedPreceding, 0))).where(~F.coalesce("reset", F.lit(False)))
     n = F.row_number().over(W.partitionBy("project", "epoch", "to_node").orderBy("ts", "seq"))
-    return rows.withColumn("visit", n.cast("bigint")).withColumn("taken", F.col("visit") <= cap)
+    jumps = F.coalesce("jump", F.lit(False)) if "jump" in log.columns else F.lit(False)
+    return rows.withColumn("visit", n.cast("bigint")).withColumn("taken", (F.col("visit") <= cap) | jumps)
+
+
+def known_jumps(log: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log without jumps to nodes (id) that there are none of, and those jumps."""
+    wrong = log.where(F.coalesce("jump", F.lit(False))).join(nodes.select(F.col("id").alias("to_node")), "to_node", "left_anti").select(*log.columns)
+    return log.join(wrong.select("project", "seq"), ["project", "seq"], "left_anti").select(*log.columns), wrong
 
 
 def states(log: DataFrame, most: int = 10) -> DataFrame:

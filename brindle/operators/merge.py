@@ -24,11 +24,19 @@ def entries(events: DataFrame, by: list[str] = KEY) -> DataFrame:
 
 
 def experience_merge(events: DataFrame) -> DataFrame:
-    """``entries`` with each key's related files in order of first mention."""
-    # A file's first mention, so that a key's list is as long as its distinct files, not its events.
-    firsts = events.groupBy(*KEY, "related").agg(F.min("seq").alias("at"))
-    listed = firsts.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "related"))), lambda x: x["related"]), ",").alias("related_files"))
-    return entries(events).join(listed, KEY)
+    """``entries`` with each key's related files in order of first mention, in one pass.
+
+    Events are first gathered by key and related file, so a key's list is as long as its distinct files, not its events.
+    """
+    said = F.struct(F.length("description").alias("n"), (-F.col("seq")).alias("at"), "description")
+    solved = F.when(F.col("resolution") != "", F.struct("seen", "seq", "resolution"))
+    some = events.groupBy(*KEY, "related").agg(F.count("*").alias("n"), F.min("seen").alias("first"), F.max("seen").alias("last"), F.max(said).alias("said"), F.min(solved).alias("solved"), F.min("seq").alias("at"))
+    got = some.groupBy(*KEY).agg(
+        F.sum("n").alias("occurrences"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.max("said")["description"].alias("description"),
+        F.coalesce(F.min("solved")["resolution"], F.lit("")).alias("resolution"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "related"))), lambda x: x["related"]), ",").alias("related_files"),
+    )
+    return got.withColumn("confidence", F.round(S.confidence(F.col("occurrences")), 6))
 
 
 def commit_merge(events: DataFrame) -> DataFrame:

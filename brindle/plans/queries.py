@@ -18,6 +18,7 @@ from brindle.operators import selection as SL
 from brindle.operators import trends as TR
 from brindle.plans import entities as Q
 from brindle.plans.registry import query
+from brindle.sources import formats as FM
 from brindle.sources import tables as T
 
 # ---------------------------------------------------------------- search
@@ -83,7 +84,14 @@ def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- merging
 
-_HASH = "sha1(description || chr(10) || '{}')"
+# The old catalog's schemas have the same keys as the new one's in another order.
+_HASH = """sha1(description || chr(10) || '{"properties":{"' || mcp_name || '":{"type":"string"},"z":{}},"type":"object"}')"""
+
+
+def _hashes(catalog: DataFrame, turned: bool) -> DataFrame:
+    own = F.concat(F.lit('"'), "mcp_name", F.lit('": {"type": "string"}'))
+    parts = [F.lit('{"type": "object", "properties": {"z": {}, '), own, F.lit("}}")] if turned else [F.lit('{"properties": {'), own, F.lit(', "z": {}}, "type": "object"}')]
+    return catalog.select("mcp_name", "tool_name", X.change_hash(F.col("description"), F.concat(*parts)).alias("text_hash"))
 
 
 @query(f"""WITH {Q.CATALOG}, new AS (SELECT mcp_name, tool_name, CASE WHEN seq % 10 = 0 THEN description || '!' ELSE description END AS description FROM catalog),
@@ -92,8 +100,7 @@ SELECT * FROM h ANTI JOIN old USING (mcp_name, tool_name, text_hash)""")
 def hash_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.catalog(spark, sf_dir)
     new = c.withColumn("description", F.when(F.col("seq") % 10 == 0, F.concat("description", F.lit("!"))).otherwise(F.col("description")))
-    hashed = lambda d: d.select("mcp_name", "tool_name", X.change_hash(F.col("description"), F.lit("{}")).alias("text_hash"))
-    return MG.hash_upsert(hashed(c.where("seq % 7 <> 0")), hashed(new), ["mcp_name", "tool_name"], "text_hash")
+    return MG.hash_upsert(_hashes(c.where("seq % 7 <> 0"), True), _hashes(new, False), ["mcp_name", "tool_name"], "text_hash")
 
 
 @query(f"""WITH {Q.EVENTS}, firsts AS (SELECT type, file_pattern, domain, related, min(seq) AS first_at FROM ev GROUP BY ALL),
@@ -530,6 +537,15 @@ def timeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timeline(spark, sf_dir)[1]
 
 
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '["a",' || user_id || ']' WHEN 1 THEN '["' || event_type || '"]' WHEN 2 THEN '{"k":' || (user_id % 9) || '}' ELSE '"' || event_type || '"' END AS argument FROM events""")
+def coerced_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = T.load(spark, sf_dir, "events"), F.col("event_id") % 4
+    array = F.concat(F.lit('[ "a", '), F.col("user_id").cast("string"), F.lit("]"))
+    value = F.when(k == 0, array).when(k == 2, F.concat(F.lit('{"k": '), (F.col("user_id") % 9).cast("string"), F.lit(" }"))).otherwise(F.col("event_type"))
+    schema = F.when(k == 0, '{"type": "array"}').when(k == 1, '{"anyOf": [{"type": "null"}, {"type": "array"}]}').when(k == 2, '{"oneOf": [{"type": "object"}, {"type": "array"}]}').otherwise('{"type": "object"}')
+    return e.select("event_id", FM.coerce(value, schema).alias("argument"))
+
+
 # ---------------------------------------------------------------- events
 
 _FOLD = f"""WITH RECURSIVE {Q.EDITS}, o AS (SELECT *, epoch(ts) AS t, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS k FROM edits)"""
@@ -585,14 +601,14 @@ def prompt_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SL.prompt_rank(T.memory_nodes(spark, sf_dir), ["erth", "the", "enthat", "ededre"], S.age_days(F.col("mtime"), T.as_of()))
 
 
-@query(rf"""WITH {Q.PATHS}, f AS (SELECT DISTINCT path AS file FROM paths), t AS (SELECT unnest(['src/services/authService.ts', 'lib/utils/router.js', 'src/api/handlers/theme.go']) AS target),
+@query(rf"""WITH {Q.PATHS}, f AS (SELECT DISTINCT path AS file FROM paths), t AS (SELECT unnest(['src/services/authService.ts', 'lib/utils/router.js', 'src/api/handlers/theme.go', 'src/other/index.ts']) AS target),
 p AS (SELECT target, file, lower(regexp_replace(regexp_extract(target, '[^/]*$'), '(.)\.[^.]+$', '\1')) AS ts, lower(regexp_replace(regexp_extract(file, '[^/]*$'), '(.)\.[^.]+$', '\1')) AS fs, lower(regexp_replace(target, '/[^/]*$', '')) AS tu, lower(regexp_replace(file, '/[^/]*$', '')) AS fu FROM t, f),
 s AS (SELECT target, file, CASE WHEN ts = fs THEN 3.0 WHEN contains(ts, fs) OR contains(fs, ts) THEN 1.5 ELSE 0.0 END + 0.5 * n + CASE WHEN tu = fu THEN 1.0 ELSE 0.0 END AS score FROM (
 SELECT *, len(list_intersect(list_distinct(string_split(tu, '/') || [ts]), list_distinct(string_split(fu, '/') || [fs]))) AS n FROM p) WHERE n > 0)
-SELECT target, file, score::DOUBLE AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, file) AS place FROM s WHERE score >= 1.0) WHERE place <= 2""")
+SELECT target, file, score::DOUBLE AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, file) AS place FROM s WHERE score >= CASE WHEN contains(target, 'index') THEN 0.5 ELSE 1.0 END) WHERE place <= 2""")
 def similar_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = spark.sql("select explode(array('src/services/authService.ts', 'lib/utils/router.js', 'src/api/handlers/theme.go')) as path")
-    return SL.similar_paths(T.paths(spark, sf_dir).select("path").distinct(), targets)
+    targets = spark.sql("select explode(array('src/services/authService.ts', 'lib/utils/router.js', 'src/api/handlers/theme.go', 'src/other/index.ts')) as path")
+    return SL.similar_paths(T.paths(spark, sf_dir).select("path").distinct(), targets, generic=("index",))
 
 
 @query("""WITH r AS (SELECT * FROM (VALUES (0, ['*']), (1, ['click', 'view']), (2, ['error'])) v(node, tools))

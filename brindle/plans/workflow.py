@@ -291,14 +291,14 @@ def gate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.gate_details(_gate(spark, sf_dir), "node", "high", ["l_orderkey", "l_linenumber", "file", "type"])
 
 
-@query(f"""{_GATE}, b AS (SELECT * FROM g WHERE severity = 'critical' AND node < 60), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY l_orderkey, l_linenumber, file, type) AS r FROM b),
+@query(f"""{_GATE.replace("l_orderkey % 100 AS node", "l_orderkey AS node")}, b AS (SELECT * FROM g WHERE severity = 'critical'), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY l_orderkey, l_linenumber, file, type) AS r FROM b),
 e AS (SELECT node, 'gate_blocked' AS type, {Q.pattern("file")} AS file_pattern, {Q.domain("file")} AS domain, 'critical' AS severity FROM r WHERE r <= 3
 UNION ALL SELECT node, 'gate_resolved', 'workflow/' || node, 'config', 'low' FROM (SELECT DISTINCT node FROM g WHERE node % 3 > 0) ANTI JOIN b USING (node))
 SELECT node, type, file_pattern, domain, severity, unnest(['project', 'global']) AS scope FROM e""")
 def gate_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _gate(spark, sf_dir)
+    g = _gate(spark, sf_dir).withColumn("node", F.col("l_orderkey"))
     attempts = g.select("node").distinct().withColumn("attempts", F.col("node") % 3)
-    return FI.gate_experience(g.where("node < 60"), "node", "critical", ["l_orderkey", "l_linenumber", "file", "type"], attempts)
+    return FI.gate_experience(g, "node", "critical", ["l_orderkey", "l_linenumber", "file", "type"], attempts)
 
 
 @query(f"""{_GATE}, s AS (SELECT node, count(*) FILTER (severity = 'critical' AND node % 2 = 0) AS critical, count(*) FILTER (severity = 'high' AND node % 3 = 0) AS high FROM g GROUP BY node)

@@ -243,59 +243,123 @@ def coerce_object(text: Column) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
-def parse_graph(text: str) -> dict:
-    """The YAML subset of workflow files: nested maps, lists of maps, strings, integers, booleans and null."""
-    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n") if x.strip() and not x.strip().startswith("#")]
-
-    def scalar(v: str):
-        if v[:1] in "\"'" and v[-1:] == v[:1] and len(v) > 1:
-            return v[1:-1]
-        if v.startswith("[") and v.endswith("]"):
-            return [scalar(x.strip()) for x in v[1:-1].split(",") if x.strip()]
-        if v in ("true", "false"):
-            return v == "true"
-        if v in ("null", "~", ""):
-            return None
-        return int(v) if re.fullmatch(r"-?\d+", v) else v
-
-    def block(i: int, indent: int):
-        out: dict | list | None = None
-        while i < len(lines) and lines[i][0] >= indent:
-            depth, line = lines[i]
-            if depth > indent:
-                raise ValueError(f"unexpected indent before {line!r}")
-            if line.startswith("- ") or line == "-":
-                out = [] if out is None else out
-                rest = line[2:].strip()
-                if re.match(r"^[\w-]+:(\s|$)", rest):
-                    lines[i] = (depth + 2, rest)
-                    item, i = block(i, depth + 2)
-                else:
-                    item, i = scalar(rest), i + 1
-                out.append(item)
-                continue
-            if isinstance(out, list):  # the list has ended; its parent goes on at this depth
+def declared_type(schema: Column) -> Column:
+    """The type that a JSON schema asks for; of ``anyOf`` or ``oneOf`` the first alternative's that isn't ``null``."""
+    every = F.coalesce(F.get_json_object(schema, "$.anyOf"), F.get_json_object(schema, "$.oneOf"))
+    other = F.filter(F.from_json(every, "array<struct<type:string>>"), lambda x: F.coalesce(x["type"], F.lit("")) != "null")
+    return F.when(F.size(other) > 0, F.element_at(other, 1)["type"]).otherwise(F.get_json_object(schema, "$.type"))
+
+
+def coerce(value: Column, schema: Column) -> Column:
+    """A text argument as JSON: arrays and objects that were sent as text where the schema wants them, other texts as JSON strings.
+
+    A text that is no array becomes the only item where an array is wanted; one that is no object stays a text.
+    """
+    kind, parsed = declared_type(schema), F.try_parse_json(value)
+    is_a = lambda name: F.coalesce(F.schema_of_variant(parsed).startswith(name), F.lit(False))
+    text = F.to_json(F.struct(value.alias("v")))
+    plain = F.substring(text, 6, F.length(text) - 6)
+    wanted = F.when((kind == "array") & is_a("ARRAY"), F.to_json(parsed)).when(kind == "array", F.to_json(F.array(value))).when((kind == "object") & is_a("OBJECT"), F.to_json(parsed)).otherwise(plain)
+    return F.when(value.isNotNull(), wanted)
+
+
+def _scalar(v: str):
+    if v[:1] in ("'", '"') and v[-1:] == v[:1] and len(v) > 1:
+        return v[1:-1]
+    if v.startswith("[") and v.endswith("]"):
+        return [_scalar(x.strip()) for x in v[1:-1].split(",") if x.strip()]
+    if v in ("true", "false"):
+        return v == "true"
+    if v in ("null", "~", ""):
+        return None
+    return int(v) if re.fullmatch(r"-?\d+", v) else v
+
+
+class _Lines:
+    """The lines of a text, with a place among them; blank lines and comments count only inside text blocks."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = [[len(x) - len(x.lstrip(" ")), x.strip()] for x in text.expandtabs().split("\n")]
+        self.raw = text.expandtabs().split("\n")
+        self.at = 0
+
+    def now(self) -> tuple[int, str] | None:
+        while self.at < len(self.lines) and (not self.lines[self.at][1] or self.lines[self.at][1].startswith("#")):
+            self.at += 1
+        return tuple(self.lines[self.at]) if self.at < len(self.lines) else None
+
+    def split_item(self, depth: int, rest: str) -> None:
+        """``- key: value``: the rest of the line stands where its key does."""
+        self.lines[self.at] = [depth, rest]
+
+    def text_block(self, depth: int, folded: bool) -> str:
+        """Lines deeper than ``depth``, without the first one's indent; ``folded``: joined by spaces within paragraphs."""
+        got = []
+        while self.at < len(self.lines) and (not self.lines[self.at][1] or self.lines[self.at][0] > depth):
+            got.append(self.raw[self.at])
+            self.at += 1
+        base = next((len(x) - len(x.lstrip(" ")) for x in got if x.strip()), 0)
+        text = "\n".join(x[base:].rstrip() for x in got).rstrip()
+        return re.sub(r"(?<!\n)\n(?!\n)", " ", text) if folded else text
+
+
+BLOCK = re.compile(r"[|>][+-]?")
+KEY = re.compile(r"[\w.-]+:(\s|$)")
+
+
+def _block(lines: _Lines, indent: int):
+    out: dict | list | None = None
+    while (now := lines.now()) is not None and now[0] >= indent:
+        depth, line = now
+        if depth > indent:
+            raise ValueError(f"unexpected indent before {line!r}")
+        if line == "-" or line.startswith("- "):
+            if isinstance(out, dict):
                 break
-            out = {} if out is None else out
-            key, _, rest = line.partition(":")
-            rest = rest.strip()
-            i += 1
-            if rest:
-                out[key.strip()] = scalar(rest)
-            elif i < len(lines) and (lines[i][0] > depth or (lines[i][0] == depth and lines[i][1].startswith("- "))):
-                out[key.strip()], i = block(i, lines[i][0])
+            out = [] if out is None else out
+            rest = line[1:].strip()
+            if KEY.match(rest):
+                lines.split_item(depth + len(line) - len(rest), rest)
+                out.append(_block(lines, depth + len(line) - len(rest)))
             else:
-                out[key.strip()] = None
-        return out, i
+                lines.at += 1
+                out.append(_value(lines, depth, rest))
+            continue
+        if isinstance(out, list):  # the list has ended; its parent goes on at this depth
+            break
+        out = {} if out is None else out
+        key, colon, rest = line.partition(":")
+        if not colon:
+            raise ValueError(f"neither a key nor an item: {line!r}")
+        lines.at += 1
+        out[_scalar(key.strip())] = _value(lines, depth, rest.strip())
+    return out
+
+
+def _value(lines: _Lines, depth: int, rest: str):
+    """What follows a key or a dash at ``depth``: the rest of its line, a text block or a deeper block."""
+    if BLOCK.fullmatch(rest):
+        return lines.text_block(depth, rest[0] == ">")
+    if rest:
+        return _scalar(rest)
+    following = lines.now()
+    if following and (following[0] > depth or following[0] == depth and following[1].startswith("- ") and not lines.lines[lines.at - 1][1].startswith("-")):
+        return _block(lines, following[0])
+    return None
+
 
-    return block(0, lines[0][0])[0] if lines else {}
+def parse_graph(text: str) -> dict:
+    """The YAML subset of workflow files: nested maps, lists, strings, text blocks, integers, booleans and null."""
+    lines = _Lines(text)
+    first = lines.now()
+    return (_block(lines, first[0]) or {}) if first else {}
 
 
 def graph_frames(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and tasks of a workflow text."""
     doc = parse_graph(text)
-    nodes = [(str(n["id"]), n.get("name"), n.get("type") or "wave", bool(n.get("is_start")), bool(n.get("is_end")), n.get("max_visits") or 10, k) for k, n in enumerate(doc.get("nodes") or [])]
-    edges = [(str(e["id"]), str(e["from"]), str(e["to"]), (e.get("condition") or {}).get("type") or "always", json.dumps(e.get("condition") or {}), e.get("priority") or 0, k) for k, e in enumerate(doc.get("edges") or [])]
+    nodes = [(str(n["id"]), n.get("name") or str(n["id"]), n.get("node_type") or "wave", bool(n.get("is_start")), bool(n.get("is_end")), n.get("max_visits") or 10, k) for k, n in enumerate(doc.get("nodes") or [])]
+    edges = [(str(e["id"]), str(e["from"]), str(e["to"]), (e.get("condition") or {}).get("type") or "always", json.dumps(e.get("condition") or {}), 1 if e.get("priority") is None else e["priority"], k) for k, e in enumerate(doc.get("edges") or [])]
     tasks = [(str(n["id"]), str(t["id"]), [str(x) for x in t.get("dependencies") or []]) for n in doc.get("nodes") or [] for t in n.get("tasks") or []]
     return (
         spark.createDataFrame(nodes, "id string, name string, node_type string, is_start boolean, is_end boolean, max_visits int, seq int"),

@@ -41,10 +41,13 @@ def event_path() -> Column:
 def experience_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, scope, type, path, file_pattern, domain, description, severity, resolution, related, seen."""
     e = load(spark, sf_dir, "events").withColumn("path", event_path())
+    # Paths repeat, so what follows from a path alone is worked out once a path.
+    paths = e.select("path").distinct().select("path", X.generalize(F.col("path")).alias("file_pattern"), X.domain(F.col("path")).alias("domain"))
+    e = e.join(paths, "path")
     sev = F.when(F.col("value") < 20, "low").when(F.col("value") < 60, "medium").when(F.col("value") < 90, "high").otherwise("critical")
     return e.select(
         F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "project").otherwise("global").alias("scope"), F.col("event_type").alias("type"), "path",
-        X.generalize(F.col("path")).alias("file_pattern"), X.domain(F.col("path")).alias("domain"),
+        "file_pattern", "domain",
         F.concat(F.lit("note "), F.repeat(F.lit("x"), (F.col("event_id") % 11).cast("int")), F.lit(" "), (F.col("event_id") % 97).cast("string")).alias("description"),
         sev.alias("severity"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("fix "), (F.col("event_id") % 13).cast("string"))).otherwise("").alias("resolution"),
         F.concat(F.lit("f"), (F.col("event_id") % 17).cast("string")).alias("related"), F.col("ts").alias("seen"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import graph as G
 from brindle.operators import merge as MG
+from brindle.sources import editing as ED
 from brindle.sources import files as FI
 from brindle.sources import workflows as WF
 from brindle.sources.store import Conflict, Store
@@ -118,8 +119,14 @@ nodes:
   - id: a
     name: First
     is_start: true
-    type: dag
+    node_type: dag
     tools_blocked: ["*"]
+    prompt_injection: |
+      # not a comment
+      - look: here
+
+        deeper
+    model: small
     tasks:
       - id: t1
       - id: t2
@@ -150,13 +157,67 @@ def test_a_folder_of_workflows_is_one_table(spark, tmp_path):
     assert all(r["error"] and r["id"] is None for r in got.where("kind = 'error'").collect())
     one = got.where(F.col("path").endswith("/w20.yaml"))
     assert [(r["id"], r["tools"]) for r in one.where("kind = 'node'").orderBy("seq").collect()] == [("a", ["*"]), ("b", [])]
-    assert [(r["src"], r["dst"], r["node_type"], json.loads(r["condition"]), r["priority"]) for r in one.where("kind = 'edge'").collect()] == [("a", "b", "tool", {"type": "tool", "tool": "x"}, 2)]
+    first = one.where("kind = 'node' and seq = 0").first()
+    assert (first["prompt"], first["mcps"], first["node_type"], json.loads(first["extra"])) == ("# not a comment\n- look: here\n\n  deeper", ["*"], "dag", {"model": "small"})
+    assert [(r["src"], r["dst"], r["trigger"], r["tool"], r["priority"]) for r in one.where("kind = 'edge'").collect()] == [("a", "b", "tool", "x", 2)]
     nodes, edges, needs = WF.frames(got)
     assert (nodes.count(), edges.count(), needs.count()) == (1990, 995, 995) and G.cycle_residual(needs).count() == 0
     WF.register(spark)
     assert spark.sql("SELECT kind, id FROM parse_workflow('steps:\n  - id: s1\n')").collect()[0]["id"] == "s1"
 
 
+def test_the_yaml_subset():
+    from brindle.sources.formats import parse_graph
+
+    assert parse_graph("a:\n- 1\n- x: 2\n  y:\n    - p\n    - q\n-\n  z: 3\nb: >-\n  one\n  two\n\n  three\n# end\nc: 'it: is'\nd:\ne: [1, \"b\", true]\n") == {"a": [1, {"x": 2, "y": ["p", "q"]}, {"z": 3}], "b": "one two\n\nthree", "c": "it: is", "d": None, "e": [1, "b", True]}
+    assert parse_graph("") == {} and parse_graph("x: |\n    deep\n      more\n  \ny: -3") == {"x": "deep\n  more", "y": -3}
+
+
+def test_workflows_are_edited_and_only_valid_ones_saved(spark, tmp_path):
+    for name in "uv":
+        (tmp_path / f"{name}.yaml").write_text(GOOD)
+    nodes, edges, _ = WF.frames(WF.read_workflows(spark, str(tmp_path)))
+    path = F.element_at(F.split("path", "/"), -1)
+    nodes, edges = nodes.withColumn("path", path), edges.withColumn("path", path)
+    assert ED.problems(nodes, edges).collect() == []
+    store = Store(spark, str(tmp_path / "store"))
+    assert ED.save(store, nodes, edges, 0) == 1
+    more = ED.put(nodes, spark.createDataFrame([("u.yaml", "c", "Third", False, True), ("u.yaml", "b", "Second", None, False)], "path string, id string, name string, is_start boolean, is_end boolean"))
+    got = {(r["path"], r["id"]): (r["name"], r["is_end"], r["seq"]) for r in more.collect()}
+    assert got == {("u.yaml", "a"): ("First", False, 0), ("u.yaml", "b"): ("Second", False, 1), ("u.yaml", "c"): ("Third", True, 2), ("v.yaml", "a"): ("First", False, 0), ("v.yaml", "b"): ("b", True, 1)}
+    with pytest.raises(ED.Invalid) as e:
+        ED.save(store, more.fillna(False, ["is_start"]), edges, 1)
+    assert e.value.problems == [("u.yaml", "no_incoming", "c"), ("u.yaml", "no_outgoing", "b")] and store.version() == 1
+    way = spark.createDataFrame([("u.yaml", "e2", "b", "c", "phrase", ["go on"])], "path string, id string, src string, dst string, kind string, phrases array<string>")
+    assert ED.save(store, more.fillna(False, ["is_start"]), ED.put(edges, way), 1) == 2
+    kept_nodes, kept_edges = ED.load(store)
+    assert kept_nodes.count() == 5 and kept_edges.count() == 3
+    assert [r["dst"] for r in G.triggered(kept_edges.where("path = 'u.yaml'"), phrase="please GO ON now").collect()] == ["c"]
+    fewer = ED.drop_nodes(kept_nodes, kept_edges, spark.createDataFrame([("u.yaml", "b")], "path string, id string"))
+    assert sorted((r["path"], r["error"]) for r in ED.problems(*fewer).collect()) == [("u.yaml", "no_incoming"), ("u.yaml", "no_outgoing")]
+    bad = ED.put(kept_edges, spark.createDataFrame([("v.yaml", "e1", "tool", "", "nowhere")], "path string, id string, kind string, tool string, dst string"))
+    assert sorted((r["error"], r["subject"]) for r in ED.problems(kept_nodes, bad).collect()) == [("dangling_to", "nowhere"), ("empty_trigger", "e1"), ("no_incoming", "b")]
+
+
+def test_jumps_pass_the_cap_and_unknown_ones_are_refused(spark):
+    log = spark.createDataFrame([(1, i, i, "a", False, False) for i in range(4)] + [(1, 4, 4, "a", False, True), (1, 5, 5, "gone", False, True)], "project int, seq int, ts int, to_node string, reset boolean, jump boolean")
+    kept, wrong = G.known_jumps(log, spark.createDataFrame([("a",)], "id string"))
+    assert [r["seq"] for r in wrong.collect()] == [5]
+    assert [r["taken"] for r in G.taken(kept, 2).orderBy("seq").collect()] == [True, True, False, False, True]
+
+
+def test_arguments_are_coerced_by_schema(spark):
+    from brindle.sources.formats import coerce
+
+    cases = [
+        ('["a", 1]', '{"type": "array"}', '["a",1]'), ("plain", '{"type": "array"}', '["plain"]'), ('{"a": 1}', '{"type": "array"}', '["{\\"a\\": 1}"]'), ('{"a": 1}', '{"type": "object"}', '{"a":1}'),
+        ("[1]", '{"type": "object"}', '"[1]"'), ("no { json", '{"type": "object"}', '"no { json"'), ("[1]", '{"type": "string"}', '"[1]"'), ('say "x"', "{}", '"say \\"x\\""'), (None, '{"type": "array"}', None),
+        ("[1]", '{"anyOf": [{"type": "null"}, {"type": "array"}]}', "[1]"), ("[1]", '{"oneOf": [{"type": "string"}, {"type": "array"}]}', '"[1]"'), ("5", '{"anyOf": []}', '"5"'), ("[1]", None, '"[1]"'),
+    ]
+    d = spark.createDataFrame([(i, v, s) for i, (v, s, _) in enumerate(cases)], "i int, v string, s string")
+    assert [r["x"] for r in d.select("i", coerce(F.col("v"), F.col("s")).alias("x")).orderBy("i").collect()] == [w for _, _, w in cases]
+
+
 def test_tails_read_little(spark, tmp_path):
     big = tmp_path / "t" / "big.jsonl"
     big.parent.mkdir()
