@@ -36,16 +36,15 @@ from pyspark.sql import functions as F
 from brindle.llm.common import chunks, map_rows, own_names, pick, release, spill, texts_of
 from brindle.llm.components import Union, components
 from brindle.llm.words import MASK, OTHER_BASE, Words, mix, runs, signed
+from brindle.operators.ordered import ordered
 
 WIDTH, THRESHOLD = 5, 0.75
 #: Frequent shingles that are put last in the order: at most so many (an order, not a filter).
 FREQUENT, LEAST = 200_000, 16
 #: Sets that have a shingle, up to which they are paired; more common shingles chain their sets.
 RARE = 128
-#: Bytes of a block (8 a shingle) that one traversal takes, and sets of a group of small blocks, on average.
+#: Bytes of sets (8 a shingle) that one traversal takes, at most twice; sets of a unit of small blocks.
 BYTES, GROUP = 16 << 20, 500
-#: Sets of a block from which its bytes are looked up.
-MEMBERS = 64
 #: Tasks that a hot shingle is dealt over, and sets (by the hints) from which it counts as hot.
 SALTS, HOT = 64, 1 << 16
 #: Sets in blocks up to which their table (some 40 bytes a row) is broadcast.
@@ -369,23 +368,20 @@ def _units(nodes: DataFrame, sizes: DataFrame, t: float) -> tuple[DataFrame, boo
 
     ``nodes``: key, root. ``sizes``: key, n.
     """
-    members = spill(nodes.groupBy("root").agg(F.count("*").alias("members")), "jaccard-roots")
-    n = members.agg(F.sum("members")).first()[0] or 0
-    groups = max(1, math.ceil(n / GROUP))
-    unit = F.concat(F.lit("g"), F.pmod(F.xxhash64("root"), F.lit(groups)).cast("string"))
-    # Blocks of few sets are taken as they are; of the others sizes are looked up.
-    maybe = members.where(F.col("members") > MEMBERS).select("root")
-    if maybe.isEmpty():
-        return nodes.select("key", unit.alias("unit"), "root"), False, n
-    sized = spill(nodes.join(maybe, "root", "left_semi").join(sizes, "key"), "jaccard-sized").withColumn("range", _size_range("n", t))
-    held = spill(sized.groupBy("root", "range").agg((8 * F.sum("n")).alias("bytes")), "jaccard-ranges")
-    large = held.groupBy("root").agg(F.sum("bytes").alias("all")).where(F.col("all") > BYTES).select("root")
-    large = spill(large, "jaccard-large")
+    sized = spill(nodes.join(sizes, "key"), "jaccard-sized").withColumn("range", _size_range("n", t))
+    blocks = spill(sized.groupBy("root").agg(F.count("*").alias("members"), (8 * F.sum("n")).alias("bytes")), "jaccard-roots")
+    n = blocks.agg(F.sum("members")).first()[0] or 0
+    # Small blocks fill units in order of their roots: by bytes, and so that no unit has more than about GROUP sets.
+    weight = F.greatest("bytes", F.col("members") * (BYTES // GROUP)).cast("bigint")
+    filled = ordered(blocks.where(F.col("bytes") <= BYTES).select("root", weight.alias("weight")), ["root"], [], sums=("weight",)).rows
+    filled = filled.select("root", F.concat(F.lit("g"), F.floor((F.col("sum_weight") - 1) / BYTES).cast("string")).alias("unit"))
+    small = nodes.join(filled, "root").select("key", "unit", "root")
+    large = spill(blocks.where(F.col("bytes") > BYTES).select("root"), "jaccard-large")
     if large.isEmpty():
-        return nodes.select("key", unit.alias("unit"), "root"), False, n
-    small = nodes.join(large, "root", "left_anti").select("key", unit.alias("unit"), "root")
+        return small, False, n
+    held = spill(sized.join(large, "root", "left_semi").groupBy("root", "range").agg((8 * F.sum("n")).alias("bytes")), "jaccard-ranges")
     # Parts of half a traversal's bytes: two of them are one unit.
-    parts = held.join(large, "root", "left_semi").select("root", "range", F.ceil(2 * F.col("bytes") / BYTES).cast("int").alias("parts"))
+    parts = held.select("root", "range", F.ceil(2 * F.col("bytes") / BYTES).cast("int").alias("parts"))
     above = parts.select("root", (F.col("range") - 1).alias("range"), F.col("parts").alias("above"))
     below = parts.select("root", (F.col("range") + 1).alias("range"), F.col("parts").alias("below"))
     parts = parts.join(above, ["root", "range"], "left").join(below, ["root", "range"], "left").na.fill(0)

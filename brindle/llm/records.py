@@ -4,8 +4,10 @@ A frame is: payload length (u64), masked checksum of those 8 bytes (u32), payloa
 checksum of the payload (u32), and one line feed. The payload is a null flag of the id
 (u8), the id (i64), the width of a token id in bytes (u8: 2 or 4) and the token ids, all
 little-endian. Frames lie in ascending order of (id, text hash), null ids first, in files
-``data/part-NNNNN*`` whose names sort by their numbers; ``index`` is a Parquet table with
-one row a frame (id, file, offset, bytes, n_tokens), for reads in any order.
+``data/block=B/part-NNNNN*``, in order of the numbers NNNNN and B; a task begins a new block once
+one holds ``FILE_BYTES``, so a file is at most that and one record long. ``index`` is a Parquet
+table with one row a frame (id, file, offset, bytes, n_tokens), with which ``fetch`` reads the
+bytes of the wanted records alone, in any order.
 
 Spark's own text writer puts the frames down, so files commit or vanish as whole tasks: a
 lost executor or a second attempt leaves no half or double records. Null texts count as
@@ -18,6 +20,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +30,13 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import chunks, map_rows, pick, store_dir, texts_of
 from brindle.llm.tokens import encoder, id_width
+from brindle.sources.files import opened
 
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 INNER = struct.Struct("<BqB")
-#: Records in a file at most: bounds the memory of a reading task.
-FILE_RECORDS = 8192
+#: Bytes from which a file is followed by another, and records in a file at most: these bound the memory of a reading task.
+FILE_BYTES, FILE_RECORDS = 32 << 20, 8192
 
 
 def masked(data: bytes) -> int:
@@ -86,15 +92,19 @@ def write(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "words",
     width = id_width(vocabulary, end_id)
     last = end_id.to_bytes(width, "little")
 
-    def run(batches):
-        enc = encoder(vocabulary, kind, width)
+    def run(batches, most=FILE_BYTES):
+        enc, written = encoder(vocabulary, kind, width), 0
         for b in batches:
             ids, texts = b[id_col].to_pylist(), texts_of(b[text_col])
             for lo, hi in chunks([len(t) for t in texts]):
-                yield {"frame": [frame(i, x + last, width) for i, x in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True)]}
+                made = [frame(i, x + last, width) for i, x in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True)]
+                before = written + np.cumsum([0, *[len(f) + 1 for f in made]])
+                written = int(before[-1])
+                yield {"frame": made, "block": (before[:-1] // most).astype(np.int32)}
 
-    out = map_rows(rows, "frame binary", run, holds=True).select(F.col("frame").cast("string").alias("value"))
-    out.write.option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/data")
+    out = map_rows(rows, "frame binary, block int", run, holds=True).select(F.col("frame").cast("string").alias("value"), "block")
+    with in_order(spark):
+        out.write.option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).partitionBy("block").text(f"{path}/data")
 
     def index(batches):
         for b in batches:
@@ -108,19 +118,31 @@ def write(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "words",
     return path
 
 
+@contextmanager
+def in_order(spark: SparkSession) -> Iterator[None]:
+    """Tasks write several files as their rows come, instead of sorting the rows by file first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, "0")
+    spark.conf.set(name, str(1 << 20))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select("path", "content")
 
 
-#: Names of Spark's data files: the task's partition, the write's UUID, the file's number in the task.
-FILE_NAME = re.compile(r"part-(\d+)-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}-c(\d+)\.[^/]*\Z")
+#: Names of Spark's data files: the block, the task's partition, the write's UUID, the file's number in the block.
+FILE_NAME = re.compile(r"block=(\d+)/part-(\d+)-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\.?-?c(\d+)\.[^/]*\Z")
 
 
-def file_order(name: str) -> tuple[int, int]:
+def file_order(name: str) -> tuple[int, int, int]:
     found = FILE_NAME.search(name)
     if not found:
         raise ValueError(f"{name} is not named like a data file")
-    return int(found[1]), int(found[2])
+    return int(found[2]), int(found[1]), int(found[3])
 
 
 def starts(spark: SparkSession, path: str) -> dict[str, int]:
@@ -154,19 +176,25 @@ def scan(spark: SparkSession, path: str, *, id_col: str = "doc_id", digest: bool
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Records of the wanted ids through the offset index: id, ids. One row a record."""
+    """Records of the wanted ids: id, ids and how many bytes were read for the record. One row a record.
+
+    A task opens each of its files once and reads the ranges that the index names.
+    """
     index = spark.read.parquet(f"{path}/index").join(wanted.select(id_col).distinct(), id_col, "left_semi")
-    spans = index.groupBy("file").agg(F.collect_list(F.struct("offset", "bytes")).alias("spans"))  # a file is bounded
-    rows = _files(spark, path).join(spans, F.col("path") == F.col("file")).select("path", "content", "spans")
+    rows = index.select("file", "offset", "bytes").repartition("file").sortWithinPartitions("file", "offset")
 
     def run(batches):
+        name, source = None, None
         for b in batches:
-            for name, content, spans in zip(b["path"].to_pylist(), b["content"], b["spans"].to_pylist(), strict=True):
-                data = memoryview(content.as_buffer())
-                got = [next(frames(data[s["offset"] : s["offset"] + s["bytes"]].tobytes(), name)) for s in spans]
-                yield {id_col: [g[2] for g in got], "ids": [g[3].astype(np.int64) for g in got]}
+            got = []
+            for file, offset, size in zip(b["file"].to_pylist(), b["offset"].to_pylist(), b["bytes"].to_pylist(), strict=True):
+                if file != name:
+                    store, local = opened(unquote(file) if file.startswith("file:") else file)
+                    name, source = file, store.open_input_file(local)
+                got.append(next(frames(source.read_at(size, offset), file)))
+            yield {id_col: [g[2] for g in got], "ids": [g[3].astype(np.int64) for g in got], "read": [g[1] for g in got]}
 
-    return map_rows(rows, f"`{id_col}` bigint, ids array<bigint>", run)
+    return map_rows(rows, f"`{id_col}` bigint, ids array<bigint>, read bigint", run)
 
 
-__all__ = ["fetch", "file_order", "frame", "frames", "heads", "masked", "scan", "starts", "write"]
+__all__ = ["fetch", "file_order", "frame", "frames", "heads", "in_order", "masked", "scan", "starts", "write"]

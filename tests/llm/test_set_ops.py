@@ -71,7 +71,6 @@ def test_jaccard_classes(spark, rare, monkeypatch):
 
 def test_jaccard_cuts_large_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BYTES", 9000)
-    monkeypatch.setattr(jaccard, "MEMBERS", 2)
     monkeypatch.setattr(jaccard, "RARE", 3)
     cut = []
     units = jaccard._units
@@ -100,7 +99,6 @@ def test_jaccard_with_hot_shingles_and_clashing_keys(spark, monkeypatch):
 @pytest.mark.parametrize("size", [jaccard.BYTES, 9000])
 def test_jaccard_pairs_are_all_links(spark, size, monkeypatch):
     monkeypatch.setattr(jaccard, "BYTES", size)
-    monkeypatch.setattr(jaccard, "MEMBERS", 2)
     texts = corpus(8)
     sets = {}
     for i, t in enumerate(texts):
@@ -111,6 +109,22 @@ def test_jaccard_pairs_are_all_links(spark, size, monkeypatch):
     assert sorted(map(tuple, jaccard.pairs(docs_of(spark, texts).repartition(3)).collect())) == want and len(want) > 20
 
 
+def test_units_are_bounded_by_bytes(spark, monkeypatch):
+    """Blocks of few large sets do not meet in one unit; blocks of many small ones share units of GROUP sets at most."""
+    monkeypatch.setattr(jaccard, "BYTES", 80_000)
+    monkeypatch.setattr(jaccard, "GROUP", 10)
+    nodes = [(1000 * b + i, b) for b in range(1, 40) for i in range(4)]
+    size = lambda key: 2000 if key // 1000 % 2 else 3
+    d = spark.createDataFrame(nodes, "key bigint, root bigint")
+    sizes = spark.createDataFrame([(k, size(k)) for k, _ in nodes], "key bigint, n bigint")
+    units, cut, n = jaccard._units(d, sizes, 0.75)
+    by = {}
+    for r in units.collect():
+        by.setdefault(r["unit"], []).append(r["key"])
+    assert not cut and n == len(nodes) and sorted(k for x in by.values() for k in x) == sorted(k for k, _ in nodes)
+    assert all(8 * sum(map(size, x)) <= 2 * 80_000 and len(x) <= 2 * 10 + 4 for x in by.values())
+
+
 def test_jaccard_keeps_one_of_each_class(spark):
     texts = corpus(3)
     ids = list(range(len(texts)))

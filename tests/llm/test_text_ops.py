@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm import bpe, jaccard, packing, quality, queries, records, secrets, substrings, tokens
+from brindle.llm import bpe, jaccard, packing, quality, queries, records, secrets, sharding, substrings, tokens
 
 ODD = ["", None, "a", " ", "\n", "it's 'll x''s 'sx !'s  \n\n a\t b  ", "''", "'re've'vex 's's", "a\xa0\xa0b　 '", "éx'D 's\n's", "x" * 5000 + " " * 300 + "\n" * 7 + "1²Ⅷ", "a\x1cb ΑΣ. İx <|endoftext|>", "same text here", "same text here", "x\0 y", "a \nb", "\na", "가나 \U0001f600!!"]
 
@@ -114,11 +114,36 @@ def test_starts_are_gapless_with_many_files_a_task(spark, tmp_path, monkeypatch)
     assert not got
     index = {(r["file"], r["offset"]): r["n_tokens"] for r in spark.read.parquet(f"{path}/index").collect()}
     assert sum(index.values()) == at
-    assert records.file_order("part-00003-11111111-c123-4c1d-9d00-c00112345678-c004.txt") == (3, 4)
+    assert records.file_order("a/block=12/part-00003-11111111-c123-4c1d-9d00-c00112345678.c004.txt") == (3, 12, 4)
     with pytest.raises(ValueError):
         records.file_order("part-00003.txt")
 
 
+def test_files_are_bounded_by_bytes_and_read_by_ranges(spark, tmp_path, monkeypatch):
+    """Texts of a megabyte among short ones, in one task, with files of some 300 KB."""
+    monkeypatch.setattr(records, "FILE_BYTES", 300_000)
+    words = [f"word{i % 997} " for i in range(20_000)]
+    texts = [" ".join(words[i % 50 :][: 3000 * (i % 9)]) for i in range(60)] + ["".join(words) * 8, None, "end"]
+    docs = docs_of(spark, texts).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        path = records.write(docs, P.path("word_bpe_49k.json"), end_id=1, path=str(tmp_path / "bytes"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    index = spark.read.parquet(f"{path}/index").collect()
+    sizes, longest = {}, max(r["bytes"] for r in index)
+    for r in index:
+        sizes[r["file"]] = sizes.get(r["file"], 0) + r["bytes"]
+    assert len(sizes) >= 8 and max(sizes.values()) <= 300_000 + longest and longest > 300_000
+    got = sorted(records.scan(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == list(range(len(texts)))
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+    some = {r["doc_id"]: r for r in records.fetch(spark, path, spark.createDataFrame([(4,), (62,), (60,)], "doc_id bigint")).collect()}
+    assert {i: r["ids"] for i, r in some.items()} == {r["doc_id"]: r["ids"] for r in got if r["doc_id"] in (4, 60, 62)}
+    own = {r["doc_id"]: r["bytes"] for r in index}
+    assert all(r["read"] == own[i] for i, r in some.items()) and some[62]["read"] < 100
+
+
 def test_packing_equals_the_library_on_a_table(spark):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
     lib = tokens.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -153,6 +178,10 @@ def test_long_texts(spark):
     assert not got[0] and not got[5]
     got = {r["doc_id"]: r for r in bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), work=lambda c, t, ids: (len(ids) // 4, c.decode(ids).decode() == t), schema="n bigint, same boolean").collect()}
     assert all(r["same"] for r in got.values())
+    made = {r["doc_id"]: r for r in records.scan(spark, records.write(docs, P.path("word_bpe_49k.json"), end_id=1), digest=True).collect()}
+    assert sorted(made) == list(range(6)) and made[3]["n_tokens"] == 1 and made[0]["n_tokens"] > 200_000
+    sharded = {r["doc_id"]: r for r in sharding.shard(docs, 3).collect()}
+    assert [sharded[i]["size"] for i in range(6)] == [len(t or "") + 1 for t in texts] and all(r["text_crc32"] == zlib.crc32((texts[i] or "").encode()) for i, r in sharded.items())
     pieces = packing.pack(docs, P.path("byte_bpe_50k.json"), end_id=0).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert all(r[1] == r[2] for r in pieces) and {r["doc_id"]: r[1] - 1 for r in pieces} == {i: r["n"] for i, r in got.items()}
 
