@@ -79,6 +79,13 @@ class Store:
             self.fs.delete(draft, False)
         return seen + 1
 
+    def try_publish(self, name: str, seen: int) -> int | None:
+        """As ``publish``; None instead of a Conflict."""
+        try:
+            return self.publish(name, seen)
+        except Conflict:
+            return None
+
     def write(self, rows: DataFrame, seen: int) -> int:
         """Write the version after ``seen``, the one that ``rows`` were derived from; returns its number."""
         return self.publish(self.stage(rows), seen)

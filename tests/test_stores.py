@@ -11,6 +11,7 @@ from brindle.operators import graph as G
 from brindle.operators import merge as MG
 from brindle.sources import editing as ED
 from brindle.sources import files as FI
+from brindle.sources import stored as SD
 from brindle.sources import workflows as WF
 from brindle.sources.store import Conflict, Store
 from brindle.streaming import journal as J
@@ -66,18 +67,43 @@ def test_two_writers_lose_no_update(spark, tmp_path):
     assert not failed and held(s) == [0, 1, 10, 11, 12, 13] and s.version() == 6
 
 
-def test_stored_upserts_states_and_slots(spark, tmp_path):
+def test_stored_slots_and_states(spark, tmp_path):
     s = Store(spark, str(tmp_path / "slots"))
     slot = lambda *r: spark.createDataFrame(r, "project int, seq int, body string")
-    keep = lambda new: lambda old: MG.latest_slot(new if old is None else old.unionByName(new), "project", ["seq"])
-    s.update(keep(slot((1, 1, "a"), (1, 2, "b"), (2, 1, "c"))))
-    s.update(keep(slot((1, 3, "d"))))
+    SD.put_slots(s, slot((1, 1, "a"), (1, 2, "b"), (2, 1, "c")), "project", ["seq"])
+    SD.put_slots(s, slot((1, 3, "d"), (2, 0, "old")), "project", ["seq"])
     assert sorted(map(tuple, s.read().select("project", "body").collect())) == [(1, "d"), (2, "c")]
     log = Store(spark, str(tmp_path / "states"))
+    assert SD.load_states(log) is None
     step = lambda seq, node, reset=False: spark.createDataFrame([(1, seq, seq, node, reset)], "project int, seq int, ts int, to_node string, reset boolean")
-    for r in (step(1, "a"), step(2, "b"), step(3, None, True), step(4, "c")):
-        log.update(lambda old, r=r: r if old is None else old.unionByName(r))
-    assert [r["current_node"] for r in G.states(Store(spark, str(tmp_path / "states")).read()).collect()] == ["c"]
+    for r in (step(1, "a"), step(2, "b"), step(2, "b")):
+        SD.record(log, r)
+    assert [(r["current_node"], r["transitions"]) for r in SD.load_states(Store(spark, str(tmp_path / "states"))).collect()] == [("b", 2)]
+    SD.record(log, step(3, None, True))
+    SD.record(log, step(4, "c"))
+    assert [(r["current_node"], r["transitions"]) for r in SD.load_states(log).collect()] == [("c", 1)]
+
+
+def test_stored_entries_equal_those_of_all_events(spark, tmp_path):
+    rows = [(f"t{i % 3}", f"p{i % 5}", "d", i, "x" * (i % 7), ["", "", f"r{i}"][i % 3 if i > 4 else 0], i) for i in range(60)]
+    events = spark.createDataFrame(rows, "type string, file_pattern string, domain string, seq int, description string, resolution string, seen int")
+    s = Store(spark, str(tmp_path / "e"))
+    for a in range(0, 60, 20):
+        SD.learn(s, events.where(f"seq >= {a} and seq < {a + 20}"))
+    want = MG.entries(events)
+    assert sorted(map(tuple, s.read().select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    SD.learn(s, events.limit(0), most=4)
+    assert s.read().count() == 4 and min(r["confidence"] for r in s.read().collect()) >= sorted(r["confidence"] for r in want.collect())[-4]
+
+
+def test_stored_catalog_skips_what_is_unchanged(spark, tmp_path):
+    tools = lambda *r: spark.createDataFrame(r, "mcp_name string, tool_name string, text_hash string, body string")
+    s = Store(spark, str(tmp_path / "c"))
+    assert SD.upsert_tools(s, tools(("m", "a", "1", "old"), ("m", "b", "1", "b"), ("n", "a", "1", "n"))) == 1
+    assert SD.upsert_tools(s, tools(("m", "a", "1", "ignored"))) == 1
+    assert SD.upsert_tools(s, tools(("m", "a", "2", "new"), ("m", "c", "1", "c"))) == 2
+    assert sorted((r["tool_name"], r["body"]) for r in s.read().where("mcp_name = 'm'").collect()) == [("a", "new"), ("b", "b"), ("c", "c")]
+    assert SD.drop_server(s, "m") == 3 and [r["mcp_name"] for r in s.read().collect()] == ["n"]
 
 
 def test_a_replayed_batch_adds_no_row(spark, tmp_path):
