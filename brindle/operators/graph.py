@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType
 
 from brindle.operators import segmented
 from brindle.session import spill
@@ -274,10 +275,15 @@ def steps(log: DataFrame) -> DataFrame:
 
 
 def timeline(parts: list[DataFrame], since: str | None, most: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``most`` events in order of time, those without one last, and counts of all."""
+    """The first ``most`` events in order of time, those without one last, and counts of all.
+
+    Times may be timestamps or ISO texts; texts are compared as such, and empty ones count as missing.
+    """
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p, allowMissingColumns=True)
+    as_text = isinstance(every.schema["ts"].dataType, StringType)
+    at = F.nullif("ts", F.lit("")) if as_text else F.col("ts")
     if since:
-        every = every.where(F.col("ts").isNull() | (F.col("ts") >= F.lit(since).cast("timestamp_ntz")))
-    return every.orderBy(F.asc_nulls_last("ts"), "source", "ref").limit(most), every.groupBy("source").agg(F.count("*").alias("n"))
+        every = every.where(at.isNull() | (at >= (F.lit(since) if as_text else F.lit(since).cast("timestamp_ntz"))))
+    return every.orderBy(at.asc_nulls_last(), "source", "ref").limit(most), every.groupBy("source").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from brindle.operators import graph as G
 from brindle.operators import merge as MG
 from brindle.sources import editing as ED
 from brindle.sources import files as FI
+from brindle.sources import proxies as PX
 from brindle.sources import stored as SD
 from brindle.sources import workflows as WF
 from brindle.sources.store import Conflict, Store
@@ -244,6 +245,28 @@ def test_arguments_are_coerced_by_schema(spark):
     assert [r["x"] for r in d.select("i", coerce(F.col("v"), F.col("s")).alias("x")).orderBy("i").collect()] == [w for _, _, w in cases]
 
 
+def test_server_configurations(spark, tmp_path):
+    good = '[proxies.a]\ncommand = "run"\nargs = ["-x", "say \\"hi\\""]\nenv = {K = "v", N = 3}\n[proxies.b]\nidle_timeout_seconds = 5\n[proxies.c]\nargs = 7\n[other]\nx = 1\n'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.toml").write_text(good)
+    (tmp_path / "in" / "two.toml").write_text("[proxies\n")
+    (tmp_path / "in" / "three.toml").write_text("proxies = 3\n")
+    got = PX.read_proxies(spark, str(tmp_path / "in"))
+    fields = ["name", "command", "args", "env", "idle_timeout_seconds"]
+    fine = sorted(tuple(r[f] for f in fields) for r in got.where("error is null").collect())
+    assert fine == [("a", "run", ["-x", 'say "hi"'], {"K": "v", "N": "3"}, 600.0), ("b", "", [], {}, 5.0)]
+    assert sorted((r["path"].split("/")[-1], r["name"]) for r in got.where("error is not null").collect()) == [("one.toml", "c"), ("two.toml", None)]
+    PX.write_proxies(got.where("error is null"), str(tmp_path / "out"))
+    again = PX.read_proxies(spark, str(tmp_path / "out"), "*.txt")
+    assert sorted(tuple(r[f] for f in fields) for r in again.collect()) == fine
+
+
+def test_timelines_of_texts_compare_texts(spark):
+    rows = spark.createDataFrame([("x", "2024-01-02T00:00", "a"), ("y", "2024-01-10", "b"), ("z", "", "c"), ("w", None, "d"), ("v", "2023-12-31", "e")], "source string, ts string, ref string")
+    first, counts = G.timeline([rows], "2024-01-02", 10)
+    assert [r["ref"] for r in first.collect()] == ["a", "b", "d", "c"] and counts.count() == 4
+
+
 def test_tails_read_little(spark, tmp_path):
     big = tmp_path / "t" / "big.jsonl"
     big.parent.mkdir()
