@@ -50,12 +50,13 @@ def sorted_by_range(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: str | None = None, sums: tuple[str, ...] = ()) -> Ordered:
+def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: str | None = None, sums: tuple[str, ...] = (), previous: str | None = None) -> Ordered:
     """All rows in order of (key, by), with
 
     ``row`` (place among all rows, from 0), ``run`` (number of the row's key, from 0), ``at``
-    (place among the key's rows), ``head_of`` (the bigint column ``head`` of the key's first row) and
-    ``sum_c`` (the sum of the bigint column c up to this row) for each c of ``sums``.
+    (place among the key's rows), ``head_of`` (the bigint column ``head`` of the key's first row),
+    ``sum_c`` (the sum of the bigint column c up to this row) for each c of ``sums``, and ``before`` (the
+    bigint column ``previous`` of the key's row before; null for its first row).
 
     The rows should be cheap to read twice, since range bounds are sampled. The result is a table
     in the shared folder. Key and order columns of bounded width keep what the driver sees small.
@@ -67,12 +68,15 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
         schema.add("head_of", LongType())
     for c in sums:
         schema.add(f"sum_{c}", LongType())
+    if previous:
+        schema.add("before", LongType())
     arrow = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         n_rows, run, began, first_value, before = 0, -1, 0, None, None
         totals = [0] * len(sums)
+        earlier = pa.nulls(1, pa.int64())
         for b in batches:
             n = b.num_rows
             if not n:
@@ -91,32 +95,40 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
                 total = totals[i] + np.cumsum(pc.fill_null(b[c], 0).to_numpy(zero_copy_only=False).astype(np.int64))
                 totals[i] = int(total[-1])
                 cols.append(pa.array(total))
+            if previous:
+                own_values = b[previous].cast(pa.int64())
+                shifted = pa.concat_arrays([earlier, own_values.slice(0, n - 1)])
+                cols.append(pc.if_else(pa.array(new), pa.scalar(None, pa.int64()), shifted))
+                earlier = own_values.slice(n - 1)
             before = tuple(b[c][n - 1].as_py() for c in key)
             n_rows, run, began = n_rows + n, int(runs[-1]), int(starts[-1])
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     got = spill(sorted_by_range(rows, [*key, *by]).mapInArrow(scan, schema), "ordered")
     last = [F.max_by(f"sum_{c}", "row").alias(f"sum_{c}") for c in sums] + ([F.max_by("head_of", "row").alias("head_of")] if head else [])
+    last += [F.max_by(previous, "row").alias("last_value")] if previous else []
     ends = got.groupBy("pid").agg(
         F.count("*").alias("n"), (F.max("run") + 1).alias("runs"), F.max_by("at", "row").alias("at"),
         F.min_by(F.struct(*key), "row").alias("low"), F.max_by(F.struct(*key), "row").alias("high"), *last,
     )
-    before, carried, n_rows, n_runs, at, head_of, totals = None, [], 0, 0, 0, None, [0] * len(sums)
+    before, carried, n_rows, n_runs, at, head_of, totals, value = None, [], 0, 0, 0, None, [0] * len(sums), None
     for e in sorted(ends.collect(), key=lambda r: r["pid"]):  # one row a task
         goes_on = before is not None and before == e["low"]
-        carried.append((e["pid"], n_rows, n_runs - goes_on, at + 1 if goes_on else 0, head_of if goes_on else None, goes_on, *totals))
+        carried.append((e["pid"], n_rows, n_runs - goes_on, at + 1 if goes_on else 0, head_of if goes_on else None, goes_on, value if goes_on else None, *totals))
+        value = e["last_value"] if previous else None
         at = e["at"] + (at + 1 if goes_on and e["runs"] == 1 else 0)
         head_of = (head_of if goes_on and e["runs"] == 1 else e["head_of"]) if head else None
         before, n_rows, n_runs = e["high"], n_rows + e["n"], n_runs - goes_on + e["runs"]
         totals = [t + e[f"sum_{c}"] for t, c in zip(totals, sums, strict=True)]
     if len(carried) < 2:  # one task, which began with nothing
         return Ordered(got.drop("pid", "first"), n_rows, n_runs)
-    more = "pid int, row_0 bigint, run_0 bigint, at_0 bigint, head_0 bigint, goes_on boolean" + "".join(f", total_{i} bigint" for i in range(len(sums)))
+    more = "pid int, row_0 bigint, run_0 bigint, at_0 bigint, head_0 bigint, goes_on boolean, value_0 bigint" + "".join(f", total_{i} bigint" for i in range(len(sums)))
     small = F.broadcast(rows.sparkSession.createDataFrame(carried, more))  # one row a task
     on = F.col("first") & F.col("goes_on")
     out = got.join(small, "pid").select(
         *own, (F.col("row") + F.col("row_0")).alias("row"), (F.col("run") + F.col("run_0")).alias("run"), (F.col("at") + F.when(on, F.col("at_0")).otherwise(0)).alias("at"),
         *([F.when(on, F.col("head_0")).otherwise(F.col("head_of")).alias("head_of")] if head else []),
         *[(F.col(f"sum_{c}") + F.col(f"total_{i}")).alias(f"sum_{c}") for i, c in enumerate(sums)],
+        *([F.when(F.col("row") == 0, F.col("value_0")).otherwise(F.col("before")).alias("before")] if previous else []),
     )
     return Ordered(out, n_rows, n_runs)

@@ -193,6 +193,14 @@ def _same(a: DataFrame, b: DataFrame, key: list[str]):
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in key])
 
 
+def split(rows: DataFrame, key: list[str], chunk: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys of up to ``chunk`` rows, and those of the others (None: there are none)."""
+    hot = spill(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > (chunk or CHUNK)).select(*key), "hot-keys")
+    if hot.isEmpty():
+        return rows, None
+    return rows.join(hot, _same(rows, hot, key), "left_anti"), rows.join(hot, _same(rows, hot, key), "left_semi")
+
+
 def fold(rows: DataFrame, key: list[str], order: list[str], value: str, keep: list[str], machine, extra: str | None = None, chunk: int | None = None) -> DataFrame:
     """The rows that ``machine`` takes, with the columns ``keep`` and those that it adds.
 
@@ -220,12 +228,11 @@ def fold(rows: DataFrame, key: list[str], order: list[str], value: str, keep: li
     def whole(part: DataFrame) -> DataFrame:
         return part.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run_whole, schema)
 
-    hot = spill(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(*key), "hot-keys")
-    if hot.isEmpty():
-        return whole(rows)
-    cold = whole(rows.join(hot, _same(rows, hot, key), "left_anti"))
-
-    numbered = ordered(rows.join(hot, _same(rows, hot, key), "left_semi"), key, order).rows
+    cold, hot = split(rows, key, chunk)
+    cold = whole(cold)
+    if hot is None:
+        return cold
+    numbered = ordered(hot, key, order).rows
     numbered = numbered.withColumn("chunk", F.floor(F.col("at") / chunk)).select(*rows.columns, "chunk", "at")
     by = [*key, "chunk"]
 

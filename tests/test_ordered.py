@@ -17,13 +17,14 @@ def test_ordered_numbers_runs_and_sums(spark):
     r = random.Random(3)
     rows = [(r.choice([None, 1, 2, 2, 2, 2, 3]), r.randint(0, 50), i) for i in range(500)]
     d = spark.createDataFrame(rows, "k int, v bigint, id bigint").repartition(5)
-    got = ordered(d, ["k"], ["v", "id"], head="id", sums=("v",))
+    got = ordered(d, ["k"], ["v", "id"], head="id", sums=("v",), previous="v")
     want, total, runs, last = [], 0, -1, "none"
     for i, (k, v, own) in enumerate(sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))):
         if k != last:
-            last, runs, start, head = k, runs + 1, i, own
+            last, runs, start, head, before = k, runs + 1, i, own, None
         total += v
-        want.append((k, v, own, i, runs, i - start, head, total))
+        want.append((k, v, own, i, runs, i - start, head, total, before))
+        before = v
     assert sorted(map(tuple, got.rows.collect()), key=lambda x: x[3]) == want
     assert (got.n_rows, got.n_runs) == (500, 4)
     none = ordered(d.limit(0), ["k"], ["v"])
@@ -64,7 +65,7 @@ def test_hot_keys_equal_whole_keys(spark, tmp_path, monkeypatch):
     sizes = e.select("key", "seq", (F.col("seq") % 9).alias("size"))
 
     def every():
-        made = [E.throttle(e, "key", 30), E.cooldown(e, ["key", "file"], 20), E.batch_trigger(e, "key", 8, 5), M.pack_skipping(sizes, "size", ["seq"], "key", "seq", 600)]
+        made = [E.throttle(e, "key", 30), E.cooldown(e, ["key", "file"], 20), E.batch_trigger(e, "key", 8, 5), M.pack_skipping(sizes, "size", ["seq"], "key", "seq", 600), E.sessions(e, "key", 20), E.idle_stops(e, "key", 15)]
         return [sorted(map(tuple, d.collect()), key=str) for d in made]
 
     want = every()
