@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
 from brindle.operators import segmented
+from brindle.operators.ordered import ordered
 from brindle.session import spill
 
 #: Dependencies of a graph up to which one task peels it.
@@ -219,11 +220,25 @@ def taken(log: DataFrame, most: int = 10) -> DataFrame:
     ``jump`` (if there is such a column) are taken whatever the cap.
     """
     cap = most if most > 0 else 10
+    cold, hot = segmented.split(log, ["project"])
+    reset = F.coalesce("reset", F.lit(False))
     w = W.partitionBy("project").orderBy("ts", "seq")
-    rows = log.withColumn("epoch", F.count_if(F.coalesce("reset", F.lit(False))).over(w.rowsBetween(W.unboundedPreceding, 0))).where(~F.coalesce("reset", F.lit(False)))
+    rows = cold.withColumn("epoch", F.count_if(reset).over(w.rowsBetween(W.unboundedPreceding, 0))).where(~reset)
     n = F.row_number().over(W.partitionBy("project", "epoch", "to_node").orderBy("ts", "seq"))
+    rows = rows.withColumn("visit", n.cast("bigint"))
+    if hot is not None:
+        rows = rows.unionByName(_hot_visits(hot, reset))
     jumps = F.coalesce("jump", F.lit(False)) if "jump" in log.columns else F.lit(False)
-    return rows.withColumn("visit", n.cast("bigint")).withColumn("taken", (F.col("visit") <= cap) | jumps)
+    return rows.withColumn("taken", (F.col("visit") <= cap) | jumps)
+
+
+def _hot_visits(log: DataFrame, reset: Column) -> DataFrame:
+    """Epochs and visits of projects with very many rows, by scans in one order."""
+    sums = ordered(log.withColumn("_reset", reset.cast("bigint")), ["project"], ["ts", "seq"], sums=("_reset",)).rows
+    first = sums.where("at = 0").select(F.col("project").alias("_project"), (F.col("sum__reset") - F.col("_reset")).alias("_before"))  # a row a hot project
+    epochs = sums.join(F.broadcast(first), F.col("project").eqNullSafe(F.col("_project"))).withColumn("epoch", F.col("sum__reset") - F.col("_before")).where(~reset).select(*log.columns, "epoch")
+    visits = ordered(epochs, ["project", "epoch", "to_node"], ["ts", "seq"]).rows
+    return visits.select(*log.columns, "epoch", (F.col("at") + 1).alias("visit"))
 
 
 def known_jumps(log: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,8 +285,12 @@ def completed_tasks(log: DataFrame) -> DataFrame:
 
 def steps(log: DataFrame) -> DataFrame:
     """Each transition with the node before it."""
+    cold, hot = segmented.split(log, ["project"])
     w = W.partitionBy("project").orderBy("ts", "seq")
-    return log.withColumn("from_node", F.lag("to_node").over(w))
+    out = cold.withColumn("from_node", F.lag("to_node").over(w))
+    if hot is None:
+        return out
+    return out.unionByName(ordered(hot, ["project"], ["ts", "seq"], previous="to_node").rows.select(*log.columns, F.col("before").alias("from_node")))
 
 
 def timeline(parts: list[DataFrame], since: str | None, most: int) -> tuple[DataFrame, DataFrame]:

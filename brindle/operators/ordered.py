@@ -56,7 +56,7 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
     ``row`` (place among all rows, from 0), ``run`` (number of the row's key, from 0), ``at``
     (place among the key's rows), ``head_of`` (the bigint column ``head`` of the key's first row),
     ``sum_c`` (the sum of the bigint column c up to this row) for each c of ``sums``, and ``before`` (the
-    bigint column ``previous`` of the key's row before; null for its first row).
+    column ``previous`` of the key's row before; null for its first row).
 
     The rows should be cheap to read twice, since range bounds are sampled. The result is a table
     in the shared folder. Key and order columns of bounded width keep what the driver sees small.
@@ -69,14 +69,14 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
     for c in sums:
         schema.add(f"sum_{c}", LongType())
     if previous:
-        schema.add("before", LongType())
+        schema.add("before", rows.schema[previous].dataType)
     arrow = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         n_rows, run, began, first_value, before = 0, -1, 0, None, None
         totals = [0] * len(sums)
-        earlier = pa.nulls(1, pa.int64())
+        earlier = pa.nulls(1, arrow.field("before").type) if previous else None
         for b in batches:
             n = b.num_rows
             if not n:
@@ -96,9 +96,9 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
                 totals[i] = int(total[-1])
                 cols.append(pa.array(total))
             if previous:
-                own_values = b[previous].cast(pa.int64())
+                own_values = b[previous].cast(earlier.type)
                 shifted = pa.concat_arrays([earlier, own_values.slice(0, n - 1)])
-                cols.append(pc.if_else(pa.array(new), pa.scalar(None, pa.int64()), shifted))
+                cols.append(pc.if_else(pa.array(new), pa.scalar(None, earlier.type), shifted))
                 earlier = own_values.slice(n - 1)
             before = tuple(b[c][n - 1].as_py() for c in key)
             n_rows, run, began = n_rows + n, int(runs[-1]), int(starts[-1])
@@ -122,7 +122,7 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
         totals = [t + e[f"sum_{c}"] for t, c in zip(totals, sums, strict=True)]
     if len(carried) < 2:  # one task, which began with nothing
         return Ordered(got.drop("pid", "first"), n_rows, n_runs)
-    more = "pid int, row_0 bigint, run_0 bigint, at_0 bigint, head_0 bigint, goes_on boolean, value_0 bigint" + "".join(f", total_{i} bigint" for i in range(len(sums)))
+    more = "pid int, row_0 bigint, run_0 bigint, at_0 bigint, head_0 bigint, goes_on boolean, value_0 " + (rows.schema[previous].dataType.simpleString() if previous else "int") + "".join(f", total_{i} bigint" for i in range(len(sums)))
     small = F.broadcast(rows.sparkSession.createDataFrame(carried, more))  # one row a task
     on = F.col("first") & F.col("goes_on")
     out = got.join(small, "pid").select(

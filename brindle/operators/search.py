@@ -19,6 +19,8 @@ from pyspark.sql.types import DoubleType
 from brindle.functions import constants as C
 from brindle.functions import scoring as S
 from brindle.functions import text as X
+from brindle.operators import segmented
+from brindle.operators.ordered import ordered
 from brindle.session import spill
 
 #: Bytes of query vectors that a pass over the rows serves; scores that a task computes at a time.
@@ -203,9 +205,17 @@ def asof_selection(searches: DataFrame, selections: DataFrame) -> DataFrame:
     listed = "results" in searches.columns and "tool" in selections.columns
     held = F.struct(F.col("seq").alias("search_seq"), *(["results"] if listed else []))
     both = searches.select("project", "ts", "seq", held.alias("s")).unionByName(selections.select("project", "ts", "seq", *(["tool"] if listed else [])), allowMissingColumns=True)
-    last = F.last("s", ignorenulls=True).over(W.partitionBy("project").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
     hit = [F.coalesce(F.array_contains("last.results", F.col("tool")), F.lit(False)).alias("hit")] if listed else []
-    return both.withColumn("last", last).where(F.col("s").isNull()).select("project", "seq", F.col("last.search_seq").alias("search_seq"), *hit)
+    cold, hot = segmented.split(both, ["project"])
+    last = F.last("s", ignorenulls=True).over(W.partitionBy("project").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = cold.withColumn("last", last).where(F.col("s").isNull())
+    if hot is not None:
+        # Searches are counted through; a selection belongs to the search of its number, if that is the project's own.
+        counted = ordered(hot.withColumn("_search", F.col("s").isNotNull().cast("bigint")), ["project"], ["ts", "seq"], sums=("_search",)).rows
+        own = counted.where(F.col("s").isNotNull()).select(F.col("project").alias("_project"), F.col("sum__search").alias("_n"), F.col("s").alias("last"))
+        chosen = counted.where(F.col("s").isNull()).join(own, F.col("project").eqNullSafe(F.col("_project")) & (F.col("sum__search") == F.col("_n")), "left")
+        rows = rows.unionByName(chosen.select(*both.columns, "last"))
+    return rows.select("project", "seq", F.col("last.search_seq").alias("search_seq"), *hit)
 
 
 def tool_counts(proxies: DataFrame, tools: DataFrame, internal: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brindle.operators import events as E
 from brindle.operators import graph as G
 from brindle.operators import memory as M
+from brindle.operators import search as SE
 from brindle.operators import segmented as S
 from brindle.operators.ordered import ordered
 
@@ -74,6 +75,22 @@ def test_hot_keys_equal_whole_keys(spark, tmp_path, monkeypatch):
     assert every() == want
 
 
+def test_hot_projects_equal_whole_projects(spark, tmp_path, monkeypatch):
+    log = edits(spark, 20_000).select(F.col("key").alias("project"), "seq", "ts", F.when(F.rand(9) < 0.05, None).otherwise(F.col("file")).alias("to_node"), (F.rand(8) < 0.01).alias("reset"))
+    log.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+
+    searches = log.where("seq % 5 = 0 and seq > 40").select("project", "seq", "ts", F.array("to_node").alias("results"))
+    chosen = log.where("seq % 5 <> 0").select("project", "seq", "ts", F.col("to_node").alias("tool"))
+
+    def every():
+        return [sorted(map(tuple, d.collect()), key=str) for d in (SE.asof_selection(searches, chosen), G.taken(log, 5).select("project", "seq", "epoch", "visit", "taken"), G.states(log, 5), G.steps(log).select("project", "seq", "from_node", "to_node"))]
+
+    want = every()
+    monkeypatch.setattr(S, "CHUNK", 700)
+    assert every() == want
+
+
 def test_a_key_of_millions_of_events_over_many_tasks(spark, tmp_path):
     """Against a loop over the same events in numpy."""
     n = 3_000_000
