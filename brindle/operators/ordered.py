@@ -62,7 +62,7 @@ def ordered(rows: DataFrame, key: list[str], by: list[str | Column], *, head: st
     in the shared folder. Key and order columns of bounded width keep what the driver sees small.
     """
     own = rows.columns
-    schema = StructType(list(rows.schema.fields))
+    schema = StructType(list(rows.schema.toNullable().fields))
     schema.add("pid", IntegerType()).add("row", LongType()).add("run", LongType()).add("at", LongType()).add("first", BooleanType())
     if head:
         schema.add("head_of", LongType())
