@@ -159,7 +159,7 @@ def index_bounds(tools: DataFrame, query: str) -> DataFrame:
 
 def index_candidates(tools: DataFrame, query: str, k: int = 10, least: float = 0.15) -> DataFrame:
     """Tools whose exact score can still be among the k best: those of bounds up to the k-th score of the best bounds."""
-    rows = index_bounds(tools, query).where(F.col("bound") > least)
+    rows = spill(index_bounds(tools, query).where(F.col("bound") > least), "index-bounds")  # read twice
     first = _index_scores(rows.orderBy(F.desc("bound"), "seq").limit(4 * k), query, least)
     best = [r["score"] for r in first.orderBy(F.desc("score"), "seq").limit(k).select("score").collect()]
     return rows if len(best) < k else rows.where(F.round("bound", 2) >= best[-1])
@@ -173,6 +173,7 @@ def _index_scores(rows: DataFrame, query: str, least: float) -> DataFrame:
 
 def index_search(tools: DataFrame, query: str, k: int = 10, least: float = 0.15) -> DataFrame:
     """Keyword share, name and description similarity and learned boost (column ``boost``): filtered by bounds, then verified."""
+    tools = tools.select("mcp_name", "tool_name", "description", "seq", "boost")
     rows = _index_scores(index_candidates(tools, query, k, least), query, least)
     return rows.select("mcp_name", "tool_name", X.category(F.col("tool_name"), F.col("description")).alias("category"), "score", "seq").orderBy(F.desc("score"), "seq").limit(k)
 
