@@ -30,6 +30,8 @@ CAPACITY = 1024
 GROUP, PIECE, SLACK = 32, 256, 7
 #: The last tokens of a group come in small pieces, with which differencing evens out loads.
 FINE_TOKENS, FINE_PIECE = 2048, 32
+#: Characters of texts that are encoded together: the more, the fewer look-ups of one piece.
+CHUNK = 2_000_000
 
 
 def differencing(lengths: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -84,7 +86,7 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "spaces",
     rows = pick(docs, id_col, text_col)
     kind_of_id = rows.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    target = group * (capacity - slack)
+    target, end = group * (capacity - slack), np.array([end_id], "<u4").tobytes()
 
     def placed(items: list[tuple], base: int):
         """Rows of a group of pieces; items: (id, start, length, crc, doc_tokens, ids)."""
@@ -104,13 +106,13 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "spaces",
         held, total = [], 0
         for b in batches:
             ids, texts = b[id_col].to_pylist(), texts_of(b[text_col])
-            for lo, hi in chunks([len(t) for t in texts]):
+            for lo, hi in chunks([len(t) for t in texts], CHUNK):
                 done = []
                 for row_id, x in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    tokens = np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))
-                    data, start = memoryview(tokens.astype("<u4").tobytes()), 0
-                    lengths = cut(len(tokens), piece, capacity)
-                    while start < len(tokens):
+                    data, start = memoryview(x + end), 0
+                    size = len(data) // 4
+                    lengths = cut(size, piece, capacity)
+                    while start < size:
                         n = lengths.pop(0)
                         whole = n == capacity
                         if not whole:
@@ -119,7 +121,7 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "spaces",
                                 lengths.insert(0, n - most)
                                 n = most
                         part = data[4 * start : 4 * (start + n)]
-                        row = (row_id, start, n, zlib.crc32(part), len(tokens), tokens[start : start + n].astype(np.int64) if with_ids else None)
+                        row = (row_id, start, n, zlib.crc32(part), size, np.frombuffer(part, "<u4").astype(np.int64) if with_ids else None)
                         start += n
                         if whole:
                             done.append((*row[:5], at, 0, row[5]))

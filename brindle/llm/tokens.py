@@ -3,8 +3,9 @@
 ``words``: for vocabularies that drop white space, so that no token crosses it: a text is
 cut at ASCII white space. ``spaces``: for byte-level vocabularies whose slices may begin
 with one space: a text is cut before single spaces and around single line feeds, where a
-slice always starts; other texts are cut by ``bpe.slices``. Each new piece is encoded by
-the library's model once. Ids equal those of ``Tokenizer.encode`` on the whole text (the
+slice always starts; other texts are cut by ``bpe.slices``. The cuts of many texts are found
+over their bytes at once and the pieces numbered in Arrow, so that Python sees each distinct
+piece of a chunk once. Each new piece is encoded by the library's model once. Ids equal those of ``Tokenizer.encode`` on the whole text (the
 strings of special tokens count as ordinary text). Null is the empty text.
 """
 
@@ -14,6 +15,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -21,7 +24,7 @@ from brindle.llm import bpe
 from brindle.llm.common import held
 
 #: Entries of a worker's cache, by kind.
-ENTRIES = {"words": 800_000, "spaces": 300_000}
+ENTRIES = {"words": 800_000, "spaces": 600_000}
 
 # The splitting rule of the word vocabulary, on lower-cased text.
 WORD_RULE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -32,7 +35,11 @@ WORD_RULE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]
 # parted when they are new, those of ``spaces`` (of which fewer fit) before they are looked up.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD_BEFORE = re.compile(rb"(?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf])\Z")
-SPACE_TAIL = re.compile(r"(?<=[A-Za-z0-9\xe0-\xf6\xf8-\xff])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|\Z)")
+SPACE, LINE = 0x20, 0x0A
+IS_MARK, IS_PLAIN, IS_LATIN = np.zeros((3, 256), bool)
+IS_MARK[list(MARKS)] = True
+IS_PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
+IS_LATIN[[*range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = True  # behind 0xC3: the lower-case letters of Latin-1
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,6 +64,51 @@ class Pieces(dict):
         return got
 
 
+class RecentPieces:
+    """Ids of pieces in two halves: what is used moves to the newer one; once that is full, the older one is dropped."""
+
+    def __init__(self, make, most: int) -> None:
+        self.make, self.half = make, most // 2
+        self.new, self.old = {}, {}
+
+    def ids(self, pieces: list[str]) -> list[bytes | None]:
+        """Of distinct pieces; None, which is not kept, where ``make`` gives it."""
+        got = list(map(self.new.get, pieces))
+        at = [i for i, x in enumerate(got) if x is None]
+        for i in at:
+            got[i] = self.old.get(pieces[i])
+        unknown = [i for i in at if got[i] is None]
+        for i, x in zip(unknown, self.make([pieces[i] for i in unknown]), strict=True):
+            got[i] = x
+        if len(self.new) + len(at) > self.half:
+            self.old, self.new = self.new, {}
+        self.new.update((pieces[i], got[i]) for i in at if got[i] is not None)
+        return got
+
+
+def piece_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces of ``spaces`` start in the UTF-8 bytes of several texts, which end at ``ends``."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[0] = True
+    edge[ends] = True
+    line = data == LINE
+    at = edge.copy()
+    at[:-1] |= line
+    at[:-1] |= data == SPACE
+    stop = at.copy()  # what may follow a trailing run
+    at[1:] |= line
+    mark = IS_MARK[data]
+    first, last = mark.copy(), mark.copy()
+    first[1:] &= ~(mark[:-1] & ~edge[1:n])
+    last[:-1] &= ~(mark[1:] & ~edge[1:n])
+    runs = np.flatnonzero(first)[stop[np.flatnonzero(last) + 1]]
+    runs = runs[~edge[runs]]
+    before = data[runs - 1]
+    at[runs[IS_PLAIN[before] | (IS_LATIN[before] & (data[np.maximum(runs - 2, 0)] == 0xC3))]] = True
+    return np.flatnonzero(at[:-1])
+
+
 class TextEncoder:
     """``width``: bytes of an id, 2 where the vocabulary allows and the caller asks for it."""
 
@@ -70,14 +122,16 @@ class TextEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.pieces = Pieces(self._word, ENTRIES[kind])
+        self.recent = RecentPieces(self._learn, ENTRIES[kind])
         self.slow = bpe.SliceCache(lambda new: (self._model(x) for x in new), ENTRIES[kind] // 4)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def _model(self, part: str) -> bytes:
-        plain = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.letters)
-        return self._pack([t.id for t in self.model.tokenize(plain)])
+        space, core = ("\u0120", part[1:]) if part[:1] == " " else ("", part)
+        plain = core if core.isascii() and core.isalnum() else core.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(space + plain)])
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():
@@ -91,42 +145,55 @@ class TextEncoder:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self._model, WORD_RULE.findall(text.lower())))
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new pieces between spaces, many at a time; None where the text around a piece decides."""
-        if len(self.pieces) + len(new) > self.pieces.most:
-            self.pieces.clear()
-        hard = []
-        for x in new:
-            core = x[1:] if x[:1] == " " else x
-            if x == "\n" or core.isalpha() and core.isascii():
-                self.pieces[x] = self._model(x)
-            elif not core or core[0].isspace() or core[-1].isspace():
-                self.pieces[x] = None
-            else:
-                hard.append(x)
-        self.pieces.update(zip(hard, self.slow.ids(bpe.slices(hard)), strict=True))
+    def _learn(self, new: list[str]) -> list[bytes | None]:
+        """Ids of new pieces between spaces; None where the text around a piece decides."""
+        out, hard = [], []
+        for i, x in enumerate(new):
+            core = x[1:] if x[0] == " " else x
+            if core.isalpha() or x == "\n":
+                out.append(self._model(x))
+                continue
+            out.append(None)
+            if core and not core[0].isspace() and not core[-1].isspace():
+                hard.append(i)
+        for i, ids in zip(hard, self.slow.ids(bpe.slices([new[i] for i in hard])), strict=True):
+            out[i] = ids
+        return out
+
+    def _spaces(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(x) for x in raw])
+        whole = b"".join(raw)
+        if not whole:
+            return raw
+        data = np.frombuffer(whole, np.uint8)
+        starts = piece_starts(data, ends)
+        of = np.searchsorted(starts, ends)  # pieces up to each text's end
+        bounds = np.append(starts, len(data))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(whole)]).dictionary_encode()
+        numbers = pieces.indices
+        known = pa.array(self.recent.ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        every = known.take(numbers)
+        # Around line feeds in a row, and pieces that can't stand alone, the whole text decides.
+        twice = np.flatnonzero((data[starts[:-1]] == LINE) & (data[starts[1:]] == LINE)) + 1
+        twice = twice[~np.isin(twice, of)]
+        open_ = np.flatnonzero(np.asarray(every.is_null())) if known.null_count else twice[:0]
+        rest = np.unique(np.searchsorted(of, np.concatenate([twice, open_]), side="right")).tolist()
+        offsets = np.frombuffer(every.buffers()[1], np.int64)[: len(every) + 1]
+        ids = memoryview(every.buffers()[2])
+        cut = offsets[of].tolist()
+        out = [bytes(ids[a:b]) for a, b in zip([0, *cut], cut)]
+        if rest:
+            for i, x in zip(rest, self.slow.ids(bpe.slices([texts[i] for i in rest])), strict=True):
+                out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native (little-endian) unsigned integers of ``width`` bytes."""
-        get = self.pieces.__getitem__
         if self.kind == "words":
+            get = self.pieces.__getitem__
             return [b"".join(map(get, t.encode().lower().split())) for t in texts]
-        cut = [SPACE_TAIL.sub("\0\\1", t).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and "\0" not in t else [""] for t in texts]
-        need = set().union(*cut)
-        new = need.difference(self.pieces)
-        self._learn(need if len(self.pieces) + len(new) > self.pieces.most else new)
-        out, rest = [], []
-        for i, x in enumerate(cut):
-            got = list(map(get, x))
-            if None in got:
-                rest.append(i)
-                out.append(b"")
-            else:
-                out.append(b"".join(got))
-        if rest:
-            for i, ids in zip(rest, self.slow.ids(bpe.slices([texts[i] for i in rest])), strict=True):
-                out[i] = ids
-        return out
+        return self._spaces(texts)
 
 
 def encoder(path: str, kind: str, width: int = 4) -> TextEncoder:

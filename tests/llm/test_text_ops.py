@@ -2,6 +2,7 @@
 
 import argparse
 import base64
+import functools
 import hashlib
 import inspect
 import itertools
@@ -76,6 +77,33 @@ def test_token_caches_equal_the_library(kind, file):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
 
 
+def test_pieces_in_use_are_encoded_once(monkeypatch):
+    """Rare pieces fill the cache again and again; those that every chunk holds stay in it."""
+    monkeypatch.setattr(tokens, "ENTRIES", {"words": 400, "spaces": 400})
+    enc = tokens.TextEncoder(P.path("byte_bpe_50k.json"), "spaces")
+    made, model = [], enc._model
+    monkeypatch.setattr(enc, "_model", lambda part: made.append(part) or model(part))
+    letters = "abcdefghij"
+    for i in range(60):
+        rare = [f"r{letters[i % 10]}{letters[i // 10]}{letters[k % 10]}{letters[k // 10]}" for k in range(50)]
+        text = " ".join(["Often", *rare, "häufig", "seen"])
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [made.count(x) for x in ("Often", " häufig", " seen")] == [1, 1, 1] and len(made) == 60 * 50 + 3
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*[" "] * 4, *["\n"] * 3, *"\t\r\0\x1c\u3000\xa0aZ19é\xf7\xd7ÿÀжº²'!.,(_~😀", "'s", "'ll", "word", " word", ".\n", ". "]), max_size=30).map("".join), max_size=8))
+def test_pieces_of_many_texts_equal_the_library(texts):
+    enc = spaces_encoder()
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+@functools.cache
+def spaces_encoder():
+    return tokens.TextEncoder(P.path("byte_bpe_50k.json"), "spaces")
+
+
 def test_records_round_trip_and_break_loudly(spark, tmp_path):
     docs = docs_of(spark, ODD).withColumnRenamed("doc_id", "i").selectExpr("case when i = 3 then null else 100 - i end as doc_id", "text", "start")
     path = records.write(docs, P.path("word_bpe_49k.json"), end_id=1, path=str(tmp_path / "rec"))
