@@ -37,6 +37,8 @@ TAIL = struct.Struct("<I")
 INNER = struct.Struct("<BqB")
 #: Bytes from which a file is followed by another, and records in a file at most: these bound the memory of a reading task.
 FILE_BYTES, FILE_RECORDS = 32 << 20, 8192
+#: Characters of texts that are encoded together: the more, the fewer look-ups of one word.
+CHUNK = 2_000_000
 
 
 def masked(data: bytes) -> int:
@@ -96,7 +98,7 @@ def write(docs: DataFrame, vocabulary: str, *, end_id: int, kind: str = "words",
         enc, written = encoder(vocabulary, kind, width), 0
         for b in batches:
             ids, texts = b[id_col].to_pylist(), texts_of(b[text_col])
-            for lo, hi in chunks([len(t) for t in texts]):
+            for lo, hi in chunks([len(t) for t in texts], CHUNK):
                 made = [frame(i, x + last, width) for i, x in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True)]
                 before = written + np.cumsum([0, *[len(f) + 1 for f in made]])
                 written = int(before[-1])

@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from brindle.llm import bpe, jaccard, packing, quality, queries, records, secrets, sharding, substrings, tokens
@@ -99,6 +99,51 @@ def test_pieces_of_many_texts_equal_the_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
 
 
+def test_words_in_use_are_encoded_once_and_without_trailing_marks(monkeypatch):
+    """As above, of words; a word with trailing marks is the word and a run."""
+    monkeypatch.setattr(tokens, "ENTRIES", {"words": 400, "spaces": 400})
+    enc = tokens.TextEncoder(P.path("word_bpe_49k.json"), "words")
+    made, parts = [], enc._parts
+    monkeypatch.setattr(enc, "_parts", lambda new: made.append(new) or parts(new))
+    letters, marks = "abcdefghij", ".,:;?!()[]"
+    for i in range(60):
+        rare = [f"r{letters[i % 10]}{letters[i // 10]}{letters[k % 10]}{letters[k // 10]}{marks[(i + k) % 10]}" for k in range(50)]
+        text = " ".join(["Often" + marks[i % 10] * (i % 9), *rare, "häufig", "seen$$$"])
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    every = list(itertools.chain.from_iterable(made))
+    assert [every.count(x) for x in ("often", "häufig", "seen", "$$$")] == [1, 1, 1, 1]
+    assert len(made) == 60 and sum(x[0] == "r" for x in every) == 60 * 50
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*[" "] * 4, *"\n\t\r\v\f\0\x01\x1c\u3000\xa0\u0301aZ19éÉß\xf7\xd7ÿÀжº²İΣ'!.,(_~<>/😀", "'s", "'LL", "word", "</w>", " wörd.", "!" * 9, "<|endoftext|>"]), max_size=30).map("".join), max_size=8))
+@example(["\0'", "a\x7f\x01! b"])
+def test_words_of_many_texts_equal_the_library(texts):
+    enc = words_encoder()
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+def test_words_of_a_vocabulary_without_word_ends(tmp_path):
+    """Where no token tells the end of a word, words are encoded one at a time."""
+    import json
+
+    own = json.load(open(P.path("word_bpe_49k.json")))
+    letters = list(tokens.byte_letters().values())
+    own["model"] |= {"end_of_word_suffix": None, "vocab": {x: i for i, x in enumerate([*letters, "th", "the"])}, "merges": [["t", "h"], ["th", "e"]]}
+    own["added_tokens"] = []
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(own))
+    enc = tokens.TextEncoder(str(path), "words", 2)
+    texts = ["The other, the thé 12 it's", "", " \n", "...then!"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@functools.cache
+def words_encoder():
+    return tokens.TextEncoder(P.path("word_bpe_49k.json"), "words")
+
+
 @functools.cache
 def spaces_encoder():
     return tokens.TextEncoder(P.path("byte_bpe_50k.json"), "spaces")
